@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from orbweave.llm import chat_tree
+from orbweave.llm.bpe import op6_bpe
 from orbweave.llm.line_quality import op7_line_quality
 from orbweave.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op6_bpe": op6_bpe,
     "op7_line_quality": op7_line_quality,
+    "op8_chat": chat_tree.op8_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_chat": chat_tree.ORACLE,
+}
