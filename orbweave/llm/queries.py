@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from orbweave.llm import chat_tree
+from orbweave.llm import chat_tree, warc
 from orbweave.llm.bpe import op6_bpe
 from orbweave.llm.line_quality import op7_line_quality
-from orbweave.llm.warc import op1_warc
+from orbweave.llm.simhash_index import op2_simhash
 
 QUERIES = {
-    "op1_warc": op1_warc,
+    "op1_warc": warc.op1_warc,
+    "op2_simhash": op2_simhash,
     "op6_bpe": op6_bpe,
     "op7_line_quality": op7_line_quality,
     "op8_chat": chat_tree.op8_chat,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
     "op8_chat": chat_tree.ORACLE,
 }

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Workspace
+from orbweave.llm.common import Workspace, table
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -52,9 +52,10 @@ def write_archive(records: DataFrame, ws: Workspace, *, id_col: str = "page_id",
     light = ws.save(light, "light")
     firsts = ws.save(light.groupBy("digest").agg(F.min("id").alias("first_id")), "firsts")
 
-    owner = firsts.select(F.col("digest").alias("of"), F.col("first_id").alias("owner"))
-    stored = rows.select("id", "digest", "payload").join(owner, F.col("id").eqNullSafe(F.col("owner")) & (F.col("digest") == F.col("of")), "left_semi")
-    ws.save(stored.dropDuplicates(["id", "digest"]).select("digest", "payload"), "payloads")
+    # A key without nulls: the join and the removal of repeated rows then share one exchange.
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none")).alias("key")
+    stored = rows.select(key("id"), "digest", "payload").join(firsts.select(key("first_id"), "digest"), ["key", "digest"], "left_semi")
+    ws.save(stored.dropDuplicates(["key", "digest"]).select("digest", "payload"), "payloads")
 
     first = (F.col("copy") == 1) & F.col("id").eqNullSafe(F.col("first_id"))
     kind = F.when(first | (F.col("length") < min_revisit), "response").otherwise("revisit")
@@ -150,8 +151,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from orbweave.llm.common import table
-
     archive = write_archive(table(spark, sf_dir, "pages"), Workspace(spark, "warc"))
     out = archive.index()
     return out.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+ORACLE = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), q AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes < 100 OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN payload_bytes < 100 OR page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM q
+"""
