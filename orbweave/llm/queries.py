@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from orbweave.llm import chat_tree, warc
 from orbweave.llm.bpe import op6_bpe
+from orbweave.llm.decontam import op4_decontam
 from orbweave.llm.fuzzy_lines import op5_fuzzy_lines
 from orbweave.llm.line_quality import op7_line_quality
 from orbweave.llm.simhash_index import op2_simhash
@@ -11,6 +12,7 @@ from orbweave.llm.simhash_index import op2_simhash
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_simhash": op2_simhash,
+    "op4_decontam": op4_decontam,
     "op5_fuzzy_lines": op5_fuzzy_lines,
     "op6_bpe": op6_bpe,
     "op7_line_quality": op7_line_quality,
