@@ -6,6 +6,7 @@ from orbweave.llm import chat_tree, warc
 from orbweave.llm.bpe import op6_bpe
 from orbweave.llm.decontam import op4_decontam
 from orbweave.llm.fuzzy_lines import op5_fuzzy_lines
+from orbweave.llm.html_diff import op10_html
 from orbweave.llm.line_quality import op7_line_quality
 from orbweave.llm.simhash_index import op2_simhash
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_line_quality": op7_line_quality,
     "op8_chat": chat_tree.op8_chat,
+    "op10_html": op10_html,
 }
 
 ORACLES: dict[str, str] = {
