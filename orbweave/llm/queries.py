@@ -8,11 +8,13 @@ from orbweave.llm.decontam import op4_decontam
 from orbweave.llm.fuzzy_lines import op5_fuzzy_lines
 from orbweave.llm.html_diff import op10_html
 from orbweave.llm.line_quality import op7_line_quality
+from orbweave.llm.ppm import op3_ppm
 from orbweave.llm.simhash_index import op2_simhash
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_simhash": op2_simhash,
+    "op3_ppm": op3_ppm,
     "op4_decontam": op4_decontam,
     "op5_fuzzy_lines": op5_fuzzy_lines,
     "op6_bpe": op6_bpe,
