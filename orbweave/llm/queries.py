@@ -10,6 +10,7 @@ from orbweave.llm.html_diff import op10_html
 from orbweave.llm.line_quality import op7_line_quality
 from orbweave.llm.ppm import op3_ppm
 from orbweave.llm.simhash_index import op2_simhash
+from orbweave.llm.suffix_dedup import op9_suffix
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_line_quality": op7_line_quality,
     "op8_chat": chat_tree.op8_chat,
+    "op9_suffix": op9_suffix,
     "op10_html": op10_html,
 }
 
