@@ -1,68 +1,68 @@
 """Named errors of keys, markers, cells and their parameters."""
 
 
-class KeyError_(ValueError):
+class EngineError(ValueError):
     """Base of all errors of this library; ``str`` starts with the error's name."""
 
     def __init__(self, detail: str = ""):
         super().__init__(f"{type(self).__name__}: {detail}" if detail else type(self).__name__)
 
 
-class OrderOutOfRange(KeyError_): ...
+class OrderOutOfRange(EngineError): ...
 
 
-class CoordinateOutOfRange(KeyError_): ...
+class CoordinateOutOfRange(EngineError): ...
 
 
-class IndexOutOfRange(KeyError_): ...
+class IndexOutOfRange(EngineError): ...
 
 
-class DimensionsOutOfRange(KeyError_): ...
+class DimensionsOutOfRange(EngineError): ...
 
 
-class DimensionMismatch(KeyError_): ...
+class DimensionMismatch(EngineError): ...
 
 
-class ZeroVector(KeyError_): ...
+class ZeroVector(EngineError): ...
 
 
-class NonFiniteValue(KeyError_): ...
+class NonFiniteValue(EngineError): ...
 
 
-class InvalidMarker(KeyError_): ...
+class InvalidMarker(EngineError): ...
 
 
-class OutputLengthMismatch(KeyError_): ...
+class OutputLengthMismatch(EngineError): ...
 
 
-class BitsOutOfRange(KeyError_): ...
+class BitsOutOfRange(EngineError): ...
 
 
-class TablesOutOfRange(KeyError_): ...
+class TablesOutOfRange(EngineError): ...
 
 
-class LevelOutOfRange(KeyError_): ...
+class LevelOutOfRange(EngineError): ...
 
 
-class InvalidCell(KeyError_): ...
+class InvalidCell(EngineError): ...
 
 
-class LatitudeOutOfRange(KeyError_): ...
+class LatitudeOutOfRange(EngineError): ...
 
 
-class NonFinite(KeyError_): ...
+class NonFinite(EngineError): ...
 
 
-class RadiusOutOfRange(KeyError_): ...
+class RadiusOutOfRange(EngineError): ...
 
 
-class BufferTooSmall(KeyError_): ...
+class BufferTooSmall(EngineError): ...
 
 
-class CoverOptionsOutOfRange(KeyError_): ...
+class CoverOptionsOutOfRange(EngineError): ...
 
 
-class RegionOutOfRange(KeyError_): ...
+class RegionOutOfRange(EngineError): ...
 
 
-class CoverTooLarge(KeyError_): ...
+class CoverTooLarge(EngineError): ...

@@ -224,17 +224,23 @@ def _bounds(key_hex: Column, keep: Column, digits: Column) -> tuple[Column, Colu
     )
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, not once for each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def key_range(text, level) -> Column:
     """STRUCT<lo, hi> of markers that share ``level`` bits per axis; levels above the marker's bits clamp, null for no marker."""
-    m = parse(text)
     level = F.lit(level) if isinstance(level, int) else level
-    digits = F.length(m["key"])
-    spare = digits * 4 - m["dims"] * m["bits"]
-    keep = spare + m["dims"] * F.least(level, m["bits"])
-    low, high = _bounds(m["key"], keep, digits)
-    # Level 0 of a space whose width isn't whole digits: the spare bits stay 0.
-    head = F.concat_ws(":", F.lit("hk1"), m["dims"].cast("string"), m["bits"].cast("string"), m["seed"])
-    return F.when(m.isNotNull(), F.struct(F.concat_ws(":", head, low).alias("lo"), F.concat_ws(":", head, high).alias("hi")))
+
+    def bounds(m):
+        digits = F.length(m["key"])
+        keep = digits * 4 - m["dims"] * m["bits"] + m["dims"] * F.least(level, m["bits"])
+        low, high = _bounds(m["key"], keep, digits)
+        head = F.concat_ws(":", F.lit("hk1"), m["dims"].cast("string"), m["bits"].cast("string"), m["seed"])
+        return F.when(m.isNotNull(), F.struct(F.concat_ws(":", head, low).alias("lo"), F.concat_ws(":", head, high).alias("hi")))
+
+    return _with(parse(text), bounds)
 
 
 def marker_cell(text, space: Space) -> Column:
@@ -254,13 +260,16 @@ def marker_cell(text, space: Space) -> Column:
 
 def shared_prefix_bits(a, b) -> Column:
     """Common leading key bits of two markers; null if their spaces differ or one is no marker."""
-    x, y = parse(a), parse(b)
-    same = (x["dims"] == y["dims"]) & (x["bits"] == y["bits"]) & (x["seed"] == y["seed"])
     half = lambda m, i: F.conv(F.substr(F.lpad(m["key"], 32, "0"), F.lit(16 * i + 1), F.lit(16)), 16, -10).cast("long")
-    total = x["dims"] * x["bits"]
-    high, low = half(x, 0).bitwiseXOR(half(y, 0)), half(x, 1).bitwiseXOR(half(y, 1))
-    width = F.when(high != 0, F.length(F.bin(high)) + 64).when(low != 0, F.length(F.bin(low))).otherwise(0)
-    return F.when(same, total - width)
+
+    def shared(pair):
+        x, y = pair["x"], pair["y"]
+        same = (x["dims"] == y["dims"]) & (x["bits"] == y["bits"]) & (x["seed"] == y["seed"])
+        high, low = half(x, 0).bitwiseXOR(half(y, 0)), half(x, 1).bitwiseXOR(half(y, 1))
+        width = F.when(high != 0, F.length(F.bin(high)) + 64).when(low != 0, F.length(F.bin(low))).otherwise(0)
+        return F.when(same, x["dims"] * x["bits"] - width)
+
+    return _with(F.struct(parse(a).alias("x"), parse(b).alias("y")), shared)
 
 
 def _probe_rows(position: np.ndarray, space: Space, level: int, n: int, count_log: int) -> list[list[tuple[int, int]]]:
