@@ -94,7 +94,7 @@ def normalised(line):
 
 def line_hashes(text):
     """One hash per line; null where the line has no letter or digit."""
-    return F.transform(F.split(text, "\n"), lambda x: F.when(normalised(x) != "", F.xxhash64(normalised(x))))
+    return F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(r"[\p{L}\p{N}]"), F.xxhash64(normalised(x))))
 
 
 def measure(docs: DataFrame, ws: Workspace, *, min_docs: int = 10, max_share: float = 0.05, min_left: float = 0.5) -> tuple[DataFrame, DataFrame]:
