@@ -112,7 +112,7 @@ class Archive:
 
     def originals(self) -> DataFrame:
         """The original records: headers and the full payload, revisits included."""
-        return self.headers().join(self.payloads(), "digest").select("id", "copy", "record_type", "url", F.concat(F.encode(F.concat("header", "http"), "UTF-8"), F.col("payload")).alias("record"), "payload")
+        return self.headers().join(self.payloads(), "digest").select("id", "copy", "record_type", "refers_to", "url", F.concat(F.encode(F.concat("header", "http"), "UTF-8"), F.col("payload")).alias("record"), "payload")
 
     def export(self, path: str) -> None:
         """Write standard WARC files: a revisit's block ends with its HTTP header.
