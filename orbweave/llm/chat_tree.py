@@ -49,21 +49,21 @@ def reply_paths(nodes: DataFrame, ws: Workspace) -> DataFrame:
     """
     known = nodes.select("tree", F.col("id").alias("parent"))
     linked = nodes.where("parent is not null").join(known, ["tree", "parent"], "left_semi").select("tree", "id", "parent")
-    jump = nodes.select("tree", "id").join(linked, ["tree", "id"], "left").select("tree", "id", F.col("parent").alias("up"))
-    jumps, most = [ws.save(jump, "jump0")], 1
+    # Each table holds only the nodes that still have an ancestor so far up; those on a cycle always have.
+    jumps, most = [ws.save(linked.select("tree", "id", F.col("parent").alias("up")), "jump0")], 1
     total = jumps[0].count()
-    while most <= total and not jumps[-1].where("up is not null").isEmpty():
+    while most <= total and not jumps[-1].isEmpty():
         a = jumps[-1].select("tree", F.col("id").alias("up"), F.col("up").alias("next"))
-        jump = jumps[-1].join(a, ["tree", "up"], "left").select("tree", "id", F.col("next").alias("up"))
+        jump = jumps[-1].join(a, ["tree", "up"]).select("tree", "id", F.col("next").alias("up"))
         jumps.append(ws.save(jump, f"jump{len(jumps)}"))
         most *= 2
 
-    parents = jumps[0].where("up is not null").select("tree", F.col("up").alias("id")).distinct()
-    rooted = jumps[-1].where("up is null").select("tree", "id")
+    parents = jumps[0].select("tree", F.col("up").alias("id")).distinct()
+    rooted = nodes.select("tree", "id").join(jumps[-1].select("tree", "id"), ["tree", "id"], "left_anti")
     leaves = rooted.join(parents, ["tree", "id"], "left_anti")
     paths = ws.save(leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("dist")), "paths")
     for k, jump in enumerate(jumps[:-1]):
-        up = paths.join(jump.where("up is not null"), ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), F.col("dist") + (1 << k))
+        up = paths.join(jump, ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), F.col("dist") + (1 << k))
         paths = ws.save(paths.unionByName(up.toDF("tree", "leaf", "id", "dist")), f"paths{k}")
     return paths
 
