@@ -117,19 +117,32 @@ def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.concatenate(needed) if needed else at
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of weighted pairs, those of a spanning forest of least weight."""
-    label, kept = np.arange(n), []
-    for weight in np.unique(w):
-        at = np.flatnonzero(w == weight)
-        kept.append(at[merge_labels(label, i[at], j[at])])
-    kept = np.concatenate(kept) if kept else np.empty(0, np.int64)
-    return i[kept], j[kept], w[kept]
-
-
-def leaf_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A least spanning forest of the links between two leaves of unsigned fingerprints, as positions in both together."""
+def spanning_forests(label: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, forests: int) -> np.ndarray:
+    """Of weighted pairs, the positions of those of so many disjoint spanning forests, each of the least weight that is left."""
+    kept, rest = [], np.arange(len(i))
+    for k in range(forests):
+        own, picked = label.copy(), []
+        for weight in np.unique(w[rest]):
+            at = rest[w[rest] == weight]
+            picked.append(at[merge_labels(own, i[at], j[at])])
+        if not picked:
+            break
+        kept += picked
+        if k + 1 < forests:
+            rest = np.setdiff1d(rest, np.concatenate(picked))
+    return np.concatenate(kept) if kept else rest
+
+
+def leaf_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, roots: np.ndarray | None = None, forests: int = 1) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Least spanning forests of the links between two leaves of unsigned fingerprints, as positions in both together.
+
+    Pairs of one root are left out.  The last value says whether other links were.
+    """
     shift = 0 if same else len(a)
+    label, cut = np.arange(len(a) + (0 if same else len(b))), False
+    if roots is not None:
+        _, first, at = np.unique(roots, return_index=True, return_inverse=True)
+        label = first[at]
     found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))
 
     def groups(x):
@@ -153,12 +166,16 @@ def leaf_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[n
         i, j = p[k] * GROUP + i, q[k] * GROUP + j
         real = (i < len(a)) & (j < len(b)) & ((i < j) if same else True)
         more = i[real], j[real] + shift, apart.ravel()[near][real]
-        found = forest(len(a) + len(b), *(np.concatenate(x) for x in zip(found, more)))
-    return found[0], found[1]
+        apart_now = label[more[0]] != label[more[1]]
+        found = tuple(np.concatenate([x, y[apart_now]]) for x, y in zip(found, more))
+        kept = spanning_forests(label, *found, forests)
+        cut |= len(kept) < len(found[0])
+        found = tuple(x[kept] for x in found)
+    return found[0], found[1], cut
 
 
-def hamming_links(distinct: DataFrame, ws: Workspace, *, radius: int, tag: str = "gray") -> DataFrame:
-    """Edges ``(a, b)`` between ids that connect all fingerprints within ``radius``.
+def gray_index(distinct: DataFrame, ws: Workspace, *, radius: int, tag: str = "gray") -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` of leaves that may hold links within ``radius``, and the leaves ``(id, fps, ids)``.
 
     ``distinct`` has ``id, fp, band``, each id once.  Bands are numbers of which
     only equal or neighbouring ones can be alike; a lone band is 0.
@@ -182,26 +199,55 @@ def hamming_links(distinct: DataFrame, ws: Workspace, *, radius: int, tag: str =
         apart = F.expr("bit_count((ones_a & ~any_b) | (ones_b & ~any_a))")
         pairs = pairs.join(below("a"), "a").join(below("b"), "b").where((F.col("node_a") <= F.col("node_b")) & (apart <= radius) & (F.col("low_b") <= F.col("high_a") + 1))
         pairs = ws.save(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), f"{tag}-pairs{level}")
+    return pairs, leaves.select("id", "fps", "ids")
+
+
+def _members(batches: Iterator) -> Iterator:
+    """A row per fingerprint of each leaf."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for leaf, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids = np.frombuffer(ids, "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), leaf, np.int64)), pa.array(np.arange(len(ids))), pa.array(ids)], ["leaf", "at", "node"])
+
+
+def index_links(pairs: DataFrame, leaves: DataFrame, *, radius: int, roots: DataFrame | None = None, forests: int = 1) -> DataFrame:
+    """``(a, b, leaf_a, leaf_b, cut)``: for each pair of leaves, ids linked by so many disjoint spanning forests.
+
+    Given ``roots (node, root)``, only pairs with different roots count.  ``cut``
+    says that the pair of leaves has further links, each of them between ids
+    that its forests connect.
+    """
+    stored = leaves.withColumn("roots", F.lit(None).cast("array<long>"))
+    if roots is not None:
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        used = leaves.join(ends, "id", "left_semi")
+        placed = used.select("id", "ids").mapInArrow(_members, "leaf long, at long, node long").join(roots, "node", "left")
+        own = F.array_sort(F.collect_list(F.struct("at", F.coalesce("root", "node").alias("root"))))  # at most LEAF
+        stored = used.join(placed.groupBy(F.col("leaf").alias("id")).agg(own.alias("own")), "id").select("id", "fps", "ids", F.col("own.root").alias("roots"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for a, b, x, y, x_ids, y_ids in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                i, j = leaf_links(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), radius, a == b)
+            for a, b, x, y, x_ids, y_ids, x_roots, y_roots in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                own = None if x_roots is None else np.array(x_roots if a == b else x_roots + y_roots, np.int64)
+                i, j, cut = leaf_links(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), radius, a == b, own, forests)
                 ids = np.frombuffer(x_ids if a == b else x_ids + y_ids, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
+                columns = [pa.array(ids[i]), pa.array(ids[j]), *(pa.array(np.full(len(i), v, np.int64)) for v in (a, b)), pa.array(np.full(len(i), cut, bool))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "leaf_a", "leaf_b", "cut"])
 
-    stored = leaves.select("id", "fps", "ids")
-    full = pairs.join(stored.toDF("a", "x", "x_ids"), "a").join(stored.toDF("b", "y", "y_ids"), "b").select("a", "b", "x", "y", "x_ids", "y_ids")
-    return ws.save(full.mapInArrow(run, "a long, b long"), f"{tag}-links")
+    full = pairs.join(stored.toDF("a", "x", "x_ids", "x_roots"), "a").join(stored.toDF("b", "y", "y_ids", "y_roots"), "b")
+    return full.select("a", "b", "x", "y", "x_ids", "y_ids", "x_roots", "y_roots").mapInArrow(run, "a long, b long, leaf_a long, leaf_b long, cut boolean")
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace, *, shingle: int = 3, radius: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)``: the least id of the documents reachable over links."""
     fps = ws.save(fingerprints(docs, shingle=shingle), "fps")
     distinct = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    links = hamming_links(distinct.select(F.col("fp").alias("id"), "fp", F.lit(0).alias("band")), ws, radius=radius)
+    index = gray_index(distinct.select(F.col("fp").alias("id"), "fp", F.lit(0).alias("band")), ws, radius=radius)
+    links = ws.save(index_links(*index, radius=radius).select("a", "b"), "links")
     roots = connected_components(links, ws)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = ws.save(rooted, "rooted")
@@ -243,28 +289,51 @@ def _shingles(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
 
+def _similar(links: DataFrame, rows: DataFrame, ws: Workspace, similarity: float, tag: str) -> DataFrame:
+    """Of ``(a, b)`` pairs of texts, those whose sets of five-word shingles are alike."""
+    ends = ws.save(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct(), f"ends{tag}")
+    sets = ws.save(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingles, "id long, shingles array<long>"), f"sets{tag}")
+    half = ws.save(links.join(sets.toDF("a", "x"), "a"), f"half{tag}")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = F.size("x") + F.size("y") - common
+    return half.join(sets.toDF("b", "y"), "b").where((common >= similarity * alike) | (F.size("x") + F.size("y") == 0)).select("a", "b")
+
+
 def deduplicate(docs: DataFrame, ws: Workspace, *, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near copies: the one with the least id; columns as before.
 
     Candidates come from the index, over bands of length that similar texts
     can't leave; the links of each pair of leaves are thinned to a least
     spanning forest and verified by the exact similarity of the sets of
-    five-word shingles.  Texts without words are copies of one another.
+    five-word shingles.  Where one proves false, a link that the forest left
+    out may still join its ends: such pairs of leaves come again, with links
+    between different components only and eight times as many forests, until none
+    has a link that was neither tested nor made needless by true ones.
+    Texts without words are copies of one another.
     """
     key = fresh(docs, "text_id")
     text = text_or_empty()
     rows = docs.select(F.xxhash64(text).alias("id"), text.alias("text"))
     ids = ws.save(docs.select("doc_id", F.xxhash64(text).alias("id")).groupBy("id").agg(F.min("doc_id").alias("doc_id")), "ids")
     sketches = ws.save(rows.mapInArrow(_sketch, "id long, fp long, band int"), "sketches").distinct()
-    links = hamming_links(ws.save(sketches, "distinct"), ws, radius=radius, tag="near")
-    links = ws.save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    ends = ws.save(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct(), "ends")
-    sets = ws.save(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingles, "id long, shingles array<long>"), "sets")
-    half = ws.save(links.join(sets.toDF("a", "x"), "a"), "half")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = F.size("x") + F.size("y") - common
-    good = half.join(sets.toDF("b", "y"), "b").where((common >= similarity * alike) | (F.size("x") + F.size("y") == 0)).select("a", "b")
-    roots = connected_components(ws.save(good, "verified"), ws, "near-cc")
+    pairs, leaves = gray_index(ws.save(sketches, "distinct"), ws, radius=radius, tag="near")
+    tested = good = roots = None
+    forests = 1
+    while True:
+        links = index_links(pairs, leaves, radius=radius, roots=roots, forests=forests)
+        links = ws.save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "leaf_a", "leaf_b", "cut"), f"candidates{forests}")
+        new = links.select("a", "b")
+        if tested is not None:
+            new = ws.save(new.join(tested, ["a", "b"], "left_anti"), f"new{forests}")
+        true = ws.save(_similar(new, rows, ws, similarity, str(forests)), f"verified{forests}")
+        tested = new if tested is None else tested.unionByName(new)
+        good = true if good is None else good.unionByName(true)
+        roots = connected_components(good, ws, f"near-cc{forests}")
+        false = links.where("cut").join(true, ["a", "b"], "left_anti")
+        pairs = ws.save(false.select(F.col("leaf_a").alias("a"), F.col("leaf_b").alias("b")).distinct(), f"open{forests}")
+        if pairs.isEmpty():
+            break
+        forests *= 8
     rooted = ws.save(ids.join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id"))
     stays = ws.save(rooted.groupBy("root").agg(least.alias("stays")).select("stays.doc_id", F.col("stays.id").alias(key)), "stays")
