@@ -282,3 +282,45 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     near = [*body[:60], "other", *body[61:]]
     rows = [(3, " ".join(body)), (1, " ".join(near)), (2, " ".join(body)), (4, " ".join(f"v{rng.randrange(10**6)}" for _ in range(120))), (6, None), (5, "")]
     assert {r.doc_id for r in simhash_index.deduplicate(docs(spark, rows), Workspace(spark, "t")).collect()} == {1, 4, 5}
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def line_recall(spark, groups):
+    """Of all pairs of lines with edit similarity of 0.8, the share found in one group; and wrong groups' lines."""
+    lines = sorted({x for group in groups for x in group})
+    rows = [(i, x) for i, x in enumerate(lines)]
+    _, repeated = fuzzy_lines.line_classes(docs(spark, rows), Workspace(spark, "t"))
+    roots = {r.line: r.root for r in repeated.collect()}
+    hashes = {r.text: r.h for r in docs(spark, rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    near, alone = [], set(lines)
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            most = int(max(len(a), len(b)) * 0.2 + 1e-9)
+            if abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most:
+                near.append((a, b))
+                alone -= {a, b}
+    found = sum(hashes[a] in roots and roots[hashes[a]] == roots.get(hashes[b]) for a, b in near)
+    return found, len(near), [x for x in alone if hashes[x] in roots]
+
+
+def test_fuzzy_lines_against_every_pair(spark):
+    """Lines of 8 to 40 words with a word replaced, added or left out, or with letters changed."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    groups = []
+    for k in range(40):
+        line = [word() for _ in range(rng.randrange(8, 41))]
+        at = rng.randrange(len(line))
+        change = [[word()], [line[at], word()], [], [line[at][::-1]]][k % 4]
+        typed = "".join(rng.choice("xyz") if c != " " and rng.random() < 0.06 else c for c in " ".join(line))
+        groups.append([" ".join(line), " ".join(line[:at] + change + line[at + 1 :]), typed])
+    found, near, wrong = line_recall(spark, groups)
+    assert near >= 80 and found >= 0.9 * near and not wrong
