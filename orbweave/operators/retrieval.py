@@ -7,11 +7,16 @@ broadcast or split where a cell is hot.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions import cells, lsh, markers
 from orbweave.functions.unsigned import sortable
+from orbweave.functions.vectors import matrix
+
+#: Rows of a block of the exact search, and queries scored at a time; products closer than SLACK are told apart in order of input.
+DATA_BLOCK, QUERY_BLOCK, SCORED, SLACK = 16384, 4096, 256, 1e-9
 
 
 def in_ranges(column: Column, ranges: list[tuple[str, str]]) -> Column:
@@ -69,6 +74,71 @@ def rerank(candidates: DataFrame, queries: DataFrame, data: DataFrame, *, k: int
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def block_topk(q: np.ndarray, ids: np.ndarray, e: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and cosines of the ``k`` best rows of ``e`` for each row of ``q``: NaN if one is zero, these last; ties go to the lesser id."""
+
+    def size(x):
+        total = np.zeros(len(x))
+        for i in range(x.shape[1]):
+            total += x[:, i] * x[:, i]
+        return np.sqrt(total)
+
+    q, e = q.astype(np.float64), e.astype(np.float64)
+    q_size, e_size = size(q), size(e)
+    unit = e / np.where(e_size > 0, e_size, 1)[:, None]
+    out = []
+    for at in range(0, len(q), SCORED):
+        part, own = q[at : at + SCORED], q_size[at : at + SCORED]
+        score = part / np.where(own > 0, own, 1)[:, None] @ unit.T
+        score[:, e_size == 0] = -2
+        least = np.partition(score, -k, axis=1)[:, -k] if k < len(e) else np.full(len(part), -np.inf)
+        i, j = np.nonzero(score >= least[:, None] - SLACK)
+        dot = np.zeros(len(i))
+        for x in range(q.shape[1]):
+            dot += part[i, x] * e[j, x]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cosine = np.where((own[i] > 0) & (e_size[j] > 0), dot / (own[i] * e_size[j]), np.nan)
+        order = np.lexsort((ids[j], -cosine, i))
+        i, j, cosine = i[order], j[order], cosine[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((i[first] + at, j[first], cosine[first]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def exact_topk(queries: DataFrame, data: DataFrame, *, k: int) -> DataFrame:
+    """As ``rerank`` over all pairs of ``queries (query_id, embedding)`` and ``data (id, embedding)``, ids being BIGINTs.
+
+    Every query meets every row, a block of each at a time; a pair of blocks
+    yields ``k`` rows per query.  Null embeddings are left out.
+    """
+    queries, data = queries.where("embedding is not null"), data.where("embedding is not null")
+    q_blocks, d_blocks = -(-queries.count() // QUERY_BLOCK) or 1, -(-data.count() // DATA_BLOCK) or 1
+    block = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(block("query_id", q_blocks).alias("qb"), every(d_blocks).alias("db"), F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    held = data.select(every(q_blocks).alias("qb"), block("id", d_blocks).alias("db"), F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
+
+    def run(left, right):
+        import pyarrow as pa
+
+        q_ids, ids = (t.column(2).combine_chunks().to_numpy(zero_copy_only=False) for t in (left, right))
+        if not len(q_ids) or not len(ids):
+            i = j = np.empty(0, np.int64)
+            cosines = np.empty(0)
+        else:
+            width = len(left.column(3)[0])
+            (q, _, odd_q), (e, _, odd_e) = (matrix(t.column(3).combine_chunks(), width) for t in (left, right))
+            for bad in (odd_q.any() | odd_e.any(), not (np.isfinite(q).all() and np.isfinite(e).all())):
+                if bad:
+                    raise ValueError("embeddings must have one width and finite values")
+            i, j, cosines = block_topk(q, ids, e, k)
+        return pa.table({"query_id": pa.array(q_ids[i], pa.int64()), "id": pa.array(ids[j], pa.int64()), "cosine": pa.array(cosines, pa.float64(), mask=np.isnan(cosines))})
+
+    scored = asked.groupBy("qb", "db").cogroup(held.groupBy("qb", "db")).applyInArrow(run, "query_id long, id long, cosine double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("cosine"), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def points_in_cells(points: DataFrame, cover: DataFrame, *, cover_levels: list[int] | None = None) -> DataFrame:
     """Pairs of ``points (id, cell)`` and ``cover (region_id, cell)`` where the cover's cell holds the point.
 
