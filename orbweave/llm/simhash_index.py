@@ -20,6 +20,7 @@ are null; columns besides id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.common import Workspace, fresh, table, text_or_empty
 from orbweave.llm.components import connected_components
-from orbweave.llm.hashing import shingle_hashes, word_hashes
+from orbweave.llm.hashing import mix, shingle_hashes, word_hashes
 
 SEED = 42
 LEAF, GROUP, FAN_BITS = 4096, 64, 3
@@ -258,22 +259,34 @@ def near_duplicates(docs: DataFrame, ws: Workspace, *, shingle: int = 3, radius:
 
 BAND = 1.25
 SIMILARITY, WORDS = 0.8, 5
-#: 293 of 293 near copies with five-word similarity of 0.8 or more lay within 11 bits over three-word shingles.
-WIDE_RADIUS, FEATURE = 11, 3
+#: At similarity 0.8 a bit of two fingerprints of sets of shingles differs with probability 0.15, so 91 % of pairs
+#: lie within 13 of 64 bits, and 99 % in one or the other of two independent fingerprints.
+WIDE_RADIUS, FINGERPRINTS = 13, 2
+
+
+def set_fingerprint(hashes: np.ndarray, number: int) -> int:
+    """Signed 64-bit SimHash of distinct 64-bit hashes; those of other numbers are independent of it."""
+    if not len(hashes):
+        return 0
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 4096):
+        own = mix(hashes[at : at + 4096] + np.uint64(number) * np.uint64(0x9E3779B97F4A7C15))
+        counts += np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def _sketch(batches: Iterator) -> Iterator:
-    """Per text: fingerprint, and the band of its number of distinct five-word shingles."""
+    """Per text: fingerprints of its distinct five-word shingles, and the band of their number."""
     import pyarrow as pa
 
     for batch in batches:
         fps, bands = [], []
         for text in batch.column(1):
-            text = text.as_py()
-            fps.append(fingerprint(text, FEATURE))
-            n = len(np.unique(shingle_set(text)))
+            shingles = np.unique(shingle_set(text.as_py()))
+            n = len(shingles)
+            fps.append([set_fingerprint(shingles, k) for k in range(FINGERPRINTS)])
             bands.append(int(np.floor(np.log(n) / np.log(BAND))) if n else -2)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(bands, pa.int32())], ["id", "fp", "band"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(bands, pa.int32())], ["id", "fps", "band"])
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -302,8 +315,9 @@ def _similar(links: DataFrame, rows: DataFrame, ws: Workspace, similarity: float
 def deduplicate(docs: DataFrame, ws: Workspace, *, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near copies: the one with the least id; columns as before.
 
-    Candidates come from the index, over bands of length that similar texts
-    can't leave; the links of each pair of leaves are thinned to a least
+    Candidates come from two indexes of independent fingerprints of the sets of
+    five-word shingles, over bands of length that similar texts can't leave; the
+    links of each pair of leaves are thinned to a least
     spanning forest and verified by the exact similarity of the sets of
     five-word shingles.  Where one proves false, a link that the forest left
     out may still join its ends: such pairs of leaves come again, with links
@@ -315,23 +329,27 @@ def deduplicate(docs: DataFrame, ws: Workspace, *, radius: int = WIDE_RADIUS, si
     text = text_or_empty()
     rows = docs.select(F.xxhash64(text).alias("id"), text.alias("text"))
     ids = ws.save(docs.select("doc_id", F.xxhash64(text).alias("id")).groupBy("id").agg(F.min("doc_id").alias("doc_id")), "ids")
-    sketches = ws.save(rows.mapInArrow(_sketch, "id long, fp long, band int"), "sketches").distinct()
-    pairs, leaves = gray_index(ws.save(sketches, "distinct"), ws, radius=radius, tag="near")
+    sketches = ws.save(rows.mapInArrow(_sketch, "id long, fps array<long>, band int"), "sketches").distinct()
+    distinct = ws.save(sketches, "distinct")
+    indexes = [gray_index(distinct.select("id", F.col("fps")[k].alias("fp"), "band"), ws, radius=radius, tag=f"near{k}-") for k in range(FINGERPRINTS)]
     tested = good = roots = None
     forests = 1
     while True:
-        links = index_links(pairs, leaves, radius=radius, roots=roots, forests=forests)
-        links = ws.save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "leaf_a", "leaf_b", "cut"), f"candidates{forests}")
-        new = links.select("a", "b")
-        if tested is not None:
-            new = ws.save(new.join(tested, ["a", "b"], "left_anti"), f"new{forests}")
+        found = []
+        for k, (pairs, leaves) in enumerate(indexes):
+            links = index_links(pairs, leaves, radius=radius, roots=roots, forests=forests)
+            found.append(ws.save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "leaf_a", "leaf_b", "cut"), f"candidates{forests}-{k}"))
+        new = reduce(DataFrame.unionByName, [links.select("a", "b") for links in found]).distinct()
+        new = ws.save(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), f"new{forests}")
         true = ws.save(_similar(new, rows, ws, similarity, str(forests)), f"verified{forests}")
         tested = new if tested is None else tested.unionByName(new)
         good = true if good is None else good.unionByName(true)
         roots = connected_components(good, ws, f"near-cc{forests}")
-        false = links.where("cut").join(true, ["a", "b"], "left_anti")
-        pairs = ws.save(false.select(F.col("leaf_a").alias("a"), F.col("leaf_b").alias("b")).distinct(), f"open{forests}")
-        if pairs.isEmpty():
+        for k, links in enumerate(found):
+            false = links.where("cut").join(true, ["a", "b"], "left_anti")
+            pairs = ws.save(false.select(F.col("leaf_a").alias("a"), F.col("leaf_b").alias("b")).distinct(), f"open{forests}-{k}")
+            indexes[k] = pairs, indexes[k][1]
+        if all(pairs.isEmpty() for pairs, _ in indexes):
             break
         forests *= 8
     rooted = ws.save(ids.join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")

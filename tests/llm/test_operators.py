@@ -324,3 +324,27 @@ def test_fuzzy_lines_against_every_pair(spark):
         groups.append([" ".join(line), " ".join(line[:at] + change + line[at + 1 :]), typed])
     found, near, wrong = line_recall(spark, groups)
     assert near >= 80 and found >= 0.9 * near and not wrong
+
+
+def test_near_dedup_recall_at_the_threshold(spark):
+    """Block edits and appended passages at similarity 0.80 to 0.85, and a passage repeated in one copy; no radius in the brute force."""
+    rng = random.Random(17)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    pairs = []
+    for k in range(90):
+        body = words(rng.randrange(200, 300))
+        if k % 3 == 0:
+            copy = [*body[:60], *words(len(body) // 13), *body[60 + len(body) // 13 :]]
+        elif k % 3 == 1:
+            copy = body + words(len(body) * 21 // 100)
+        else:
+            copy = body + words(10) * 10
+        alike = len(shingles(body) & shingles(copy)) / len(shingles(body) | shingles(copy))
+        assert 0.8 <= alike < 0.85 or k % 3 == 2 and alike > 0.9
+        pairs.append((body, copy))
+    rows = [(2 * k + side, " ".join(t)) for k, pair in enumerate(pairs) for side, t in enumerate(pair)]
+    kept = {r.doc_id for r in simhash_index.deduplicate(docs(spark, rows), Workspace(spark, "t")).collect()}
+    assert all(2 * k in kept for k in range(90))
+    found = [2 * k + 1 not in kept for k in range(90)]
+    assert sum(found) >= 0.95 * len(found) and all(found[2::3])
