@@ -348,3 +348,22 @@ def test_near_dedup_recall_at_the_threshold(spark):
     assert all(2 * k in kept for k in range(90))
     found = [2 * k + 1 not in kept for k in range(90)]
     assert sum(found) >= 0.95 * len(found) and all(found[2::3])
+
+
+def test_fuzzy_lines_of_few_words_against_every_pair(spark):
+    """Short lines, 3 to 7 words, and unspaced lines with a letter replaced, added or left out."""
+    rng = random.Random(22)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    groups = []
+    for k in range(60):
+        if k % 3 == 0:
+            line = letters(rng.randrange(5, 15), "abcdefghij")
+        elif k % 3 == 1:
+            line = " ".join(letters(rng.randrange(4, 9), "abcdefghijklmn") for _ in range(rng.randrange(3, 8)))
+        else:
+            line = letters(rng.randrange(15, 80), [chr(0x4E00 + i) for i in range(200)])
+        at = rng.randrange(1, len(line) - 1)
+        at += line[at] == " "
+        groups.append([line, line[:at] + ["x", "", "x" + line[at]][k // 3 % 3] + line[at + 1 :]])
+    found, near, wrong = line_recall(spark, groups)
+    assert near >= 60 and found >= 0.9 * near and not wrong
