@@ -6,29 +6,25 @@ G = "11400714819323198485"  # 0x9e3779b97f4a7c15
 TWO64 = "18446744073709551616::UHUGEINT"
 
 
-def encode2(bits: int, x: str, y: str, kind: str = "BIGINT", swap: str = "0") -> str:
-    one = f"1::{kind}"
-    bx, by = f"((({x})::{kind} >> k) & {one})", f"((({y})::{kind} >> k) & {one})"
-    rx = f"xor(CASE WHEN a.s = 1 THEN {by} ELSE {bx} END, a.f)"
-    ry = f"xor(CASE WHEN a.s = 1 THEN {bx} ELSE {by} END, a.f)"
-    start = f"{{'h': 0::{kind}, 's': ({swap})::{kind}, 'f': 0::{kind}}}"
-    steps = f"list_transform(range({bits - 1}, -1, -1), lambda z: {{'h': z::{kind}, 's': 0::{kind}, 'f': 0::{kind}}})"
-    step = f"lambda a, e: {{'h': (a.h * 4::{kind}) + {rx} * 2::{kind} + xor({rx}, {ry}), 's': xor(a.s, {one} - {ry}), 'f': xor(a.f, ({one} - {ry}) & {rx})}}".replace(">> k", ">> e.h" + ("" if kind == "UHUGEINT" else "::INT"))
-    return f"list_reduce({steps}, {step}, {start}).h"
+def encode2(bits: int, x: str, y: str, kind: str = "BIGINT", along_y: str = "0") -> str:
+    """By moving the point: in the first quadrant the curve is a transposed copy of the whole, in the last a copy
+    transposed about the other diagonal, so the rest of the coordinates is mapped back and read as before."""
+    start = f"{{'h': 0::{kind}, 'x': (CASE WHEN ({along_y}) = 1 THEN {y} ELSE {x} END)::{kind}, 'y': (CASE WHEN ({along_y}) = 1 THEN {x} ELSE {y} END)::{kind}}}"
+    sides = f"list_transform(range({bits - 1}, -1, -1), lambda k: {{'h': (2 ** k)::{kind}, 'x': 0::{kind}, 'y': 0::{kind}}})"
+    right, top, u, v = "a.x >= e.h", "a.y >= e.h", "(a.x % e.h)", "(a.y % e.h)"
+    digit = f"(CASE WHEN {right} THEN (CASE WHEN {top} THEN 2 ELSE 3 END) ELSE (CASE WHEN {top} THEN 1 ELSE 0 END) END)::{kind}"
+    moved = lambda own, other: f"CASE WHEN {top} THEN {own} WHEN {right} THEN e.h - 1::{kind} - {other} ELSE {other} END"
+    return f"list_reduce({sides}, lambda a, e: {{'h': a.h * 4::{kind} + {digit}, 'x': {moved(u, v)}, 'y': {moved(v, u)}}}, {start}).h"
 
 
 def decode2(bits: int, h: str) -> str:
-    d = "(({h} >> (2 * e.x)) & 3)".format(h=h)
-    rx = f"({d} >> 1)"
-    ry = f"xor({d} & 1, {rx})"
-    a, b = f"xor({rx}, a.f)", f"xor({ry}, a.f)"
+    """The other way: from the smallest square up, each one is put into its quadrant of the next."""
+    d, side = f"(({h} >> (2 * e.x)) & 3)", "(1::BIGINT << e.x::INT)"
     step = (
-        f"lambda a, e: {{'x': a.x * 2 + CASE WHEN a.s = 1 THEN {b} ELSE {a} END, 'y': a.y * 2 + CASE WHEN a.s = 1 THEN {a} ELSE {b} END, "
-        f"'s': xor(a.s, 1 - {ry}), 'f': xor(a.f, (1 - {ry}) & {rx})}}"
+        f"lambda a, e: {{'x': CASE {d} WHEN 0 THEN a.y WHEN 1 THEN a.x WHEN 2 THEN a.x + {side} ELSE 2 * {side} - 1 - a.y END, "
+        f"'y': CASE {d} WHEN 0 THEN a.x WHEN 3 THEN {side} - 1 - a.x ELSE a.y + {side} END}}"
     )
-    zero = "{'x': 0::BIGINT, 'y': 0::BIGINT, 's': 0::BIGINT, 'f': 0::BIGINT}"
-    steps = f"list_transform(range({bits - 1}, -1, -1), lambda z: {{'x': z, 'y': 0::BIGINT, 's': 0::BIGINT, 'f': 0::BIGINT}})"
-    return f"list_reduce({steps}, {step}, {zero})"
+    return f"list_reduce(list_transform(range({bits}), lambda k: {{'x': k, 'y': 0::BIGINT}}), {step}, {{'x': 0::BIGINT, 'y': 0::BIGINT}})"
 
 
 def _turns(dims: int, bits: int, up: bool) -> str:
@@ -120,7 +116,7 @@ _IJ = lambda s: f"CASE WHEN {s} > 0 THEN least(trunc(1073741824.0 * {s})::BIGINT
 #: ``(c_custkey, id UBIGINT)`` of the points that the queries derive.
 LEAVES = f"""
   SELECT c_custkey, (face::UHUGEINT * (1::UHUGEINT << 61) + p::UHUGEINT * 2::UHUGEINT + 1::UHUGEINT)::UBIGINT AS id, face::INT AS face FROM (
-    SELECT c_custkey, face, {encode2(30, 'i', 'j', swap='face % 2')} AS p FROM (
+    SELECT c_custkey, face, {encode2(30, 'i', 'j', along_y='face % 2')} AS p FROM (
       SELECT c_custkey, face, {_IJ('s')} AS i, {_IJ('t')} AS j FROM (
         SELECT c_custkey, face, {_ST('u')} AS s, {_ST('v')} AS t FROM (
           SELECT c_custkey, face,
