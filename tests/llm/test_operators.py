@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -199,9 +200,12 @@ def test_fuzzy_lines(spark):
     got = {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(docs(spark, rows), Workspace(spark, "t")).collect()}
     assert got[1] == f"{line}\nshort\n---" and got[2] == "own text of the second document stays here in full"
     assert got[4] is None and got[5] == "" and got[6] == ""
-    fps = spark.createDataFrame([(line.split(),), (close.split(),), (["one"] * 300,)], "w array<string>").select("w", fuzzy_lines.simhash(F.col("w")).alias("fp"), F.transform("w", lambda w: F.xxhash64(w)).alias("h")).collect()
-    for r in fps:
-        assert r.fp % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in r.h) > len(r.h))
+    hashes = np.random.default_rng(3).integers(0, 2**63, 200_000, dtype=np.uint64)
+    who = np.sort(np.concatenate([np.zeros(70_000, int), np.random.default_rng(4).integers(0, 9, 130_000)]))
+    fps, tells = fuzzy_lines.fingerprints(who, hashes, 11)
+    for k in range(11):
+        own = hashes[who == k]
+        assert int(fps[k]) % (1 << 64) == sum(1 << b for b in range(64) if 2 * int((own >> np.uint64(b) & np.uint64(1)).sum()) > len(own)) and bool(tells[k]) == (k < 9)
 
 
 def test_reply_trees(spark):
