@@ -22,13 +22,15 @@ class Workspace:
 
     A written table cuts the lineage: losing an executor costs no more than
     the tasks that ran on it.  The folder is ``spark.checkpoint.dir``; where
-    that is unset (local tests) a temporary folder of this machine serves.
+    that is unset and Spark runs on this machine alone, as in tests, a temporary
+    folder serves.  Tables are deleted when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+        root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark)
         self.path = f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
+        self._file_system().deleteOnExit(self._hadoop_path())
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` as Parquet and return it read back."""
@@ -44,17 +46,22 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            self._file_system().delete(self._hadoop_path(f"/{name}"), True)
+
+    def _hadoop_path(self, below: str = ""):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path + below)
+
+    def _file_system(self):
+        return self._hadoop_path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 _LOCAL: list[str] = []
 
 
-def _local_root() -> str:
+def _local_root(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
     return f"file://{_LOCAL[0]}"

@@ -20,7 +20,6 @@ are null; columns besides id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +28,10 @@ from pyspark.sql import functions as F
 from orbweave.llm.common import Workspace, fresh, table, text_or_empty
 from orbweave.llm.components import connected_components
 from orbweave.llm.hashing import mix, shingle_hashes, word_hashes
+from orbweave.llm.stars import Fit, candidates
 
 SEED = 42
-LEAF, GROUP, FAN_BITS = 4096, 64, 3
+LEAF, GROUP, FAN_BITS = 65536, 64, 3
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -77,29 +77,20 @@ def gray_rank(fp: Column) -> Column:
 
 
 def _leaves(batches: Iterator) -> Iterator:
-    """Cut a sorted partition into leaves of at most LEAF fingerprints of one band."""
+    """Cut a sorted partition into leaves of at most LEAF fingerprints."""
     import pyarrow as pa
     from pyspark import TaskContext
 
-    part, at = TaskContext.get().partitionId(), 0
-    rest = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
-    names = ["part", "at", "band", "ones", "any", "fps", "ids"]
-
-    def leaf(band, fps, ids):
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        values = [part, at, int(band), np.bitwise_and.reduce(fps), np.bitwise_or.reduce(fps), fps.astype("<i8").tobytes(), ids.astype("<i8").tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
-
+    part, at, rest = TaskContext.get().partitionId(), 0, np.empty(0, np.int64)
+    kinds = [("part", pa.int32()), ("at", pa.int32()), ("ones", pa.int64()), ("any", pa.int64()), ("fps", pa.binary())]
     for batch in [*batches, None]:
         if batch is not None:
-            rest = [np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(rest)]
-        while len(rest[0]):
-            n = int(np.searchsorted(rest[0], rest[0][0], side="right"))
-            if batch is not None and n == len(rest[0]) < LEAF:
-                break  # the band may go on in the next batch
-            n = min(n, LEAF)
-            yield leaf(rest[0][0], rest[1][:n], rest[2][:n])
-            rest, at = [x[n:] for x in rest], at + 1
+            rest = np.concatenate([rest, batch.column(0).to_numpy(zero_copy_only=False)])
+        while len(rest) >= LEAF or batch is None and len(rest):
+            fps, rest = rest[:LEAF], rest[LEAF:]
+            values = [part, at, np.bitwise_and.reduce(fps), np.bitwise_or.reduce(fps), fps.astype("<i8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, (_, k) in zip(values, kinds)], [name for name, _ in kinds])
+            at += 1
 
 
 def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -118,33 +109,11 @@ def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.concatenate(needed) if needed else at
 
 
-def spanning_forests(label: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, forests: int) -> np.ndarray:
-    """Of weighted pairs, the positions of those of so many disjoint spanning forests, each of the least weight that is left."""
-    kept, rest = [], np.arange(len(i))
-    for k in range(forests):
-        own, picked = label.copy(), []
-        for weight in np.unique(w[rest]):
-            at = rest[w[rest] == weight]
-            picked.append(at[merge_labels(own, i[at], j[at])])
-        if not picked:
-            break
-        kept += picked
-        if k + 1 < forests:
-            rest = np.setdiff1d(rest, np.concatenate(picked))
-    return np.concatenate(kept) if kept else rest
-
-
-def leaf_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, roots: np.ndarray | None = None, forests: int = 1) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Least spanning forests of the links between two leaves of unsigned fingerprints, as positions in both together.
-
-    Pairs of one root are left out.  The last value says whether other links were.
-    """
+def leaf_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two leaves of unsigned fingerprints, as positions in both together."""
     shift = 0 if same else len(a)
-    label, cut = np.arange(len(a) + (0 if same else len(b))), False
-    if roots is not None:
-        _, first, at = np.unique(roots, return_index=True, return_inverse=True)
-        label = first[at]
-    found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))
+    label = np.arange(len(a) + (0 if same else len(b)))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def groups(x):
         at = np.arange(0, len(x), GROUP)
@@ -153,38 +122,35 @@ def leaf_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, roots: np.
 
     xs, x_ones, x_any = groups(a)
     ys, y_ones, y_any = groups(b)
-    differ = np.bitwise_count((x_ones[:, None] & ~y_any[None, :]) | (y_ones[None, :] & ~x_any[:, None]))
-    gx, gy = np.nonzero(differ <= radius)
-    if same:
-        gx, gy = gx[gx <= gy], gy[gx <= gy]
-    for at in range(0, len(gx), 64):
-        p, q = gx[at : at + 64], gy[at : at + 64]
-        apart = np.bitwise_count(xs[p][:, :, None] ^ ys[q][:, None, :])
-        near = np.flatnonzero(apart.ravel() <= radius)
-        if not len(near):
-            continue
-        k, i, j = np.unravel_index(near, apart.shape)
-        i, j = p[k] * GROUP + i, q[k] * GROUP + j
-        real = (i < len(a)) & (j < len(b)) & ((i < j) if same else True)
-        more = i[real], j[real] + shift, apart.ravel()[near][real]
-        apart_now = label[more[0]] != label[more[1]]
-        found = tuple(np.concatenate([x, y[apart_now]]) for x, y in zip(found, more))
-        kept = spanning_forests(label, *found, forests)
-        cut |= len(kept) < len(found[0])
-        found = tuple(x[kept] for x in found)
-    return found[0], found[1], cut
+    for rows in range(0, len(xs), 256):
+        here = slice(rows, rows + 256)
+        differ = np.bitwise_count((x_ones[here, None] & ~y_any[None, :]) | (y_ones[None, :] & ~x_any[here, None]))
+        gx, gy = np.nonzero(differ <= radius)
+        gx += rows
+        if same:
+            gx, gy = gx[gx <= gy], gy[gx <= gy]
+        for at in range(0, len(gx), 64):
+            p, q = gx[at : at + 64], gy[at : at + 64]
+            apart = np.bitwise_count(xs[p][:, :, None] ^ ys[q][:, None, :])
+            near = np.flatnonzero(apart.ravel() <= radius)
+            if not len(near):
+                continue
+            k, i, j = np.unravel_index(near, apart.shape)
+            i, j = p[k] * GROUP + i, q[k] * GROUP + j
+            real = (i < len(a)) & (j < len(b)) & ((i < j) if same else True)
+            i, j = i[real], j[real] + shift
+            needed = merge_labels(label, i, j)
+            found.append((i[needed], j[needed]))
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate([none, *(f[side] for f in found)]) for side in (0, 1))
 
 
 def gray_index(distinct: DataFrame, ws: Workspace, *, radius: int, tag: str = "gray") -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(a, b)`` of leaves that may hold links within ``radius``, and the leaves ``(id, fps, ids)``.
-
-    ``distinct`` has ``id, fp, band``, each id once.  Bands are numbers of which
-    only equal or neighbouring ones can be alike; a lone band is 0.
-    """
+    """Pairs ``(a, b)`` of leaves that may hold links within ``radius``, and the leaves ``(id, fps)``; ``distinct (fp)`` has each once."""
     n = distinct.count()
-    order = ["band", gray_rank(F.col("fp"))]
-    ranked = distinct.select("band", "fp", "id").repartitionByRange(max(1, -(-n // LEAF)), *order).sortWithinPartitions(*order)
-    leaves = ws.save(ranked.mapInArrow(_leaves, "part int, at int, band int, ones long, any long, fps binary, ids binary"), f"{tag}-leaves")
+    rank = gray_rank(F.col("fp"))
+    ranked = distinct.select("fp").repartitionByRange(max(1, -(-n // LEAF)), rank).sortWithinPartitions(rank)
+    leaves = ws.save(ranked.mapInArrow(_leaves, "part int, at int, ones long, any long, fps binary"), f"{tag}-leaves")
     size = leaves.agg(F.max("part"), F.max("at")).first()
     per_part = 1 + (size[1] or 0)
     leaves = leaves.withColumn("id", F.col("part").cast("long") * per_part + F.col("at"))
@@ -195,60 +161,37 @@ def gray_index(distinct: DataFrame, ws: Workspace, *, radius: int, tag: str = "g
     pairs = distinct.sparkSession.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"))
     for level in range(height - 1, -1, -1):
         node = F.shiftright("id", FAN_BITS * level)
-        nodes = leaves.groupBy(node.alias("node")).agg(F.expr("bit_and(ones)").alias("ones"), F.expr("bit_or(any)").alias("any"), F.min("band").alias("low"), F.max("band").alias("high"))
+        nodes = leaves.groupBy(node.alias("node")).agg(F.expr("bit_and(ones)").alias("ones"), F.expr("bit_or(any)").alias("any"))
         below = lambda s: nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in nodes.columns], F.shiftright("node", FAN_BITS).alias(s))  # noqa: B023, E731
         apart = F.expr("bit_count((ones_a & ~any_b) | (ones_b & ~any_a))")
-        pairs = pairs.join(below("a"), "a").join(below("b"), "b").where((F.col("node_a") <= F.col("node_b")) & (apart <= radius) & (F.col("low_b") <= F.col("high_a") + 1))
+        pairs = pairs.join(below("a"), "a").join(below("b"), "b").where((F.col("node_a") <= F.col("node_b")) & (apart <= radius))
         pairs = ws.save(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), f"{tag}-pairs{level}")
-    return pairs, leaves.select("id", "fps", "ids")
-
-
-def _members(batches: Iterator) -> Iterator:
-    """A row per fingerprint of each leaf."""
-    import pyarrow as pa
-
-    for batch in batches:
-        for leaf, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.frombuffer(ids, "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), leaf, np.int64)), pa.array(np.arange(len(ids))), pa.array(ids)], ["leaf", "at", "node"])
-
+    return pairs, leaves.select("id", "fps")
 
-def index_links(pairs: DataFrame, leaves: DataFrame, *, radius: int, roots: DataFrame | None = None, forests: int = 1) -> DataFrame:
-    """``(a, b, leaf_a, leaf_b, cut)``: for each pair of leaves, ids linked by so many disjoint spanning forests.
 
-    Given ``roots (node, root)``, only pairs with different roots count.  ``cut``
-    says that the pair of leaves has further links, each of them between ids
-    that its forests connect.
-    """
-    stored = leaves.withColumn("roots", F.lit(None).cast("array<long>"))
-    if roots is not None:
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        used = leaves.join(ends, "id", "left_semi")
-        placed = used.select("id", "ids").mapInArrow(_members, "leaf long, at long, node long").join(roots, "node", "left")
-        own = F.array_sort(F.collect_list(F.struct("at", F.coalesce("root", "node").alias("root"))))  # at most LEAF
-        stored = used.join(placed.groupBy(F.col("leaf").alias("id")).agg(own.alias("own")), "id").select("id", "fps", "ids", F.col("own.root").alias("roots"))
+def index_links(pairs: DataFrame, leaves: DataFrame, *, radius: int) -> DataFrame:
+    """``(a, b)`` fingerprints linked by a spanning forest of each pair of leaves; a leaf's pair with itself carries it once."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for a, b, x, y, x_ids, y_ids, x_roots, y_roots in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                own = None if x_roots is None else np.array(x_roots if a == b else x_roots + y_roots, np.int64)
-                i, j, cut = leaf_links(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), radius, a == b, own, forests)
-                ids = np.frombuffer(x_ids if a == b else x_ids + y_ids, "<i8")
-                columns = [pa.array(ids[i]), pa.array(ids[j]), *(pa.array(np.full(len(i), v, np.int64)) for v in (a, b)), pa.array(np.full(len(i), cut, bool))]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "leaf_a", "leaf_b", "cut"])
+            for k in range(batch.num_rows):
+                x, y = (batch.column(i)[k].as_py() for i in (0, 1))
+                i, j = leaf_links(np.frombuffer(x, "<u8"), np.frombuffer(x if y is None else y, "<u8"), radius, y is None)
+                fps = np.frombuffer(x if y is None else x + y, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(fps[i]), pa.array(fps[j])], ["a", "b"])
 
-    full = pairs.join(stored.toDF("a", "x", "x_ids", "x_roots"), "a").join(stored.toDF("b", "y", "y_ids", "y_roots"), "b")
-    return full.select("a", "b", "x", "y", "x_ids", "y_ids", "x_roots", "y_roots").mapInArrow(run, "a long, b long, leaf_a long, leaf_b long, cut boolean")
+    own = pairs.where("a = b").join(leaves.toDF("a", "x"), "a").select("x", F.lit(None).cast("binary").alias("y"))
+    two = pairs.where("a <> b").join(leaves.toDF("a", "x"), "a").join(leaves.toDF("b", "y"), "b").select("x", "y")
+    return own.unionByName(two).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace, *, shingle: int = 3, radius: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)``: the least id of the documents reachable over links."""
     fps = ws.save(fingerprints(docs, shingle=shingle), "fps")
     distinct = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    index = gray_index(distinct.select(F.col("fp").alias("id"), "fp", F.lit(0).alias("band")), ws, radius=radius)
-    links = ws.save(index_links(*index, radius=radius).select("a", "b"), "links")
+    links = ws.save(index_links(*gray_index(distinct, ws, radius=radius), radius=radius), "links")
     roots = connected_components(links, ws)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = ws.save(rooted, "rooted")
@@ -257,105 +200,94 @@ def near_duplicates(docs: DataFrame, ws: Workspace, *, shingle: int = 3, radius:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-BAND = 1.25
-SIMILARITY, WORDS = 0.8, 5
-#: At similarity 0.8 a bit of two fingerprints of sets of shingles differs with probability 0.15, so 91 % of pairs
-#: lie within 13 of 64 bits, and 99 % in one or the other of two independent fingerprints.
-WIDE_RADIUS, FINGERPRINTS = 13, 2
+SIMILARITY, WORDS, LEAST = 0.8, 5, 8
+#: Distance of the fingerprints of candidates that share a shingle: at similarity 0.8 a bit differs with probability 0.15,
+#: so one pair in a thousand lies beyond.
+WIDE_RADIUS = 20
 
 
-def set_fingerprint(hashes: np.ndarray, number: int) -> int:
-    """Signed 64-bit SimHash of distinct 64-bit hashes; those of other numbers are independent of it."""
-    if not len(hashes):
-        return 0
+def shingle_set(text: str) -> np.ndarray:
+    """Distinct hashes, ascending, of the five-word shingles of a text (of all its words, if it has fewer)."""
+    words = word_hashes(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()))
+    return np.unique(shingle_hashes(words, max(1, min(WORDS, len(words)))))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of distinct 64-bit hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
-        own = mix(hashes[at : at + 4096] + np.uint64(number) * np.uint64(0x9E3779B97F4A7C15))
+        own = hashes[at : at + 4096]
         counts += np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def _sketch(batches: Iterator) -> Iterator:
-    """Per text: fingerprints of its distinct five-word shingles, and the band of their number."""
+    """Per text: number of its distinct five-word shingles, their SimHash, and as keys the least of each of LEAST classes of them."""
     import pyarrow as pa
 
     for batch in batches:
-        fps, bands = [], []
+        sizes, fps, keys = [], [], []
         for text in batch.column(1):
-            shingles = np.unique(shingle_set(text.as_py()))
-            n = len(shingles)
-            fps.append([set_fingerprint(shingles, k) for k in range(FINGERPRINTS)])
-            bands.append(int(np.floor(np.log(n) / np.log(BAND))) if n else -2)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(bands, pa.int32())], ["id", "fps", "band"])
-
-
-def shingle_set(text: str) -> np.ndarray:
-    words = word_hashes(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()))
-    return shingle_hashes(words, max(1, min(WORDS, len(words))))
+            shingles = shingle_set(text.as_py())
+            sizes.append(len(shingles))
+            fps.append(set_fingerprint(shingles))
+            first = np.unique(shingles >> np.uint64(3) & np.uint64(LEAST - 1), return_index=True)[1]
+            keys.append(mix(shingles[first] + np.uint64(1)).view(np.int64) if len(shingles) else [0])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "size", "fp", "keys"])
 
 
 def _shingles(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        sets = [np.unique(shingle_set(t.as_py())).view(np.int64) for t in batch.column(1)]
+        sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
 
 def _similar(links: DataFrame, rows: DataFrame, ws: Workspace, similarity: float, tag: str) -> DataFrame:
     """Of ``(a, b)`` pairs of texts, those whose sets of five-word shingles are alike."""
-    ends = ws.save(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct(), f"ends{tag}")
-    sets = ws.save(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingles, "id long, shingles array<long>"), f"sets{tag}")
-    half = ws.save(links.join(sets.toDF("a", "x"), "a"), f"half{tag}")
+    links = ws.save(links.distinct(), f"{tag}-pairs")
+    ends = ws.save(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct(), f"{tag}-ends")
+    sets = ws.save(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingles, "id long, shingles array<long>"), f"{tag}-sets")
     common = F.size(F.array_intersect("x", "y"))
     alike = F.size("x") + F.size("y") - common
-    return half.join(sets.toDF("b", "y"), "b").where((common >= similarity * alike) | (F.size("x") + F.size("y") == 0)).select("a", "b")
+    both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    found = ws.save(both.where((common >= similarity * alike) | (F.size("x") + F.size("y") == 0)).select("a", "b"), f"{tag}-verified")
+    ws.drop(f"{tag}-sets", f"{tag}-ends")
+    return found
 
 
-def deduplicate(docs: DataFrame, ws: Workspace, *, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicate(docs: DataFrame, ws: Workspace, *, radius: int = 3, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near copies: the one with the least id; columns as before.
 
-    Candidates come from two indexes of independent fingerprints of the sets of
-    five-word shingles, over bands of length that similar texts can't leave; the
-    links of each pair of leaves are thinned to a least
-    spanning forest and verified by the exact similarity of the sets of
-    five-word shingles.  Where one proves false, a link that the forest left
-    out may still join its ends: such pairs of leaves come again, with links
-    between different components only and eight times as many forests, until none
-    has a link that was neither tested nor made needless by true ones.
-    Texts without words are copies of one another.
+    Texts are near copies if the similarity of their sets of five-word shingles
+    reaches the threshold.  Fingerprints within ``radius`` come from the index in
+    Gray order.  That similarity allows more bits than an index can search (0.8
+    moves ten on average), so texts that share a least shingle and lie within
+    WIDE_RADIUS bits are candidates too; they meet as ``stars`` pairs them.  At
+    similarity 0.8 two texts share none of LEAST keys with a probability of a few
+    in a million.  All candidates are verified by the exact similarity.  Texts
+    without words are copies of one another.
     """
-    key = fresh(docs, "text_id")
+    key, kept_id = fresh(docs, "text_id"), fresh(docs, "kept_id")
     text = text_or_empty()
     rows = docs.select(F.xxhash64(text).alias("id"), text.alias("text"))
-    ids = ws.save(docs.select("doc_id", F.xxhash64(text).alias("id")).groupBy("id").agg(F.min("doc_id").alias("doc_id")), "ids")
-    sketches = ws.save(rows.mapInArrow(_sketch, "id long, fps array<long>, band int"), "sketches").distinct()
-    distinct = ws.save(sketches, "distinct")
-    indexes = [gray_index(distinct.select("id", F.col("fps")[k].alias("fp"), "band"), ws, radius=radius, tag=f"near{k}-") for k in range(FINGERPRINTS)]
-    tested = good = roots = None
-    forests = 1
-    while True:
-        found = []
-        for k, (pairs, leaves) in enumerate(indexes):
-            links = index_links(pairs, leaves, radius=radius, roots=roots, forests=forests)
-            found.append(ws.save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "leaf_a", "leaf_b", "cut"), f"candidates{forests}-{k}"))
-        new = reduce(DataFrame.unionByName, [links.select("a", "b") for links in found]).distinct()
-        new = ws.save(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), f"new{forests}")
-        true = ws.save(_similar(new, rows, ws, similarity, str(forests)), f"verified{forests}")
-        tested = new if tested is None else tested.unionByName(new)
-        good = true if good is None else good.unionByName(true)
-        roots = connected_components(good, ws, f"near-cc{forests}")
-        for k, links in enumerate(found):
-            false = links.where("cut").join(true, ["a", "b"], "left_anti")
-            pairs = ws.save(false.select(F.col("leaf_a").alias("a"), F.col("leaf_b").alias("b")).distinct(), f"open{forests}-{k}")
-            indexes[k] = pairs, indexes[k][1]
-        if all(pairs.isEmpty() for pairs, _ in indexes):
-            break
-        forests *= 8
+    ids = ws.save(docs.select(F.col("doc_id"), F.xxhash64(text).alias("id")).groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("seen")), "ids")
+    sketches = ws.save(rows.mapInArrow(_sketch, "id long, size int, fp long, keys array<long>"), "sketches")
+    items = ws.save(sketches.dropDuplicates(["id"]).join(ids.select("id", "seen"), "id"), "items")
+
+    one = ws.save(items.groupBy("fp").agg(F.min("id").alias("a")), "one")
+    links = ws.save(index_links(*gray_index(one.select("fp"), ws, radius=radius, tag="near"), radius=radius), "near-links")
+    named = lambda side: one.select(F.col("fp").alias(side), F.col("a").alias(f"id_{side}"))
+    close = links.join(named("a"), "a").join(named("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    equal = items.join(one, "fp").where("a <> id").select("a", F.col("id").alias("b"))
+    shared = candidates(items.withColumnRenamed("seen", "rank"), Fit(similarity, WIDE_RADIUS))
+    good = _similar(close.unionByName(equal).unionByName(shared), rows, ws, similarity, "near")
+    roots = connected_components(good, ws, "near-cc")
     rooted = ws.save(ids.join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id"))
-    stays = ws.save(rooted.groupBy("root").agg(least.alias("stays")).select("stays.doc_id", F.col("stays.id").alias(key)), "stays")
-    kept = docs.withColumn(key, F.xxhash64(text)).join(stays.withColumnRenamed("doc_id", key + "_of"), key).where(F.col("doc_id").eqNullSafe(F.col(key + "_of")))
+    stays = ws.save(rooted.groupBy("root").agg(least.alias("stays")).select(F.col("stays.doc_id").alias(kept_id), F.col("stays.id").alias(key)), "stays")
+    kept = docs.withColumn(key, F.xxhash64(text)).join(stays, key).where(F.col("doc_id").eqNullSafe(F.col(kept_id)))
     return kept.dropDuplicates([key]).select(*docs.columns)
 
 
