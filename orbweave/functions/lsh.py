@@ -2,7 +2,8 @@
 
 Keys are BIGINT bit patterns of up to 64 bits, bit j of table t being the sign
 of one signed sum.  Sums are taken in input order in double precision, so keys
-are the same bits for any partitioning.
+are the same bits for any partitioning.  Given ``width``, embeddings of another
+one are errors; without, each is keyed by its own, as if zeros followed it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from orbweave.functions.unsigned import as_col, from_hex16, hex16
 from orbweave.functions.vectors import lists, matrix
 
 ROWS = 1024
-MOST_OPEN = 512
+MOST_PROBES = 256
 
 
 @dataclass(frozen=True)
@@ -64,12 +65,12 @@ def keys_of(margins: np.ndarray) -> np.ndarray:
     return ((margins > 0) * weights).sum(axis=2, dtype=np.uint64)
 
 
-def _column(kind: str, space: Tables, finish, invalid: str):
+def _column(kind: str, space: Tables, finish, invalid: str, width: int | None):
     @F.arrow_udf(kind)
     def hash_embedding(array):
         import pyarrow as pa
 
-        e, absent, odd = matrix(array, None)
+        e, absent, odd = matrix(array, width)
         code = np.where(~np.isfinite(e).all(axis=1), 2, np.where((e == 0).all(axis=1), 1, 0))
         code[odd], code[absent] = 3, 0
         if invalid == "raise" and code.any():
@@ -80,12 +81,12 @@ def _column(kind: str, space: Tables, finish, invalid: str):
     return hash_embedding
 
 
-def keys(e, space: Tables = Tables(), *, invalid: str = "raise") -> Column:
+def keys(e, space: Tables = Tables(), *, invalid: str = "raise", width: int | None = None) -> Column:
     """ARRAY<BIGINT> of one key per table."""
-    return _column("array<long>", space, lambda pa, m, none: lists(keys_of(m).view(np.int64), pa.int64(), none), invalid)(as_col(e).cast("array<float>"))
+    return _column("array<long>", space, lambda pa, m, none: lists(keys_of(m).view(np.int64), pa.int64(), none), invalid, width)(as_col(e).cast("array<float>"))
 
 
-def margins(e, space: Tables = Tables(), *, invalid: str = "raise") -> Column:
+def margins(e, space: Tables = Tables(), *, invalid: str = "raise", width: int | None = None) -> Column:
     """ARRAY<ARRAY<DOUBLE>> of the sums behind the bits."""
 
     def finish(pa, m, none):
@@ -93,7 +94,7 @@ def margins(e, space: Tables = Tables(), *, invalid: str = "raise") -> Column:
         ends = pa.array(np.arange(len(m) + 1, dtype=np.int32) * space.tables)
         return pa.ListArray.from_arrays(ends, inner, mask=pa.array(none))
 
-    return _column("array<array<double>>", space, finish, invalid)(as_col(e).cast("array<float>"))
+    return _column("array<array<double>>", space, finish, invalid, width)(as_col(e).cast("array<float>"))
 
 
 def marker(keys_col, space: Tables = Tables()) -> Column:
@@ -123,7 +124,7 @@ def _best_flips(weights: np.ndarray, n: int) -> list[int]:
         score, mask = heapq.heappop(open_)
         out.append(mask)
         last = mask.bit_length() - 1
-        if last + 1 < len(weights) and len(open_) + 2 <= MOST_OPEN:
+        if last + 1 < len(weights):
             heapq.heappush(open_, (score + weights[last + 1], mask | 1 << last + 1))
             if last >= 0:
                 heapq.heappush(open_, (score - weights[last] + weights[last + 1], mask ^ 1 << last | 1 << last + 1))
@@ -141,12 +142,14 @@ def probe_keys(margin_rows: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def probes(e, n: int, space: Tables = Tables(), *, invalid: str = "raise") -> Column:
-    """ARRAY<ARRAY<BIGINT>>: per table the ``n`` keys to look up, the own one first."""
+def probes(e, n: int, space: Tables = Tables(), *, invalid: str = "raise", width: int | None = None) -> Column:
+    """ARRAY<ARRAY<BIGINT>>: per table the ``n`` keys to look up, from 1 to MOST_PROBES, the own one first."""
+    if not 1 <= n <= MOST_PROBES:
+        raise errors.OutputLengthMismatch(str(n))
 
     def finish(pa, m, none):
         own = keys_of(m)
         rows = [None if bad else probe_keys(m[i], own[i], n).view(np.int64).tolist() for i, bad in enumerate(none.tolist())]
         return pa.array(rows, pa.list_(pa.list_(pa.int64())))
 
-    return _column("array<array<long>>", space, finish, invalid)(as_col(e).cast("array<float>"))
+    return _column("array<array<long>>", space, finish, invalid, width)(as_col(e).cast("array<float>"))

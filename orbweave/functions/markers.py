@@ -5,6 +5,9 @@ to ``bits`` bits per axis and indexed along the n-dimensional curve.  Results
 are the same bits for any partitioning: sums have a fixed order, and the
 exponential is a fixed polynomial.  Keys are fixed-width hex of
 ``ceil(dims * bits / 4)`` digits, so string order is key order.
+
+Given ``width``, embeddings of another one are errors; without, each embedding
+is keyed by its own, as if zeros followed it.
 """
 
 from __future__ import annotations
@@ -120,9 +123,9 @@ def cells_of(position: np.ndarray, bits: int) -> np.ndarray:
     return np.minimum(np.floor(position), float((1 << bits) - 1)).astype(np.uint64)
 
 
-def _embedded(array, space: Space, invalid: str):
+def _embedded(array, space: Space, invalid: str, width: int | None):
     """Positions of an embedding column; rows without: null, or invalid if those give null."""
-    e, absent, odd = matrix(array, None)
+    e, absent, odd = matrix(array, width)
     if e.shape[1] > MOST_INPUTS:
         raise errors.DimensionsOutOfRange(str(e.shape[1]))
     code = np.zeros(len(e), np.int64)
@@ -135,12 +138,12 @@ def _embedded(array, space: Space, invalid: str):
     return found, absent | (code > 0), code
 
 
-def _column(kind: str, space: Space, finish, invalid: str):
+def _column(kind: str, space: Space, finish, invalid: str, width: int | None):
     @F.arrow_udf(kind)
     def embed(e):
         import pyarrow as pa
 
-        position, none, _ = _embedded(e, space, invalid)
+        position, none, _ = _embedded(e, space, invalid, width)
         return finish(pa, position, none)
 
     return embed
@@ -150,38 +153,38 @@ def _float_list(e) -> Column:
     return as_col(e).cast("array<float>")
 
 
-def position(e, space: Space = Space(), *, invalid: str = "raise") -> Column:
+def position(e, space: Space = Space(), *, invalid: str = "raise", width: int | None = None) -> Column:
     """ARRAY<DOUBLE>: where the embedding lies, in cell units."""
-    return _column("array<double>", space, lambda pa, p, none: lists(p, pa.float64(), none), invalid)(_float_list(e))
+    return _column("array<double>", space, lambda pa, p, none: lists(p, pa.float64(), none), invalid, width)(_float_list(e))
 
 
-def cell(e, space: Space = Space(), *, invalid: str = "raise") -> Column:
+def cell(e, space: Space = Space(), *, invalid: str = "raise", width: int | None = None) -> Column:
     """ARRAY<BIGINT>: the quantised coordinates."""
-    return _column("array<long>", space, lambda pa, p, none: lists(cells_of(p, space.bits).view(np.int64), pa.int64(), none), invalid)(_float_list(e))
+    return _column("array<long>", space, lambda pa, p, none: lists(cells_of(p, space.bits).view(np.int64), pa.int64(), none), invalid, width)(_float_list(e))
 
 
-def key(e, space: Space = Space(), *, invalid: str = "raise") -> Column:
+def key(e, space: Space = Space(), *, invalid: str = "raise", width: int | None = None) -> Column:
     """Hex key."""
 
     def finish(pa, p, none):
         return pa.array(hex_text(*encode_array(cells_of(p, space.bits), space.bits), space.digits), pa.string(), mask=none)
 
-    return _column("string", space, finish, invalid)(_float_list(e))
+    return _column("string", space, finish, invalid, width)(_float_list(e))
 
 
-def marker(e, space: Space = Space(), *, invalid: str = "raise") -> Column:
+def marker(e, space: Space = Space(), *, invalid: str = "raise", width: int | None = None) -> Column:
     """Marker text; ``invalid='null'`` gives null where ``marker_error`` names the reason."""
-    return F.concat(F.lit(space.prefix), key(e, space, invalid=invalid))
+    return F.concat(F.lit(space.prefix), key(e, space, invalid=invalid, width=width))
 
 
-def marker_error(e, space: Space = Space()) -> Column:
+def marker_error(e, space: Space = Space(), *, width: int | None = None) -> Column:
     """Name of the error of an embedding, null if it has none."""
 
     @F.arrow_udf("string")
     def error_name(x):
         import pyarrow as pa
 
-        code = _embedded(x, space, "null")[2]
+        code = _embedded(x, space, "null", width)[2]
         return pa.array([ERRORS[c].__name__ if c else None for c in code.tolist()], pa.string())
 
     return error_name(_float_list(e))
@@ -311,7 +314,7 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def probes(e, level: int, n: int = 8, space: Space = Space(), *, merged: bool = True, invalid: str = "raise") -> Column:
+def probes(e, level: int, n: int = 8, space: Space = Space(), *, merged: bool = True, invalid: str = "raise", width: int | None = None) -> Column:
     """ARRAY<STRUCT<lo, hi>> of key ranges (hex) to search: the home cell at ``level`` and those across its
     ``floor(log2 n)`` nearest boundaries; adjacent ranges merge unless ``merged`` is false."""
     if n < 1:
@@ -324,7 +327,7 @@ def probes(e, level: int, n: int = 8, space: Space = Space(), *, merged: bool =
         rows = [None if bad else [{"lo": text(a), "hi": text(b)} for a, b in (merge(r) if merged else sorted(r))] for r, bad in zip(found, none.tolist())]
         return pa.array(rows, pa.list_(pa.struct([("lo", pa.string()), ("hi", pa.string())])))
 
-    return _column("array<struct<lo:string,hi:string>>", space, finish, invalid)(_float_list(e))
+    return _column("array<struct<lo:string,hi:string>>", space, finish, invalid, width)(_float_list(e))
 
 
 def cell_low(key_hex, level: int, space: Space = Space()) -> Column:

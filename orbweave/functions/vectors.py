@@ -18,11 +18,19 @@ def to_longs(values: np.ndarray, good: np.ndarray):
 
 
 def matrix(array, width: int | None, kind=np.float32, null=np.nan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A list column as rows of ``width``: the matrix, which rows are null, which have another width."""
+    """A list column as rows of ``width``: the matrix, which rows are null, which have another width.
+
+    Without a width, rows may differ in it: all count as fitting, padded with zeros to the longest.
+    """
     import pyarrow.compute as pc
 
     absent = np.asarray(array.is_null())
     size = pc.list_value_length(array).fill_null(-1).to_numpy(zero_copy_only=False)
+    if width is None and len(set(size[~absent].tolist())) > 1:
+        out = np.zeros((len(array), int(size.max())), kind)
+        flat = array.flatten().fill_null(null).to_numpy(zero_copy_only=False).astype(kind)
+        out[np.arange(out.shape[1]) < size[:, None]] = flat
+        return out, absent, np.zeros(len(array), bool)
     if width is None:
         width = int(size[~absent][0]) if (~absent).any() else 0
     fits = size == width

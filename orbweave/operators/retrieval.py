@@ -27,6 +27,38 @@ def in_ranges(column: Column, ranges: list[tuple[str, str]]) -> Column:
     return found
 
 
+def in_cell_ranges(column: Column, ranges: list[tuple[int, int]]) -> Column:
+    """As ``in_ranges`` for cell ids, given as unsigned numbers: a range is cut where BIGINTs turn negative, so each part reaches the scan."""
+    half, parts = 1 << 63, []
+    for low, high in ranges:
+        parts += [(a, b) for a, b in ((low, min(high, half - 1)), (max(low, half), high)) if a <= b]
+    signed = lambda x: F.lit(x - (1 << 64) if x >= half else x)
+    return in_ranges(column, [(signed(a), signed(b)) for a, b in parts])
+
+
+def has_prefix(column: Column, head: str) -> Column:
+    """Keys that begin with ``head``; reaches the scan as a prefix filter."""
+    return column.startswith(head)
+
+
+def nested_cells(found: DataFrame, levels: list[int]) -> DataFrame:
+    """Pairs ``(outer, inner)`` of ``found (cell)`` of which the first holds the second and is not the same.
+
+    ``levels`` are those at which the table has cells; a cell's ancestors at
+    them are the join keys, so the self join is an equi-join.
+    """
+    one = found.select("cell").distinct()
+    up = F.array(*[F.when(cells.level("cell") > x, cells.parent("cell", x)) for x in sorted(levels)])
+    inner = one.select(F.col("cell").alias("inner"), F.explode(F.filter(up, lambda c: c.isNotNull())).alias("outer"))
+    return inner.join(one.withColumnRenamed("cell", "outer"), "outer").select("outer", "inner")
+
+
+def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """One row ``(hits, wanted, recall)``: how many of the exact ``(query_id, id)`` pairs a search finds."""
+    hit = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")).distinct(), ["query_id", "id"], "left")
+    return hit.agg(F.count("hit").alias("hits"), F.count("*").alias("wanted")).withColumn("recall", F.col("hits") / F.col("wanted"))
+
+
 def probe_candidates(queries: DataFrame, data: DataFrame, *, level: int, n: int = 8, space: markers.Space = markers.Space()) -> DataFrame:
     """Pairs ``(query_id, id)`` whose key lies in one of the query's probed cells.
 

@@ -66,21 +66,39 @@ def splitmix(seed: str, i: str) -> str:
     return f"list_transform(list_transform(list_transform([{z}], lambda z: {mul(step('z', 30), 13787848793156543929)}), lambda z: {mul(step('z', 27), 10723151780598845931)}), lambda z: {step('z', 31)})[1]"
 
 
-def hk1_cells(dims: int, bits: int, seed: str = G) -> str:
-    """``(vec_id, c BIGINT[])`` of the embeddings, whose width is 64."""
+def hk1_positions(dims: int, bits: int, seed: str = G) -> str:
+    """``(vec_id, j, p)``: where the embeddings, whose width is 64, lie on each axis."""
     lane = "list_reduce(list_transform(range(0, 16), lambda k: (e[4 * k + {a} + 1] * s[4 * k + {a} + 1])::FLOAT), lambda u, v: (u + v)::FLOAT, 0::FLOAT)"
     norm = "list_reduce(list_transform(range(0, 16), lambda k: (e[4 * k + {a} + 1] * e[4 * k + {a} + 1])::FLOAT), lambda u, v: (u + v)::FLOAT, 0::FLOAT)"
     four = lambda x: f"(({x.format(a=0)} + {x.format(a=1)})::FLOAT + ({x.format(a=2)} + {x.format(a=3)})::FLOAT)::FLOAT::DOUBLE"
     poly = "list_reduce([39916800, 3628800, 362880, 40320, 5040, 720, 120, 24, 6, 2, 1, 1]::DOUBLE[], lambda u, v: u * r + 1 / v, 1 / 479001600::DOUBLE)"
     return f"""
-    SELECT vec_id, list(least(floor(pow(2.0, {bits}) / (1 + {poly} * pow(2.0, n))), pow(2.0, {bits}) - 1)::BIGINT ORDER BY j) AS c FROM (
+    SELECT vec_id, j, pow(2.0, {bits}) / (1 + {poly} * pow(2.0, n)) AS p FROM (
       SELECT vec_id, j, n, (t - n * 0.693145751953125) - n * 1.4286068203094172e-6 AS r FROM (
         SELECT vec_id, j, t, round(t * 1.4426950408889634) AS n FROM (
           SELECT vec_id, j, greatest(-700.0, least(700.0, -1.702 * ({four(lane)} / sqrt({four(norm)})))) AS t FROM (
             SELECT vec_id, embedding AS e, j, s FROM embeddings, (
               SELECT j, list(CASE WHEN (w >> j::UHUGEINT) & 1::UHUGEINT = 1::UHUGEINT THEN -1 ELSE 1 END::FLOAT ORDER BY i) AS s
-              FROM (SELECT i, {splitmix(G if seed == G else seed, 'i')} AS w FROM range(64) x(i)), range({dims}) y(j) GROUP BY j)))))
-    GROUP BY vec_id"""
+              FROM (SELECT i, {splitmix(G if seed == G else seed, 'i')} AS w FROM range(64) x(i)), range({dims}) y(j) GROUP BY j)))))"""
+
+
+def hk1_cells(dims: int, bits: int, seed: str = G) -> str:
+    """``(vec_id, c BIGINT[])``."""
+    return f"SELECT vec_id, list(least(floor(p), {(1 << bits) - 1})::BIGINT ORDER BY j) AS c FROM ({hk1_positions(dims, bits, seed)}) GROUP BY vec_id"
+
+
+def hk1_probed(flips: int) -> str:
+    """``(vec_id, mask, cell)``: the first digits pair of each key probed at level 1 of 8 axes, across the nearest ``flips`` boundaries."""
+    sides = f"""
+      SELECT vec_id, j, home, home + step AS beyond, home + step NOT BETWEEN 0 AND 1 AS far, CASE WHEN step < 0 THEN frac ELSE 1 - frac END AS away FROM (
+        SELECT vec_id, j, home, p / 128 - home AS frac, CASE WHEN p / 128 - home < 0.5 THEN -1 ELSE 1 END AS step FROM (
+          SELECT vec_id, j, p, least(floor(p / 128), 1)::BIGINT AS home FROM ({hk1_positions(8, 8)})))"""
+    ranked = f"""
+      SELECT vec_id, j, home, beyond, row_number() OVER (PARTITION BY vec_id ORDER BY far, away, j) - 1 AS at, sum((NOT far)::INT) OVER (PARTITION BY vec_id) AS free FROM ({sides})"""
+    moved = f"""(
+      SELECT vec_id, mask, list((CASE WHEN at < {flips} AND (mask >> least(at, {flips})::INT) & 1 = 1 THEN beyond ELSE home END * 128)::BIGINT ORDER BY j) AS c
+      FROM ({ranked}), range({1 << flips}) m(mask) WHERE mask >> least(free, {flips})::INT = 0 GROUP BY vec_id, mask)"""
+    return f"SELECT vec_id, mask, (h >> 56::UHUGEINT)::BIGINT AS cell FROM ({encode_nd(moved, 'vec_id, mask', 'c', 8, 8)})"
 
 
 def hk1_keys() -> str:
@@ -90,14 +108,18 @@ def hk1_keys() -> str:
 
 MARKERS = f"SELECT vec_id, 'hk1:8:8:9e3779b97f4a7c15:' || key AS marker FROM ({hk1_keys()})"
 
-HK2 = f"""
-  SELECT vec_id, t, sum(CASE WHEN m > 0 THEN 1 << j::INT ELSE 0 END)::BIGINT AS key FROM (
-    SELECT vec_id, t, j, list_reduce(list_transform(range(1, 65), lambda i: e[i]::DOUBLE * s[i]), lambda u, v: u + v, 0::DOUBLE) AS m FROM (
-      SELECT vec_id, embedding AS e, t, j, s FROM embeddings, (
-        SELECT t, j, list(CASE WHEN (w >> j::UHUGEINT) & 1::UHUGEINT = 1::UHUGEINT THEN -1 ELSE 1 END::DOUBLE ORDER BY i) AS s FROM (
-          SELECT t, i, {splitmix('seed', 'i')} AS w FROM (SELECT t, {splitmix(G, 't')} AS seed FROM range(16) x(t)), range(64) y(i)), range(8) z(j)
-        GROUP BY t, j)))
-  GROUP BY vec_id, t"""
+HK2_MARGINS = f"""
+  SELECT vec_id, t, j, list_reduce(list_transform(range(1, 65), lambda i: e[i]::DOUBLE * s[i]), lambda u, v: u + v, 0::DOUBLE) AS m FROM (
+    SELECT vec_id, embedding AS e, t, j, s FROM embeddings, (
+      SELECT t, j, list(CASE WHEN (w >> j::UHUGEINT) & 1::UHUGEINT = 1::UHUGEINT THEN -1 ELSE 1 END::DOUBLE ORDER BY i) AS s FROM (
+        SELECT t, i, {splitmix('seed', 'i')} AS w FROM (SELECT t, {splitmix(G, 't')} AS seed FROM range(16) x(t)), range(64) y(i)), range(8) z(j)
+      GROUP BY t, j))"""
+HK2 = f"SELECT vec_id, t, sum(CASE WHEN m > 0 THEN 1 << j::INT ELSE 0 END)::BIGINT AS key FROM ({HK2_MARGINS}) GROUP BY vec_id, t"
+#: Of four probes the first three are the own key and those across the two least margins; the fourth crosses the third least, or the two least together.
+HK2_PROBES = f"""
+  SELECT vec_id, t, unnest([key, xor(key, a), xor(key, b), CASE WHEN w[3] <= w[1] + w[2] THEN xor(key, c) ELSE xor(xor(key, a), b) END]) AS key FROM (
+    SELECT vec_id, t, key, w, 1 << o[1]::INT AS a, 1 << o[2]::INT AS b, 1 << o[3]::INT AS c FROM (
+      SELECT vec_id, t, sum(CASE WHEN m > 0 THEN 1 << j::INT ELSE 0 END)::BIGINT AS key, list(abs(m) ORDER BY abs(m), j) AS w, list(j ORDER BY abs(m), j) AS o FROM ({HK2_MARGINS}) GROUP BY vec_id, t))"""
 HK2_PAIRS = f"WITH k AS ({HK2}) SELECT DISTINCT a.vec_id AS query_id, b.vec_id AS id FROM k a JOIN k b USING (t, key) WHERE a.vec_id % 20 = 0"
 
 
@@ -113,21 +135,65 @@ def _topk(pairs: str) -> str:
 _ST = lambda u: f"CASE WHEN {u} >= 0 THEN 0.5 * sqrt(1 + 3 * abs({u})) ELSE 1 - 0.5 * sqrt(1 + 3 * abs({u})) END"
 _IJ = lambda s: f"CASE WHEN {s} > 0 THEN least(trunc(1073741824.0 * {s})::BIGINT, 1073741823) ELSE 0 END"
 
-#: ``(c_custkey, id UBIGINT)`` of the points that the queries derive.
-LEAVES = f"""
-  SELECT c_custkey, (face::UHUGEINT * (1::UHUGEINT << 61) + p::UHUGEINT * 2::UHUGEINT + 1::UHUGEINT)::UBIGINT AS id, face::INT AS face FROM (
-    SELECT c_custkey, face, {encode2(30, 'i', 'j', along_y='face % 2')} AS p FROM (
-      SELECT c_custkey, face, {_IJ('s')} AS i, {_IJ('t')} AS j FROM (
-        SELECT c_custkey, face, {_ST('u')} AS s, {_ST('v')} AS t FROM (
-          SELECT c_custkey, face,
-            CASE face WHEN 0 THEN y / x WHEN 1 THEN -x / y WHEN 2 THEN -x / z WHEN 3 THEN z / x WHEN 4 THEN z / y ELSE -y / z END AS u,
-            CASE face WHEN 0 THEN z / x WHEN 1 THEN z / y WHEN 2 THEN -y / z WHEN 3 THEN y / x WHEN 4 THEN -x / y ELSE -x / z END AS v
-          FROM (SELECT *, CASE WHEN abs(x) > abs(y) THEN (CASE WHEN abs(x) > abs(z) THEN (CASE WHEN x < 0 THEN 3 ELSE 0 END) ELSE (CASE WHEN z < 0 THEN 5 ELSE 2 END) END)
-                WHEN abs(y) > abs(z) THEN (CASE WHEN y < 0 THEN 4 ELSE 1 END) ELSE (CASE WHEN z < 0 THEN 5 ELSE 2 END) END AS face FROM (
-            SELECT c_custkey, cos(phi) * cos(theta) AS x, cos(phi) * sin(theta) AS y, sin(phi) AS z FROM (
-              SELECT c_custkey, ((c_custkey * 7919 % 17901)::DOUBLE / 100.0::DOUBLE - 89.5::DOUBLE) * (pi() / 180.0::DOUBLE) AS phi,
-                ((c_custkey * 104729 % 36000)::DOUBLE / 100.0::DOUBLE - 180.0::DOUBLE) * (pi() / 180.0::DOUBLE) AS theta FROM customer)))))))
-"""
+def _faced(key: str, points: str) -> str:
+    """``(key, face, u, v)`` of ``points (key, x, y, z)``; ties go to the later axis."""
+    return f"""
+      SELECT {key}, face::INT AS face,
+        CASE face WHEN 0 THEN y / x WHEN 1 THEN -x / y WHEN 2 THEN -x / z WHEN 3 THEN z / x WHEN 4 THEN z / y ELSE -y / z END AS u,
+        CASE face WHEN 0 THEN z / x WHEN 1 THEN z / y WHEN 2 THEN -y / z WHEN 3 THEN y / x WHEN 4 THEN -x / y ELSE -x / z END AS v
+      FROM (SELECT *, CASE WHEN abs(x) > abs(y) THEN (CASE WHEN abs(x) > abs(z) THEN (CASE WHEN x < 0 THEN 3 ELSE 0 END) ELSE (CASE WHEN z < 0 THEN 5 ELSE 2 END) END)
+            WHEN abs(y) > abs(z) THEN (CASE WHEN y < 0 THEN 4 ELSE 1 END) ELSE (CASE WHEN z < 0 THEN 5 ELSE 2 END) END AS face FROM ({points}))"""
+
+
+def _point_on(face: str, u: str, v: str) -> str:
+    """``x, y, z`` of a place on a face."""
+    axes = (("1", f"-{u}", f"-{u}", "-1", v, v), (u, "1", f"-{v}", f"-{v}", "-1", u), (v, v, "1", f"-{u}", f"-{u}", "-1"))
+    return ", ".join(f"(CASE {face} {' '.join(f'WHEN {k} THEN {e}' for k, e in enumerate(own))} END)::DOUBLE AS {name}" for name, own in zip("xyz", axes))
+
+
+def _leaf_id(face: str, i: str, j: str) -> str:
+    return f"({face}::UHUGEINT * (1::UHUGEINT << 61) + ({encode2(30, i, j, along_y=f'{face} % 2')})::UHUGEINT * 2::UHUGEINT + 1::UHUGEINT)::UBIGINT"
+
+
+#: ``(c_custkey, face, i, j)`` of the points that the queries derive, and ``(c_custkey, id UBIGINT, face)``.
+FACE_IJ = f"""
+  SELECT c_custkey, face, {_IJ('s')} AS i, {_IJ('t')} AS j FROM (
+    SELECT c_custkey, face, {_ST('u')} AS s, {_ST('v')} AS t FROM ({_faced('c_custkey', """
+      SELECT c_custkey, cos(phi) * cos(theta) AS x, cos(phi) * sin(theta) AS y, sin(phi) AS z FROM (
+        SELECT c_custkey, ((c_custkey * 7919 % 17901)::DOUBLE / 100.0::DOUBLE - 89.5::DOUBLE) * (pi() / 180.0::DOUBLE) AS phi,
+          ((c_custkey * 104729 % 36000)::DOUBLE / 100.0::DOUBLE - 180.0::DOUBLE) * (pi() / 180.0::DOUBLE) AS theta FROM customer)""")}))"""
+LEAVES = f"SELECT c_custkey, {_leaf_id('face', 'i', 'j')} AS id, face FROM ({FACE_IJ})"
+
+
+def _raised(bits: str, c: str = "id") -> str:
+    """The ancestor of a leaf whose lowest set bit is at ``bits``."""
+    bit = f"(1::UHUGEINT << ({bits})::INT)"
+    return f"(({c}::UHUGEINT // (2::UHUGEINT * {bit})) * (2::UHUGEINT * {bit}) + {bit})::UBIGINT"
+
+
+def _beside(steps: str, bits: str) -> str:
+    """``(c_custkey, k, bits, id)``: cells beside those of size ``2 ** bits`` that hold the points; ``steps (k, di, dj)``.
+
+    Off the face, the place one unit beyond its edge is seen from the neighbouring face, on a linear scale.
+    """
+    size, off = "(1::BIGINT << bits::INT)", "NOT (a BETWEEN 0 AND 1073741823 AND b BETWEEN 0 AND 1073741823)"
+    middle = lambda x: f"({x} // {size}) * {size} + {size} // 2"
+    moved = f"SELECT c_custkey, k, bits, face, {middle('i')} + di * {size} AS a, {middle('j')} + dj * {size} AS b FROM (SELECT *, ({bits})::BIGINT AS bits FROM ({FACE_IJ})), ({steps})"
+    flat = lambda x: f"greatest(-1.0000000000000002, least(1.0000000000000002, (2.0 * (greatest(-1, least({x}, 1073741824)) - 536870912) + 1) / 1073741824.0::DOUBLE))"
+    seen = _faced("c_custkey, k, bits", f"SELECT c_custkey, k, bits, {_point_on('face', 'u', 'v')} FROM (SELECT c_custkey, k, bits, face, {flat('a')} AS u, {flat('b')} AS v FROM ({moved}) WHERE {off})")
+    unit = lambda x: _IJ(f"(0.5 * ({x} + 1))")
+    placed = f"SELECT c_custkey, k, bits, face, a, b FROM ({moved}) WHERE NOT ({off}) UNION ALL SELECT c_custkey, k, bits, face, {unit('u')}, {unit('v')} FROM ({seen})"
+    return f"SELECT c_custkey, k, bits, {_raised('2 * bits')} AS id FROM (SELECT c_custkey, k, bits, {_leaf_id('face', 'a', 'b')} AS id FROM ({placed}))"
+
+
+_UV = lambda s: f"CASE WHEN {s} >= 0.5 THEN (1.0::DOUBLE / 3.0::DOUBLE) * (4 * {s} * {s} - 1) ELSE (1.0::DOUBLE / 3.0::DOUBLE) * (1 - 4 * (1 - {s}) * (1 - {s})) END"
+_MIDDLE = lambda x: f"((({x} >> 20) << 20) + 524288) / 1073741824.0::DOUBLE"
+CENTRES = f"""
+  SELECT c_custkey, round(atan2(z, sqrt(x * x + y * y)) * (180.0::DOUBLE / pi()), 9) AS lat, round(atan2(y, x) * (180.0::DOUBLE / pi()), 9) AS lng FROM (
+    SELECT c_custkey, {_point_on('face', 'u', 'v')} FROM (
+      SELECT c_custkey, face, {_UV('s')} AS u, {_UV('t')} AS v FROM (SELECT c_custkey, face, {_MIDDLE('i')} AS s, {_MIDDLE('j')} AS t FROM ({FACE_IJ}))))"""
+#: Half the bits below a cell a disc of so many metres fits in, with its neighbours.
+_DISC = "30 - greatest(0, least(30, floor(log2((pi() / 2 * 6371010.0::DOUBLE) / (c_custkey * 10.0::DOUBLE))) - 1))"
 
 
 def _parent(level: int, c: str = "id") -> str:
@@ -173,5 +239,31 @@ ORACLES: dict[str, str] = {
           FROM (SELECT l_suppkey, l_partkey AS a, l_partkey + l_quantity::BIGINT AS b FROM lineitem)))
       GROUP BY l_suppkey, island""",
 }
+_ALL_PAIRS = "SELECT a.vec_id AS query_id, b.vec_id AS id FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0"
+ORACLES |= {
+    "hk1_topk": _topk(_ALL_PAIRS),
+    "hk1_position": f"SELECT vec_id, j::INT AS axis, round(p, 6) AS p FROM ({hk1_positions(8, 8)})",
+    "hk1_probe_ranges": f"""
+      SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY min(cell)) - 1)::INT AS at, printf('%02x', min(cell)) || '00000000000000' AS lo, printf('%02x', max(cell)) || 'ffffffffffffff' AS hi
+      FROM (SELECT vec_id, cell, cell - row_number() OVER (PARTITION BY vec_id ORDER BY cell) AS island FROM (SELECT DISTINCT vec_id, cell FROM ({hk1_probed(3)}))) GROUP BY vec_id, island""",
+    "hk1_candidates": f"SELECT q.vec_id AS query_id, k.vec_id AS id FROM ({hk1_probed(2)}) q JOIN ({hk1_keys()}) k ON ('0x' || left(k.key, 2))::BIGINT = q.cell WHERE q.vec_id % 20 = 0",
+    "hk1_range_filter": f"SELECT vec_id, marker FROM ({MARKERS}) WHERE left(right(marker, 16), 1) BETWEEN '1' AND '5' OR left(right(marker, 16), 2) BETWEEN 'c4' AND 'df'",
+    "hk1_prefix_filter": f"SELECT vec_id, marker FROM ({MARKERS}) WHERE substr(marker, 26, 1) = '7'",
+    "hk1_first_failing": "SELECT min(vec_id) AS vec_id, 'ZeroVector' AS error FROM embeddings WHERE vec_id % 11 = 10",
+    "hk2_margins": f"SELECT vec_id, t::INT AS t, j::INT AS j, round(m, 6) AS margin FROM ({HK2_MARGINS})",
+    "hk2_multiprobe": f"WITH k AS ({HK2}), p AS ({HK2_PROBES}) SELECT DISTINCT p.vec_id AS query_id, k.vec_id AS id FROM p JOIN k USING (t, key) WHERE p.vec_id % 20 = 0",
+    "hk2_recall": f"SELECT count(c.id) AS hits, count(*) AS wanted, round(count(c.id)::DOUBLE / count(*), 6) AS recall FROM ({_topk(_ALL_PAIRS)}) t LEFT JOIN ({HK2_PAIRS}) c ON c.query_id = t.query_id AND c.id = t.id",
+    "curve_checksum": f"SELECT count(*) AS n, bit_xor(h) AS h_xor, sum(h)::DECIMAL(38, 0) AS h_sum FROM (SELECT {encode2(16, 'x', 'y')} AS h FROM {_XY})",
+    "sql_functions": f"SELECT l_orderkey, l_linenumber, {encode2(16, 'x', 'y')} AS h, true AS same FROM {_XY}",
+    "s2_at_level": f"SELECT c_custkey, {_TOKEN(_parent(7))} AS token FROM ({LEAVES})",
+    "s2_from_face_ij": f"SELECT c_custkey, printf('%016x', {_leaf_id('f', 'i', 'j')}) AS id, {_TOKEN('(f::UBIGINT * 2305843009213693952::UBIGINT + 1152921504606846976::UBIGINT)')} AS face FROM (SELECT c_custkey, c_custkey % 6 AS f, c_custkey * {7919 * 65537} % 1073741824 AS i, c_custkey * {104729 * 4099} % 1073741824 AS j FROM customer)",
+    "s2_range_filter": f"SELECT c_custkey, printf('%016x', id) AS id FROM ({LEAVES}) WHERE id BETWEEN {(2 << 61) + (1 << 60)}::UBIGINT AND {(4 << 61) + (1 << 60)}::UBIGINT",
+    "s2_nested": f"SELECT DISTINCT {_TOKEN(_parent(2))} AS outer_cell, {_TOKEN(_parent(5))} AS inner_cell FROM ({LEAVES}) WHERE c_custkey % 2 = 0",
+    "s2_center": CENTRES,
+    "s2_neighbours": f"SELECT c_custkey, k::INT AS edge, {_TOKEN('id')} AS token FROM ({_beside('SELECT * FROM (VALUES (0, 0, -1), (1, 1, 0), (2, 0, 1), (3, -1, 0)) s(k, di, dj)', '20')})",
+    "s2_covering": f"""
+      SELECT c_custkey, (row_number() OVER (PARTITION BY c_custkey ORDER BY id) - 1)::INT AS at, printf('%016x', id - w + 1::UBIGINT) AS lo, printf('%016x', id + w - 1::UBIGINT) AS hi
+      FROM (SELECT DISTINCT c_custkey, id, (1::UHUGEINT << (2 * bits)::INT)::UBIGINT AS w FROM ({_beside('SELECT di * 3 + dj AS k, di, dj FROM range(-1, 2) a(di), range(-1, 2) b(dj)', _DISC)}))""",
+}
 ORACLES["curve2d_encode_fold"] = ORACLES["curve2d_encode"]
 ORACLES["hk1_marker_cell"] = ORACLES["hk1_cell"]

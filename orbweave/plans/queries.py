@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.functions import cells, curve, lsh, markers
+from orbweave.functions import cells, curve, lsh, markers, sql
 from orbweave.functions.unsigned import hex16
-from orbweave.operators import covers, layout, retrieval
+from orbweave.operators import checks, covers, layout, retrieval
 
 LINE = ("l_orderkey", "l_linenumber")
 ORDER = 16
@@ -248,6 +248,74 @@ def merge_ranges(spark, sf_dir):
     return retrieval.merge_ranges(spans, "l_suppkey", unsigned=False)
 
 
+def curve_checksum(spark, sf_dir):
+    return checks.checksum(curve2d_encode(spark, sf_dir), "h")
+
+
+def hk1_position(spark, sf_dir):
+    p = _embeddings(spark, sf_dir).select("vec_id", F.posexplode(markers.position("embedding", SPACE)).alias("axis", "p"))
+    return p.select("vec_id", "axis", F.round("p", 6).alias("p"))
+
+
+def hk1_range_filter(spark, sf_dir):
+    """Markers in two ranges of keys, as a user writes them."""
+    at = lambda head, tail: f"{SPACE.prefix}{head}{tail * (16 - len(head))}"
+    return hk1_marker(spark, sf_dir).where(retrieval.in_ranges(F.col("marker"), [(at("1", "0"), at("5", "f")), (at("c4", "0"), at("d", "f"))]))
+
+
+def hk1_prefix_filter(spark, sf_dir):
+    return hk1_marker(spark, sf_dir).where(retrieval.has_prefix(F.col("marker"), SPACE.prefix + "7"))
+
+
+def hk1_first_failing(spark, sf_dir):
+    """Every eleventh vector but the first has no direction: the lowest of them is named, in any partitioning."""
+    e = F.when(F.col("vec_id") % 11 == 10, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    rows = _embeddings(spark, sf_dir).select("vec_id", e.alias("embedding"))
+    return checks.first_failing(rows, "vec_id", markers.marker_error("embedding", SPACE, width=64))
+
+
+def hk2_margins(spark, sf_dir):
+    m = _embeddings(spark, sf_dir).select("vec_id", F.posexplode(lsh.margins("embedding", TABLES)).alias("t", "m"))
+    m = m.select("vec_id", "t", F.posexplode("m").alias("j", "margin"))
+    return m.select("vec_id", "t", "j", F.round("margin", 6).alias("margin"))
+
+
+def hk2_recall(spark, sf_dir):
+    exact = hk1_topk(spark, sf_dir)
+    return retrieval.recall(exact, hk2_collisions(spark, sf_dir)).select("hits", "wanted", F.round("recall", 6).alias("recall"))
+
+
+def s2_at_level(spark, sf_dir):
+    at = _leaves(spark, sf_dir)
+    return at.select("c_custkey", cells.token(cells.from_lat_lng("lat", "lng", 7)).alias("token"))
+
+
+def s2_from_face_ij(spark, sf_dir):
+    i, j = (F.col("c_custkey") * k % (1 << 30) for k in (7919 * 65537, 104729 * 4099))
+    c = cells.from_face_ij(F.col("c_custkey") % 6, i, j)
+    return _table(spark, sf_dir, "customer").select("c_custkey", c.alias("c")).select("c_custkey", hex16("c").alias("id"), cells.token(cells.from_face(F.col("c_custkey") % 6)).alias("face"))
+
+
+def s2_range_filter(spark, sf_dir):
+    """Leaves from the middle of face 2 to the middle of face 4: BIGINTs turn negative between."""
+    low, high = (2 << 61) + (1 << 60), (4 << 61) + (1 << 60)
+    return _leaves(spark, sf_dir).where(retrieval.in_cell_ranges(F.col("cell"), [(low, high)])).select("c_custkey", hex16("cell").alias("id"))
+
+
+def s2_nested(spark, sf_dir):
+    leaf = _leaves(spark, sf_dir)
+    found = leaf.select(cells.parent("cell", 2).alias("cell")).unionByName(leaf.where("c_custkey % 2 = 0").select(cells.parent("cell", 5).alias("cell")))
+    pairs = retrieval.nested_cells(found, [2, 5])
+    return pairs.select(cells.token("outer").alias("outer_cell"), cells.token("inner").alias("inner_cell"))
+
+
+def sql_functions(spark, sf_dir):
+    """The curve and the cells by their names in SQL."""
+    sql.register(spark)
+    _xy(spark, sf_dir).createOrReplaceTempView("orbweave_xy")
+    return spark.sql("SELECT l_orderkey, l_linenumber, h, hilbert_decode2(h, 16).x = x AS same FROM (SELECT *, hilbert_encode2(x, y, 16) AS h FROM orbweave_xy)")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -255,5 +323,7 @@ QUERIES = {
         curvend_encode, curvend_decode, curvend_wide, curve_walk, hk1_cell, hk1_marker, hk1_marker_cell, hk1_range, hk1_shared_prefix, hk1_parse,
         hk1_probe_ranges, hk1_candidates, hk1_topk, hk2_marker, hk2_parse, hk2_bucket_sizes, hk2_collisions, hk2_multiprobe, hk2_topk,
         s2_leaf, s2_hierarchy, s2_density, s2_token_roundtrip, s2_neighbours, s2_center, s2_covering, s2_cover, s2_points_in_cover, merge_ranges,
+        curve_checksum, hk1_position, hk1_range_filter, hk1_prefix_filter, hk1_first_failing, hk2_margins, hk2_recall,
+        s2_at_level, s2_from_face_ij, s2_range_filter, s2_nested, sql_functions,
     )
 }

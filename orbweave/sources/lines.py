@@ -34,10 +34,10 @@ def parse_embeddings(lines: DataFrame, *, width: int | None = None, max_line: in
     id_json = F.when(~whole, F.to_json(F.try_variant_get(own, "$.id", "variant")))
     rows = rows.select(F.when(~whole, F.get_json_object("text", "$.id")).alias("id"), id_json.alias("id_json"), kind.alias("kind"), embedding.alias("embedding"), "bytes")
     bad = (
-        F.when(F.col("bytes") > max_line, F.lit(f"longer than {max_line} bytes"))
-        .when(F.col("embedding").isNull(), F.lit("expected a JSON array of numbers or an object with one"))
-        .when(F.size("embedding") == 0, F.lit("empty embedding"))
-        .when(F.lit(width is not None) & (F.size("embedding") != (width or 0)), F.concat(F.lit(f"expected {width} numbers, got "), F.size("embedding").cast("string")))
+        F.when(F.col("bytes") > max_line, F.concat(F.lit(f"line over the limit of {max_line} bytes: "), F.col("bytes").cast("string")))
+        .when(F.col("embedding").isNull(), F.lit("no array of numbers found"))
+        .when(F.size("embedding") == 0, F.lit("the array holds no number"))
+        .when(F.lit(width is not None) & (F.size("embedding") != (width or 0)), F.concat(F.size("embedding").cast("string"), F.lit(f" numbers where {width} are due")))
         .when(F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(errors.NonFiniteValue.__name__))
         .when(F.forall("embedding", lambda v: v == 0), F.lit(errors.ZeroVector.__name__))
     )
@@ -51,7 +51,7 @@ def text_ids(df: DataFrame) -> Column:
     """An id for text output: a string or whole number without tab or line break, else an error."""
     bad = F.col("kind").isNotNull() & ~F.col("kind").rlike("STRING|BIGINT|VOID")
     broken = F.col("id").rlike("[\t\r\n]")
-    return F.when(bad, F.raise_error(F.lit("id must be a string or a number"))).when(broken, F.raise_error(F.lit("id contains a tab or line break"))).otherwise(F.col("id"))
+    return F.when(bad, F.raise_error(F.lit("only texts and numbers serve as ids"))).when(broken, F.raise_error(F.lit("an id with a tab or line end breaks its line"))).otherwise(F.col("id"))
 
 
 def marker_lines(df: DataFrame, marker: Column | str = "marker") -> DataFrame:
@@ -70,7 +70,7 @@ def read_points(spark: SparkSession, path: str, *, stream: bool = False) -> Data
     lines = (spark.readStream if stream else spark.read).text(path)
     part = F.split(F.trim(F.regexp_replace("value", r"[ \t\r]+", " ")), " ")
     lat, lng = (F.try_element_at(part, F.lit(i)).try_cast("double") for i in (1, 2))
-    bad = F.when(F.octet_length("value") > 512, F.lit("line too long")).when((F.size(part) != 2) | lat.isNull() | lng.isNull(), F.lit("expected LAT LNG"))
+    bad = F.when(F.octet_length("value") > 512, F.lit("over 512 bytes")).when((F.size(part) != 2) | lat.isNull() | lng.isNull(), F.lit("not two numbers"))
     return lines.where(F.trim(F.regexp_replace("value", r"[ \t\r]+", " ")) != "").select(lat.alias("lat"), lng.alias("lng"), bad.alias("error"))
 
 

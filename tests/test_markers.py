@@ -56,23 +56,42 @@ def test_ranges_and_prefixes(spark):
     assert one(spark, f"hk1:2:4:{SEED}:8a", "string", markers.marker_cell("e", markers.Space(2, 4))) == [11, 11]
 
 
+def broken(fields, wrong):
+    """Texts a step away from canonical: each field missing, doubled, empty, padded or replaced by each of its wrong forms."""
+    for i in range(len(fields)):
+        around = lambda *x: ":".join([*fields[:i], *x, *fields[i + 1 :]])  # noqa: B023, E731
+        yield from (around(), around(fields[i], fields[i]), around(""), around(" " + fields[i]), around("0" + fields[i]), around(fields[i] + "0" * 40))
+        yield from (around(x) for x in wrong.get(i, ()))
+
+
 def test_strict_parsing(spark):
-    good = [f"hk1:8:8:{SEED}:0123456789abcdef", "hk1:32:4:0000000000000001:" + "f" * 32]
-    bad = [
-        "", "hk1:", f"hk2:8:8:{SEED}:0123456789abcdef", f"hk1:08:8:{SEED}:0123456789abcdef", f"hk1:8:8:{SEED.upper()}:0123456789abcdef",
-        f"hk1:8:8:{SEED}:123456789abcdef", f"hk1:8:8:{SEED}:0123456789abcdef:", f"hk1:0:8:{SEED}:00", f"hk1:33:1:{SEED}:000000000",
-        f"hk1:16:16:{SEED}:35b51b78bface751000000000000000000", f"hk1:5:5:{SEED}:fffffff", f"hk1:8:8:{SEED}:0123456789abcdeg", f"hk1:8:8:{SEED}:01234567-9abcdef", f"hk1:8:8:{SEED}:0123456789abcdef\n",
-    ]
-    rows = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", markers.is_marker("t").alias("ok"), markers.format_marker(markers.parse("t")["key"], markers.Space()).alias("again"))
+    good = [f"hk1:{d}:{b}:{SEED}:{'0' * -(-d * b // 4)}" for d, b in ((1, 1), (1, 32), (32, 1), (32, 4), (4, 32), (7, 9), (8, 8))]
+    fields = ["hk1", "6", "7", SEED, "3ff00ff00ff"]  # 42 bits in 11 digits, the first below 4
+    bad = [*broken(fields, {0: ["hk", "HK1", "hk11"], 1: ["0", "33", "-6", "six"], 2: ["0", "33", "7.0", "8"], 3: [SEED[1:], SEED.replace("e", "E"), "g" * 16], 4: ["4ff00ff00ff", "3FF00ff00ff", "3ff00ff00f", "3ff00ff00f~"]}), "", ":::::"]
+    bad += [":".join(fields) + end for end in ("\n", " ", ":")] + ["\t" + ":".join(fields), f"hk1:32:5:{SEED}:{'0' * 40}", f"hk1:5:26:{SEED}:{'0' * 33}"]
+    good.append(":".join(fields))
+    rows = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", markers.is_marker("t").alias("ok"))
     assert {r.t: r.ok for r in rows.collect()} == {t: t in good for t in good + bad}
 
 
-def test_invalid_vectors(spark):
-    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, None), (6, [1.0])], "id int, e array<float>").coalesce(1)
-    got = {r.id: (r.m is not None, r.error) for r in rows.select("id", markers.marker("e", invalid="null").alias("m"), markers.marker_error("e").alias("error")).collect()}
-    assert got == {1: (True, None), 2: (False, "ZeroVector"), 3: (False, "NonFiniteValue"), 4: (False, "NonFiniteValue"), 5: (False, None), 6: (False, "DimensionMismatch")}
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_invalid_vectors(spark, parts):
+    """The same rows are wrong in any partitioning, whichever comes first."""
+    data = [(6, [1.0]), (1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, None), (7, [1.0, 2.0, 3.0])]
+    rows = spark.createDataFrame(data, "id int, e array<float>").repartition(parts, "id") if parts > 1 else spark.createDataFrame(data, "id int, e array<float>").coalesce(1)
+    got = {r.id: (r.m is not None, r.error, r.k is not None) for r in rows.select("id", markers.marker("e", invalid="null", width=2).alias("m"), markers.marker_error("e", width=2).alias("error"), lsh.keys("e", invalid="null", width=2).alias("k")).collect()}
+    assert got == {1: (True, None, True), 2: (False, "ZeroVector", False), 3: (False, "NonFiniteValue", False), 4: (False, "NonFiniteValue", False), 5: (False, None, False), 6: (False, "DimensionMismatch", False), 7: (False, "DimensionMismatch", False)}
     with pytest.raises(Exception, match="ZeroVector"):
-        rows.where("id < 3").select(markers.marker("e")).collect()
+        rows.where("id < 3").select(markers.marker("e", width=2)).collect()
+    # Without a width each row counts by its own.
+    own = {r.id: r.k for r in rows.where("id in (1, 6, 7)").select("id", markers.key("e").alias("k")).collect()}
+    assert own == {i: vector(spark, e, markers.key("e")) for i, e in data if i in (1, 6, 7)}
+
+
+def test_probe_count_has_a_limit():
+    for n in (0, lsh.MOST_PROBES + 1):
+        with pytest.raises(errors.OutputLengthMismatch):
+            lsh.probes("e", n)
 
 
 def test_hash_keys(spark):
@@ -86,11 +105,13 @@ def test_hash_keys(spark):
     assert [a ^ b for a, b in zip(up, down)] == [255] * 16
     found = lsh.probe_keys(np.array([[0.9, -0.1, 0.5, -0.05]]), np.array([0b0101], np.uint64), 16)[0].tolist()
     assert found[:3] == [0b0101, 0b1101, 0b0111] and len(set(found)) == 16
-    parsed = one(spark, f"hk2:3:10:{SEED}:3ff.000.2a5", "string", lsh.parse("e"))
-    assert (parsed.tables, parsed.bits, parsed["keys"]) == (3, 10, [0x3FF, 0, 0x2A5])
-    bad = ["+3:10:{s}:3ff.000.2a5", "03:10:{s}:3ff.000.2a5", "3:1_0:{s}:3ff.000.2a5", "3:10:{S}:3ff.000.2a5", "3:10:{s}:3FF.000.2a5", "3:10:{s}:3ff.000", "3:10:{s}:7ff.000.2a5", "3:99999:{s}:3ff.000.2a5", "1:8:{s}:0_ab"]
-    rows = spark.createDataFrame([("hk2:" + b.format(s=SEED, S=SEED.upper()),) for b in bad], "t string")
-    assert rows.where(lsh.parse("t").isNotNull()).count() == 0
+    good = [f"hk2:1:1:{SEED}:1", f"hk2:2:64:{SEED}:{'f' * 16}.{'0' * 16}", f"hk2:2:9:{SEED}:1ff.0a0"]
+    fields = ["hk2", "2", "9", SEED, "1ff.0a0"]
+    bad = [*broken(fields, {0: ["hk1", "Hk2"], 1: ["0", "1", "3", "2000", "two"], 2: ["0", "65", "13", "9e0"], 3: [SEED[:-1], SEED.upper()], 4: ["2ff.0a0", "1FF.0a0", "1ff", "1ff.0a0.000", "1ff..0a0", "1ff.a0", "1ff,0a0", ".1ff.0a0"]}), ""]
+    rows = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", lsh.parse("t").alias("p"))
+    got = {r.t: r.p for r in rows.collect()}
+    assert {t: p is not None for t, p in got.items()} == {t: t in good for t in good + bad}
+    assert (got[good[2]].tables, got[good[2]].bits, got[good[2]]["keys"]) == (2, 9, [0x1FF, 0x0A0])
 
 
 def test_near_vectors_share_longer_prefixes_and_probes_find_more(spark):

@@ -26,14 +26,14 @@ def test_embedding_lines(spark, tmp_path):
 def test_bad_lines(spark, tmp_path):
     path = written(tmp_path, '[1,2]\n[1e400,1,1]\n["a"]\n{"x":1}\n[]\n[0,0,0]\n[1,2,3]\n')
     got = [r.error for r in lines.read_embeddings(spark, path, width=3).coalesce(1).collect()]
-    wrong = "expected a JSON array of numbers or an object with one"
-    assert got == ["expected 3 numbers, got 2", "NonFiniteValue", wrong, wrong, "empty embedding", "ZeroVector", None]
-    with pytest.raises(Exception, match="longer than 4 bytes"):
+    wrong = "no array of numbers found"
+    assert got == ["2 numbers where 3 are due", "NonFiniteValue", wrong, wrong, "the array holds no number", "ZeroVector", None]
+    with pytest.raises(Exception, match="over the limit of 4 bytes: 5"):
         lines.read_embeddings(spark, path, max_line=4, strict=True).collect()
 
 
 def test_bad_ids_in_text_output(spark, tmp_path):
-    for text, message in (('{"id":"a\\tb","embedding":[1]}', "tab or line break"), ('{"id":{},"embedding":[1]}', "string or a number")):
+    for text, message in (('{"id":"a\\tb","embedding":[1]}', "tab or line end"), ('{"id":{},"embedding":[1]}', "texts and numbers")):
         rows = lines.read_embeddings(spark, written(tmp_path, text)).withColumn("marker", markers.marker("embedding"))
         with pytest.raises(Exception, match=message):
             lines.marker_lines(rows).collect()
