@@ -5,12 +5,18 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DecimalType, LongType, StringType, StructField, StructType
 
 from orbweave.errors import EngineError, IndexOutOfRange
 from orbweave.functions import cells, curve, lsh, markers
 from orbweave.functions.vectors import hex_text, longs, matrix, to_longs
 
 
+def _row(**kinds) -> StructType:
+    """Types are built here, not parsed: no session is needed to import this module."""
+    return StructType([StructField(name, kind) for name, kind in kinds.items()])
+
+
 def _by_parameter(parameter, *columns, run):
     """``run(value, columns)`` for the rows of each value of a parameter that SQL passes as a column."""
     import pyarrow as pa
@@ -26,7 +32,7 @@ def _by_parameter(parameter, *columns, run):
     return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(order)))) if parts else pa.array([], pa.int64())
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def hilbert_encode2(x, y, bits):
     def run(order, columns):
         curve.check_order(order)
@@ -36,7 +42,7 @@ def hilbert_encode2(x, y, bits):
     return _by_parameter(bits, x, y, run=run)
 
 
-@F.arrow_udf("x long, y long")
+@F.arrow_udf(_row(x=LongType(), y=LongType()))
 def hilbert_decode2(h, bits):
     import pyarrow as pa
 
@@ -49,7 +55,7 @@ def hilbert_decode2(h, bits):
     return _by_parameter(bits, h, run=run)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def hk1_marker(embedding):
     """Marker in the default space; null for embeddings that have none."""
     import pyarrow as pa
@@ -61,7 +67,7 @@ def hk1_marker(embedding):
     return pa.array([space.prefix + k for k in keys.tolist()], pa.string(), mask=absent | (code > 0))
 
 
-@F.arrow_udf("array<long>")
+@F.arrow_udf(ArrayType(LongType()))
 def hk2_keys(embedding):
     """Keys in the default tables."""
     import pyarrow as pa
@@ -73,7 +79,7 @@ def hk2_keys(embedding):
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[~absent].ravel()), mask=pa.array(absent))
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def cell_id(lat, lng, level):
     """Cell of a point at a level; null for points that have none."""
     def run(at, columns):
@@ -83,7 +89,7 @@ def cell_id(lat, lng, level):
     return _by_parameter(level, lat, lng, run=run)
 
 
-@F.udtf(returnType="index decimal(38,0), point array<bigint>")
+@F.udtf(returnType=_row(index=DecimalType(38, 0), point=ArrayType(LongType())))
 class CurveWalk:
     """``count`` points of the curve from index ``start`` on."""
 
@@ -101,7 +107,7 @@ class CurveWalk:
                 yield Decimal(i), p
 
 
-@F.udtf(returnType="lo string, hi string")
+@F.udtf(returnType=_row(lo=StringType(), hi=StringType()))
 class ProbeRanges:
     """Key ranges of the default space to search around an embedding."""
 
@@ -116,7 +122,7 @@ class ProbeRanges:
             yield f"{low:0{space.digits}x}", f"{high:0{space.digits}x}"
 
 
-@F.udtf(returnType="cell bigint")
+@F.udtf(returnType=_row(cell=LongType()))
 class CoverCells:
     """Cells that hold a disc around a point."""
 

@@ -94,9 +94,9 @@ def hk1_probed(flips: int) -> str:
         SELECT vec_id, j, home, p / 128 - home AS frac, CASE WHEN p / 128 - home < 0.5 THEN -1 ELSE 1 END AS step FROM (
           SELECT vec_id, j, p, least(floor(p / 128), 1)::BIGINT AS home FROM ({hk1_positions(8, 8)})))"""
     ranked = f"""
-      SELECT vec_id, j, home, beyond, row_number() OVER (PARTITION BY vec_id ORDER BY far, away, j) - 1 AS at, sum((NOT far)::INT) OVER (PARTITION BY vec_id) AS free FROM ({sides})"""
+      SELECT vec_id, j, home, beyond, row_number() OVER (PARTITION BY vec_id ORDER BY far, away, j) - 1 AS nth, sum((NOT far)::INT) OVER (PARTITION BY vec_id) AS free FROM ({sides})"""
     moved = f"""(
-      SELECT vec_id, mask, list((CASE WHEN at < {flips} AND (mask >> least(at, {flips})::INT) & 1 = 1 THEN beyond ELSE home END * 128)::BIGINT ORDER BY j) AS c
+      SELECT vec_id, mask, list((CASE WHEN nth < {flips} AND (mask >> least(nth, {flips})::INT) & 1 = 1 THEN beyond ELSE home END * 128)::BIGINT ORDER BY j) AS c
       FROM ({ranked}), range({1 << flips}) m(mask) WHERE mask >> least(free, {flips})::INT = 0 GROUP BY vec_id, mask)"""
     return f"SELECT vec_id, mask, (h >> 56::UHUGEINT)::BIGINT AS cell FROM ({encode_nd(moved, 'vec_id, mask', 'c', 8, 8)})"
 
@@ -167,7 +167,7 @@ LEAVES = f"SELECT c_custkey, {_leaf_id('face', 'i', 'j')} AS id, face FROM ({FAC
 
 def _raised(bits: str, c: str = "id") -> str:
     """The ancestor of a leaf whose lowest set bit is at ``bits``."""
-    bit = f"(1::UHUGEINT << ({bits})::INT)"
+    bit = f"(1::UHUGEINT << ({bits})::UHUGEINT)"
     return f"(({c}::UHUGEINT // (2::UHUGEINT * {bit})) * (2::UHUGEINT * {bit}) + {bit})::UBIGINT"
 
 
@@ -176,14 +176,14 @@ def _beside(steps: str, bits: str) -> str:
 
     Off the face, the place one unit beyond its edge is seen from the neighbouring face, on a linear scale.
     """
-    size, off = "(1::BIGINT << bits::INT)", "NOT (a BETWEEN 0 AND 1073741823 AND b BETWEEN 0 AND 1073741823)"
+    size, off = "(1::BIGINT << bits::INT)", "NOT (ci BETWEEN 0 AND 1073741823 AND cj BETWEEN 0 AND 1073741823)"
     middle = lambda x: f"({x} // {size}) * {size} + {size} // 2"
-    moved = f"SELECT c_custkey, k, bits, face, {middle('i')} + di * {size} AS a, {middle('j')} + dj * {size} AS b FROM (SELECT *, ({bits})::BIGINT AS bits FROM ({FACE_IJ})), ({steps})"
+    moved = f"SELECT c_custkey, k, bits, face, {middle('i')} + di * {size} AS ci, {middle('j')} + dj * {size} AS cj FROM (SELECT *, ({bits})::BIGINT AS bits FROM ({FACE_IJ})), ({steps})"
     flat = lambda x: f"greatest(-1.0000000000000002, least(1.0000000000000002, (2.0 * (greatest(-1, least({x}, 1073741824)) - 536870912) + 1) / 1073741824.0::DOUBLE))"
-    seen = _faced("c_custkey, k, bits", f"SELECT c_custkey, k, bits, {_point_on('face', 'u', 'v')} FROM (SELECT c_custkey, k, bits, face, {flat('a')} AS u, {flat('b')} AS v FROM ({moved}) WHERE {off})")
+    seen = _faced("c_custkey, k, bits", f"SELECT c_custkey, k, bits, {_point_on('face', 'u', 'v')} FROM (SELECT c_custkey, k, bits, face, {flat('ci')} AS u, {flat('cj')} AS v FROM ({moved}) WHERE {off})")
     unit = lambda x: _IJ(f"(0.5 * ({x} + 1))")
-    placed = f"SELECT c_custkey, k, bits, face, a, b FROM ({moved}) WHERE NOT ({off}) UNION ALL SELECT c_custkey, k, bits, face, {unit('u')}, {unit('v')} FROM ({seen})"
-    return f"SELECT c_custkey, k, bits, {_raised('2 * bits')} AS id FROM (SELECT c_custkey, k, bits, {_leaf_id('face', 'a', 'b')} AS id FROM ({placed}))"
+    placed = f"SELECT c_custkey, k, bits, face, ci, cj FROM ({moved}) WHERE NOT ({off}) UNION ALL SELECT c_custkey, k, bits, face, {unit('u')}, {unit('v')} FROM ({seen})"
+    return f"SELECT c_custkey, k, bits, {_raised('2 * bits')} AS id FROM (SELECT c_custkey, k, bits, {_leaf_id('face', 'ci', 'cj')} AS id FROM ({placed}))"
 
 
 _UV = lambda s: f"CASE WHEN {s} >= 0.5 THEN (1.0::DOUBLE / 3.0::DOUBLE) * (4 * {s} * {s} - 1) ELSE (1.0::DOUBLE / 3.0::DOUBLE) * (1 - 4 * (1 - {s}) * (1 - {s})) END"
@@ -244,7 +244,7 @@ ORACLES |= {
     "hk1_topk": _topk(_ALL_PAIRS),
     "hk1_position": f"SELECT vec_id, j::INT AS axis, round(p, 6) AS p FROM ({hk1_positions(8, 8)})",
     "hk1_probe_ranges": f"""
-      SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY min(cell)) - 1)::INT AS at, printf('%02x', min(cell)) || '00000000000000' AS lo, printf('%02x', max(cell)) || 'ffffffffffffff' AS hi
+      SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY min(cell)) - 1)::INT AS "at", printf('%02x', min(cell)) || '00000000000000' AS lo, printf('%02x', max(cell)) || 'ffffffffffffff' AS hi
       FROM (SELECT vec_id, cell, cell - row_number() OVER (PARTITION BY vec_id ORDER BY cell) AS island FROM (SELECT DISTINCT vec_id, cell FROM ({hk1_probed(3)}))) GROUP BY vec_id, island""",
     "hk1_candidates": f"SELECT q.vec_id AS query_id, k.vec_id AS id FROM ({hk1_probed(2)}) q JOIN ({hk1_keys()}) k ON ('0x' || left(k.key, 2))::BIGINT = q.cell WHERE q.vec_id % 20 = 0",
     "hk1_range_filter": f"SELECT vec_id, marker FROM ({MARKERS}) WHERE left(right(marker, 16), 1) BETWEEN '1' AND '5' OR left(right(marker, 16), 2) BETWEEN 'c4' AND 'df'",
@@ -262,8 +262,8 @@ ORACLES |= {
     "s2_center": CENTRES,
     "s2_neighbours": f"SELECT c_custkey, k::INT AS edge, {_TOKEN('id')} AS token FROM ({_beside('SELECT * FROM (VALUES (0, 0, -1), (1, 1, 0), (2, 0, 1), (3, -1, 0)) s(k, di, dj)', '20')})",
     "s2_covering": f"""
-      SELECT c_custkey, (row_number() OVER (PARTITION BY c_custkey ORDER BY id) - 1)::INT AS at, printf('%016x', id - w + 1::UBIGINT) AS lo, printf('%016x', id + w - 1::UBIGINT) AS hi
-      FROM (SELECT DISTINCT c_custkey, id, (1::UHUGEINT << (2 * bits)::INT)::UBIGINT AS w FROM ({_beside('SELECT di * 3 + dj AS k, di, dj FROM range(-1, 2) a(di), range(-1, 2) b(dj)', _DISC)}))""",
+      SELECT c_custkey, (row_number() OVER (PARTITION BY c_custkey ORDER BY id) - 1)::INT AS "at", printf('%016x', id - w + 1::UBIGINT) AS lo, printf('%016x', id + w - 1::UBIGINT) AS hi
+      FROM (SELECT DISTINCT c_custkey, id, (1::UHUGEINT << (2 * bits)::UHUGEINT)::UBIGINT AS w FROM ({_beside('SELECT di * 3 + dj AS k, di, dj FROM range(-1, 2) a(di), range(-1, 2) b(dj)', _DISC)}))""",
 }
 ORACLES["curve2d_encode_fold"] = ORACLES["curve2d_encode"]
 ORACLES["hk1_marker_cell"] = ORACLES["hk1_cell"]
