@@ -165,8 +165,11 @@ def default_path() -> str:
 def encode_documents(docs: DataFrame, *, text_col: str = "text", keep: list[str], tokenizer_path: str | None = None, with_ids: bool = True) -> DataFrame:
     """``keep`` columns, then ``n_tokens, ids_sha256, decoded_sha256`` and, on request, ``token_ids``.
 
-    No shuffle; a task holds one Arrow batch and the vocabulary.
+    No shuffle; a task holds one Arrow batch and the vocabulary.  Columns to keep
+    that have one of these names, in any case, give way to the new ones.
     """
+    new = {"n_tokens", "ids_sha256", "decoded_sha256"} | ({"token_ids"} if with_ids else set())
+    keep = [c for c in keep if c.lower() not in new]
     spark = docs.sparkSession
     with open(tokenizer_path or default_path(), "rb") as f:
         spec = spark.sparkContext.broadcast(f.read())

@@ -2,15 +2,17 @@
 
 For an item of n words, windows of n words of a document are fingerprinted
 over their weighted (repeated) five-word shingles.  A multi-index over the
-items' fingerprints looks up each of eight bytes within two bits: by the
-pigeonhole principle that finds every item within ``8 * 3 - 1 = 23`` bits.
+items' fingerprints has eight tables, one per byte, which list for each value
+the items whose byte is within two bits of it: by the pigeonhole principle the
+eight lists of a window hold every item within ``8 * 3 - 1 = 23`` bits.
 Candidates are then verified by the exact similarity of the two multisets of
 shingles (sum of least counts over sum of greatest counts).
 
 A window that shares no shingle with an item has similarity 0 to it, so only
 windows around a shared shingle are fingerprinted; nothing that could reach the
-threshold is left out.  Items are broadcast in blocks of at most
-``block_words`` words, one pass over the documents for each.
+threshold is left out.  Items are dealt by hash into blocks of about
+``block_words`` words; the driver fetches and broadcasts one block at a time, with
+one pass over the documents for each.
 
 Defined results: null and empty documents are clean; items without words match
 nothing; an item shorter than five words is one shingle of all its words; a
@@ -77,20 +79,28 @@ class ItemIndex:
             for h in hashes.tolist():
                 self.owners[size][h].add(len(words))
         self.fps = {n: np.array(x, np.uint64) for n, x in fps.items()}
-        self.near = {n: _NEAR[x.astype("<u8").view(np.uint8).reshape(-1, 8)] for n, x in self.fps.items()}  # item, byte, value
+        self.tables = {n: [self._table(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, b]) for b in range(8)] for n, x in self.fps.items()}
         self.filters = {}
         for size, found in self.owners.items():
             kept = np.zeros(1 << FILTER_BITS, bool)
             kept[np.fromiter(found, np.uint64, len(found)) >> np.uint64(64 - FILTER_BITS)] = True
             self.filters[size] = kept
 
+    @staticmethod
+    def _table(bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each value of a byte the items near it: bounds of the lists, and the lists one after another."""
+        value, item = np.nonzero(_NEAR[:, bytes_])
+        return np.searchsorted(value, np.arange(257)), item
+
     def within_radius(self, n: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (fingerprint, item of n words) within RADIUS, found by their blocks."""
-        blocks = fps.astype("<u8").view(np.uint8).reshape(-1, 8)
-        near = np.zeros((len(fps), len(self.fps[n])), bool)
-        for b in range(8):
-            near |= self.near[n][:, b, :][:, blocks[:, b]].T
-        i, j = np.nonzero(near)
+        """Pairs (fingerprint, item of n words) within RADIUS, found in the tables of their bytes."""
+        blocks, found = fps.astype("<u8").view(np.uint8).reshape(-1, 8), [np.empty(0, np.int64)]
+        for b, (bounds, items) in enumerate(self.tables[n]):
+            low, count = bounds[blocks[:, b]], bounds[blocks[:, b].astype(int) + 1] - bounds[blocks[:, b]]
+            who = np.repeat(np.arange(len(fps)), count)
+            place = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+            found.append(who * len(self.fps[n]) + items[place])
+        i, j = np.divmod(np.unique(np.concatenate(found)), len(self.fps[n]))
         good = np.bitwise_count(fps[i] ^ self.fps[n][j]) <= RADIUS
         return i[good], j[good]
 
@@ -135,17 +145,16 @@ class ItemIndex:
                     best[i] = (score, int(s[w]), int(e[w] - s[w] + size - 1))
 
 
-def item_blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[object, str]]]:
-    """The items, in blocks of at most ``block_words`` words each (a larger item is a block)."""
-    blocks, room = [], 0
-    for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        words = len(row.text.split())
-        if not blocks or words > room:
-            blocks.append([])
-            room = block_words
-        blocks[-1].append((row.item_id, row.text))
-        room -= words
-    return blocks
+def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[object, str]]]:
+    """The items in blocks of about ``block_words`` words, one after another on the driver."""
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    words = items.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    n = -(-words // block_words)
+    for k in range(n):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
+        found = sorted(((r.item_id, r.text) for r in block.collect()), key=repr)
+        if found:
+            yield found
 
 
 _INDEXES: dict[tuple, ItemIndex] = {}

@@ -1,20 +1,21 @@
-"""Main text of web pages: markup rules, and differencing against the page with the nearest URL.
-
-A page is read as lines, one per block.  Markup settles most of them: lines in
-menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader
-comments go; lines of an ``<article>`` or ``<main>`` stay.  What markup leaves
-open is settled by differencing: within each host, pages are sorted by URL path,
-each is paired with the neighbour that shares the longer start of its path, the
-two lists of lines are aligned by longest common subsequence, and shared lines
-are deleted.  Lines of a declared article are never deleted, since articles
-quote one another; if a page declares one, its other lines go.
-
-Only hashes of lines are sorted and compared.  A hot host is split by path, and
-the rows at the ends of partitions find their neighbours in a second step.
+"""Main text of web pages by differencing with the page of the nearest URL, with markup as evidence.
+
+A page is read as lines, one per block.  Markup says of a line that it is chrome
+(menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader
+comments: it goes), or that it belongs to a declared ``<article>`` or ``<main>`` (it
+must not be deleted, since articles quote one another), or nothing.  Within each
+host, pages are sorted by URL path, each is paired with the neighbour that shares
+the longer start of its path, their lines are aligned by longest common
+subsequence, and shared lines of which markup says nothing are deleted, beside a
+declared article as well as without one.  What is left is the text.
+
+Pages of a host whose lines agree but for chrome are one page to this: else a
+mirrored article would be deleted by its mirror.  Only hashes of lines are sorted
+and compared.  A hot host is split by path, and the rows at the ends of
+partitions find their neighbours in a second step.
 
 Defined results: null html is an empty page; a page alone in its host has no
-neighbour and loses nothing by differencing; pages of a host with equal html
-count as one page and get equal results; a null URL is a host of its own; an
+neighbour and loses nothing by differencing; a null URL is a host of its own; an
 unclosed element ends with the page; extra columns are ignored.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from math import isqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,26 +114,43 @@ def page_lines(html: str) -> list[tuple[str, int]]:
 
 
 def shared_lines(a: list, b: list) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b``, bit-parallel over ``b``."""
+    """Positions in ``a`` of a longest common subsequence with ``b``, bit-parallel over ``b``.
+
+    A row of bits per line would take the product of both lengths; one row in
+    each stretch of about the square root of ``a`` is kept, and the others of a
+    stretch are made again on the way back.
+    """
     at: dict = {}
     for j, x in enumerate(b):
         at[x] = at.get(x, 0) | 1 << j
     full = (1 << len(b)) - 1
-    rows = [full]  # after i lines of a: a zero at bit j where the subsequence with b[:j + 1] is longer than with b[:j]
-    for x in a:
-        row = rows[-1]
+
+    def below(row, x):
+        """After one more line of a: a zero at bit j where the subsequence with b[:j + 1] is longer than with b[:j]."""
         u = row & at.get(x, 0)
-        rows.append((row + u | row - u) & full)
+        return (row + u | row - u) & full
+
+    step = max(1, isqrt(len(a)))
+    row, kept = full, []
+    for i, x in enumerate(a):
+        if i % step == 0:
+            kept.append(row)
+        row = below(row, x)
     found, i, j = [], len(a), len(b)
     while i and j:
-        low = (1 << j) - 1
-        if (rows[i] & low).bit_count() == (rows[i - 1] & low).bit_count():
-            i -= 1
-        elif rows[i] >> (j - 1) & 1:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            found.append(i)
+        low = (i - 1) // step * step
+        rows = [kept[low // step]]
+        for x in a[low:i]:
+            rows.append(below(rows[-1], x))
+        while i > low and j:
+            mask, last, now = (1 << j) - 1, rows[i - low - 1], rows[i - low]
+            if (now & mask).bit_count() == (last & mask).bit_count():
+                i -= 1
+            elif now >> (j - 1) & 1:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append(i)
     return found[::-1]
 
 
@@ -213,18 +232,19 @@ def _at_ends(batches: Iterator) -> Iterator:
 
 
 def _light(batches: Iterator) -> Iterator:
-    """Hashes of the lines of each page, and which of them markup leaves open."""
+    """Of each page the hashes of its lines but for chrome, which of them markup leaves open, and one hash of them all."""
     import pyarrow as pa
     import xxhash
 
     for batch in batches:
-        hashes, open_ = [], []
+        hashes, open_, bodies = [], [], []
         for html in batch.column(3).to_pylist():
-            lines = page_lines(html)
-            declared = any(kind == ARTICLE for _, kind in lines)
+            lines = [(x, kind) for x, kind in page_lines(html) if kind != CHROME]
             hashes.append([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - 2**63 for x, _ in lines])
-            open_.append([] if declared else [i for i, (_, kind) in enumerate(lines) if kind == OPEN])
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(hashes, pa.list_(pa.int64())), pa.array(open_, pa.list_(pa.int32()))], ["key", "host", "path", "hashes", "open"])
+            open_.append([i for i, (_, kind) in enumerate(lines) if kind == OPEN])
+            bodies.append(xxhash.xxh64_intdigest(repr((hashes[-1], open_[-1])).encode()) - 2**63)
+        columns = [pa.array(bodies, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(open_, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["page", "host", "path", "body", "hashes", "open"])
 
 
 def _texts(batches: Iterator) -> Iterator:
@@ -233,9 +253,8 @@ def _texts(batches: Iterator) -> Iterator:
     for batch in batches:
         texts = []
         for html, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            lines, gone = page_lines(html), set(gone or ())
-            wanted = ARTICLE if any(kind == ARTICLE for _, kind in lines) else OPEN
-            texts.append(" ".join(x for i, (x, kind) in enumerate(lines) if kind == wanted and i not in gone))
+            gone = set(gone or ())
+            texts.append(" ".join(x for i, x in enumerate(x for x, kind in page_lines(html) if kind != CHROME) if i not in gone))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -244,10 +263,11 @@ def extract(pages: DataFrame, ws: Workspace) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_replace(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", "")
-    keyed = pages.select("page_id", "url", html.alias("html"), host.alias("host"), path.alias("path")).withColumn("key", F.xxhash64("host", "html"))
+    keyed = pages.select("page_id", "url", html.alias("html"), host.alias("host"), path.alias("path")).withColumn("page", F.xxhash64("host", "html"))
 
-    light = keyed.select("key", "host", "path", "html").mapInArrow(_light, "key long, host string, path string, hashes array<long>, open array<int>")
-    light = ws.save(light, "light")
+    light = keyed.select("page", "host", "path", "html").mapInArrow(_light, "page long, host string, path string, body long, hashes array<long>, open array<int>")
+    light = ws.save(light.withColumn("key", F.xxhash64("host", "body")), "light")
+    # Pages of one body are one, at their least path; where markup leaves nothing open the page only serves as a neighbour.
     one = light.groupBy("key").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("open").alias("open"))
     one = ws.save(one.where("size(hashes) > 0"), "one")
     order = ["host", "path", "key"]
@@ -257,7 +277,8 @@ def extract(pages: DataFrame, ws: Workspace) -> DataFrame:
     ends = settled.where("side <> 'inside'").repartition(1).sortWithinPartitions("part", "at").mapInArrow(_at_ends, "key long, gone array<int>")
     gone = settled.where("side = 'inside'").select("key", "gone").unionByName(ends).where("size(gone) > 0")
     gone = ws.save(gone, "gone")
-    rows = keyed.join(gone, "key", "left").select("page_id", "url", "html", "gone")
+    by_page = ws.save(light.select("page", "key").distinct().join(gone, "key").select("page", "gone"), "by-page")
+    rows = keyed.join(by_page, "page", "left").select("page_id", "url", "html", "gone")
     kinds = dict(pages.dtypes)
     return rows.mapInArrow(_texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 

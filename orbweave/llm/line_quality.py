@@ -151,3 +151,40 @@ def clean(docs: DataFrame, ws: Workspace, **limits) -> DataFrame:
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict, _ = measure(table(spark, sf_dir, "documents"), Workspace(spark, "quality"))
     return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate_words")
+
+
+#: The same in SQL; normalised lines stand for themselves instead of their hashes.
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
+), words AS (
+  SELECT r, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w, unnest(range(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')))) AS p FROM d
+), windows AS (
+  SELECT r, p, w, CASE WHEN lead(w, 7) OVER o IS NOT NULL THEN [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o, lead(w, 6) OVER o, lead(w, 7) OVER o] END AS v
+  FROM words WINDOW o AS (PARTITION BY r ORDER BY p)
+), twice AS (
+  SELECT r, p, w, v IS NOT NULL AND count(*) OVER (PARTITION BY r, v) > 1 AS hit FROM windows
+), counted AS (
+  SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, sum(near::INT) AS n_repeat_words FROM (
+    SELECT r, w, max(hit) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS near FROM twice) GROUP BY r
+), lines AS (
+  SELECT r, host, t, x, nth, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
+    CASE WHEN regexp_matches(x, '[\pL\pN]') THEN trim(regexp_replace(regexp_replace(lower(x), '\pN', '0', 'g'), '[^\pL\pN]+', ' ', 'g'), ' ') END AS line
+  FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS nth FROM d)
+), again AS (
+  SELECT r, sum((k > 1 AND n > 0)::INT) AS n_dup_lines FROM (SELECT r, n, row_number() OVER (PARTITION BY r, x ORDER BY nth) AS k FROM lines) GROUP BY r
+), often AS (
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS texts FROM lines WHERE line IS NOT NULL GROUP BY host, line)
+  JOIN (SELECT host, count(DISTINCT t) AS host_texts FROM d GROUP BY host) USING (host) WHERE texts > greatest(10, host_texts * 0.05)
+), lost AS (
+  SELECT r, sum(n) AS gone FROM lines SEMI JOIN often USING (host, line) GROUP BY r
+), facts AS (
+  SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    n_dup_lines::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(gone, 0)::BIGINT AS boilerplate_words
+  FROM d JOIN again USING (r) LEFT JOIN counted USING (r) LEFT JOIN lost USING (r)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    boilerplate_words > 0 AND (n_words - boilerplate_words < 20 OR n_words - boilerplate_words < 0.5 * n_words) AS depleted FROM facts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT depleted AS kept, boilerplate_words FROM judged
+"""

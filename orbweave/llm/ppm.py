@@ -251,7 +251,7 @@ def score_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
             order = np.argsort(keys)
             lookup[kind] = keys[order], np.concatenate([p[1] for p in parts])[order]
         scale = np.log10(n_train + 0.1 * (vocabulary + 1))
-        n_tokens, n_known, base, score = [], [], [], []
+        n_tokens, n_known, base, score, per_byte = [], [], [], [], []
         for t in left.column("text"):
             t = normal_text(t.as_py())
             keys, counts = lookup[WORDS]
@@ -260,11 +260,13 @@ def score_documents(docs: DataFrame, ws: Workspace) -> DataFrame:
             n_known.append(int((c > 0).sum()))
             base.append(float(np.log10(c + 0.1).sum() - len(c) * scale))
             keys, values = lookup[STRINGS]
-            score.append(float(values[np.searchsorted(keys, np.sort(packed_strings([t])[0]))].sum()))
-        columns = [left.column("doc_id"), left.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n_train] * len(base), pa.int64()), pa.array(base), pa.array(score)]
-        return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            coded = np.sort(packed_strings([t])[0])
+            score.append(float(values[np.searchsorted(keys, coded)].sum()))
+            per_byte.append(-score[-1] / np.log10(2) / len(coded))
+        columns = [left.column("doc_id"), left.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n_train] * len(base), pa.int64()), pa.array(base), pa.array(score), pa.array(per_byte, pa.float64())]
+        return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
-    schema = f"doc_id {kind_of_id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"doc_id {kind_of_id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     replies = answers.where(F.col("kind") != TOTALS).select("kind", "block", "keys", "values")
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
 

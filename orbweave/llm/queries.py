@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbweave.llm import chat_tree, warc
+from orbweave.llm import chat_tree, line_quality, warc
 from orbweave.llm.bpe import op6_bpe
 from orbweave.llm.decontam import op4_decontam
 from orbweave.llm.fuzzy_lines import op5_fuzzy_lines
@@ -27,5 +27,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE,
+    "op7_line_quality": line_quality.ORACLE,
     "op8_chat": chat_tree.ORACLE,
 }

@@ -20,7 +20,13 @@ repeat if the core that all strings of its piece share does, so single strings
 are compared only where a core repeats and its piece does not: at the edges of
 long matches.
 
-Nothing is compared in pairs, so thousands of copies cost what they weigh.
+Nothing is compared in pairs, so thousands of copies cost what they weigh.  Whole
+strings and pieces are told apart by two 64-bit hashes each.  The number of
+batches follows the bytes, one more for each doubling beyond BATCH_BYTES.
+
+Passages are found apart from that by their words, whatever stands between them:
+of any ``PASSAGE`` words in a row, the ``PHRASE`` words of least hash are kept, so two
+texts that share a passage of more than 50 words share such a phrase.
 
 Defined results: null and empty texts have no bytes; repeated rows repeat each
 other; texts that lose all bytes keep an empty rest; extra columns are ignored.
@@ -36,11 +42,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.common import Workspace, table, text_or_empty
-from orbweave.llm.hashing import Prefix
+from orbweave.llm.hashing import Prefix, shingle_hashes, word_hashes
 
 LENGTH, GRAM, STEP = 400, 64, 16
 SPAN = LENGTH - GRAM + 1
-BATCHES = 4
+BATCH_BYTES = 256 << 20
+PASSAGE, PHRASE = 51, 24
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -116,10 +123,10 @@ class SuffixFamily:
         own = ws.save(docs.select("rid", "text").mapInArrow(_entries, ENTRY), f"entries{k}")
         self.entries.append(own)
         index = self._sorted(own.withColumn("seen", F.lit(1).cast("long")), f"index{k}")
-        again = [self._again(index.where("seen > 1"), "string"), self._again(index.groupBy("anchor").agg(F.sum("seen").alias("n")).where("n > 1"), "anchor")]
+        again = [self._again(index.where("seen > 1"), "string"), self._again(index.groupBy("anchor").agg(F.sum("seen").alias("n")).where("n > 1").withColumn("string", F.lit(0).cast("long")), "anchor")]
         for level, _ in self.levels.values():
             again.append(self._again(index.join(level.select("anchor", "string"), ["anchor", "string"], "left_semi"), "string"))
-            again.append(self._again(index.join(level.select("anchor"), "anchor", "left_semi"), "anchor"))
+            again.append(self._again(index.join(level.select("anchor"), "anchor", "left_semi").withColumn("string", F.lit(0).cast("long")), "anchor"))
         found = again[0]
         for x in again[1:]:
             found = found.unionByName(x)
@@ -135,7 +142,7 @@ class SuffixFamily:
 
     @staticmethod
     def _again(rows: DataFrame, what: str) -> DataFrame:
-        return rows.select(F.lit(what).alias("what"), F.col(what).alias("value"))
+        return rows.select(F.lit(what).alias("what"), "anchor", "string")
 
     def _sorted(self, rows: DataFrame, name: str) -> DataFrame:
         one = rows.groupBy("anchor", "string").agg(F.sum("seen").alias("seen"), F.min(F.struct("rid", "start", "size", "place")).alias("e"))
@@ -146,7 +153,8 @@ class SuffixFamily:
         return self._sorted(_union([x for x, _ in self.levels.values()]), "index-all")
 
     def repeated(self, what: str) -> DataFrame:
-        return _union(self.matches).where(F.col("what") == what).select(F.col("value").alias(what)).distinct()
+        """``(anchor, string)`` of entries, or ``(anchor)``, that occur again."""
+        return _union(self.matches).where(F.col("what") == what).select(*(["anchor", "string"] if what == "string" else ["anchor"])).distinct()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -212,18 +220,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("rid"))
 
 
-def repeated_spans(docs: DataFrame, ws: Workspace, *, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(docs: DataFrame, ws: Workspace, *, batches: int | None = None) -> DataFrame:
     """``(rid, spans)``: the starts (first, number) of repeated strings in each text that has any; ``docs (rid, text)``."""
     family = SuffixFamily(ws)
+    if batches is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        batches = 2 + (total // BATCH_BYTES).bit_length()
     for k in range(batches):
         family.add(docs.where(F.pmod(F.xxhash64(F.lit(1), "rid"), F.lit(batches)) == k))
     strings, anchors = ws.save(family.repeated("string"), "strings"), ws.save(family.repeated("anchor"), "anchors")
-    settled = _union(family.entries).select("rid", "start", "size", "string").join(strings, "string").select("rid", "start", F.col("size").alias("n"))
+    settled = _union(family.entries).select("rid", "start", "size", "anchor", "string").join(strings, ["anchor", "string"]).select("rid", "start", F.col("size").alias("n"))
 
     # Entries of repeated anchors that have an unsettled string; one of each settled string beside them.
     index = family.index().join(anchors, "anchor", "left_semi")
     known = strings.withColumn("known", F.lit(True))
-    index = ws.save(index.join(known, "string", "left").withColumn("open", F.col("known").isNull()).drop("known"), "candidates")
+    index = ws.save(index.join(known, ["anchor", "string"], "left").withColumn("open", F.col("known").isNull()).drop("known"), "candidates")
     unsettled = ws.save(index.where("open").select("anchor").distinct(), "unsettled")
     wanted = index.join(unsettled, "anchor", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("start", "size", "place", "string", "open")).alias("wanted"))
     wanted = ws.save(wanted, "wanted")
@@ -231,11 +242,11 @@ def repeated_spans(docs: DataFrame, ws: Workspace, *, batches: int = BATCHES) ->
 
     cut = contexts.select("start", "size", "place", "bytes", "rid", "string", "open").mapInArrow(_pieces, "rid long, string long, open boolean, start long, low long, n long, piece long, core long")
     cut = ws.save(cut, "pieces")
-    twice = ws.save(cut.groupBy("piece").agg(F.count("*").alias("k")).where("k > 1").select("piece"), "twice")
+    twice = ws.save(cut.groupBy("piece", "core").agg(F.count("*").alias("k")).where("k > 1").select("piece", "core"), "twice")
     open_cut = cut.where("open")
-    some = open_cut.join(twice, "piece", "left_semi").select("rid", (F.col("start") + F.col("low")).alias("start"), "n")
+    some = open_cut.join(twice, ["piece", "core"], "left_semi").select("rid", (F.col("start") + F.col("low")).alias("start"), "n")
 
-    single = open_cut.join(twice, "piece", "left_anti").select("core").distinct()
+    single = open_cut.join(twice, ["piece", "core"], "left_anti").select("core").distinct()
     edges = ws.save(cut.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core").join(single, "core", "left_semi"), "edges")
     fine = cut.join(edges, "core", "left_semi").groupBy("piece").agg(F.min(F.struct("string", "low", "n", "open")).alias("p")).select("p.*")
     fine = ws.save(fine, "fine")
@@ -248,6 +259,45 @@ def repeated_spans(docs: DataFrame, ws: Workspace, *, batches: int = BATCHES) ->
     return ws.save(spans.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans")), "spans")
 
 
+def phrases(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the phrases of a text that stand for its passages."""
+    words = word_hashes(b" ".join(text.encode("utf-8", "surrogatepass").split()))
+    if len(words) < PASSAGE:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    all_ = shingle_hashes(words, PHRASE)
+    least = sliding_min(all_, PASSAGE - PHRASE + 1)
+    kept = np.zeros(len(all_), bool)
+    window = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    ends = np.append(window[1:], len(least)) - 1 + PASSAGE - PHRASE
+    for s, e, h in zip(window.tolist(), ends.tolist(), least[window]):
+        kept[s + np.flatnonzero(all_[s : e + 1] == h)] = True
+    at = np.flatnonzero(kept)
+    return at, all_[at].view(np.int64)
+
+
+def _phrases(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [phrases(t.as_py()) for t in batch.column(2)]
+        who = pa.array(np.repeat(np.arange(len(found)), [len(at) for at, _ in found]))
+        at, h = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(at), pa.array(h)], ["rid", "text_hash", "at", "phrase"])
+
+
+def passages(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """``(rid, n_passages)``: phrases of each text that occur in other, different texts, neighbouring ones counted as one; ``docs (rid, text)``.
+
+    A text without any has no row.  Copies of one whole text don't count.
+    """
+    found = ws.save(docs.select("rid", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_phrases, "rid long, text_hash long, at long, phrase long"), "phrases")
+    # Least and greatest hash differ where more than one text has the phrase: no distinct values are gathered.
+    shared = found.groupBy("phrase").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low <> high").select("phrase")
+    hit = found.join(ws.save(shared, "shared-phrases"), "phrase", "left_semi").groupBy("rid").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    apart = F.size(F.filter(F.zip_with(F.slice("at", 2, 1 << 30), "at", lambda b, a: b - a), lambda d: d > PASSAGE))
+    return ws.save(hit.select("rid", (apart + 1).cast("long").alias("n_passages")), "passages")
+
+
 def cut_out(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     """What is left of a text, and the number of bytes and of maximal runs removed."""
     kept, at, removed, runs, end = [], 0, 0, 0, -1
@@ -265,10 +315,11 @@ def cut_out(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def remove_repeats(docs: DataFrame, ws: Workspace, *, batches: int = BATCHES, with_rest: bool = False) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of each document; on request also the bytes left."""
+def remove_repeats(docs: DataFrame, ws: Workspace, *, batches: int | None = None, with_rest: bool = False) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages)`` of each document; on request also the bytes left."""
     rows = keyed(docs)
     spans = repeated_spans(rows.select("rid", "text"), ws, batches=batches)
+    found = passages(rows.select("rid", "text"), ws)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(parts: Iterator) -> Iterator:
@@ -282,11 +333,15 @@ def remove_repeats(docs: DataFrame, ws: Workspace, *, batches: int = BATCHES, wi
                 out.append((len(data), removed, runs, hashlib.sha256(rest).hexdigest(), *([rest] * with_rest)))
             columns = list(zip(*out)) or [[]] * (4 + with_rest)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["rest"] * with_rest)
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            arrays.insert(4, batch.column(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"] + ["rest"] * with_rest)
 
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", rest binary" * with_rest
-    return rows.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long" + ", rest binary" * with_rest
+    both = rows.join(spans, "rid", "left").join(found, "rid", "left")
+    return both.select("doc_id", "text", "spans", F.coalesce("n_passages", F.lit(0)).cast("long")).mapInArrow(run, schema)
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and ``n_passages``: passages of over 50 words that other texts share, many of which are shorter than 400 bytes."""
     return remove_repeats(table(spark, sf_dir, "documents"), Workspace(spark, "suffix"))

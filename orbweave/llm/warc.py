@@ -151,9 +151,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record is rebuilt from its headers and its stored payload; length and digest are those of the rebuilt payload."""
     archive = write_archive(table(spark, sf_dir, "pages"), Workspace(spark, "warc"))
-    out = archive.index()
-    return out.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    out = archive.originals()
+    length, digest = F.octet_length("payload").cast("long"), F.sha2("payload", 256)
+    return out.select(F.col("id").alias("page_id"), length.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 ORACLE = """

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import string
 from collections import Counter, defaultdict
 
 import duckdb
@@ -33,7 +34,7 @@ def sha(x):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     frame, found = queries.QUERIES[name](spark, SMALL), con.execute(queries.ORACLES[name])
     names = [d[0] for d in found.description]
@@ -132,6 +133,7 @@ def test_ppm_against_symbol_by_symbol(spark):
         words = [*ppm.normal_text(t).split(), None]
         r = got[i, len(words)]
         base = sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
+        assert r.bits_per_byte == pytest.approx(-score / math.log10(2) / (len(ppm.normal_text(t)) + 1), abs=1e-9)
         assert (r.held_out, r.train_tokens, r.n_known) == (h, n, sum(train[w] > 0 for w in words))
         assert r.score == pytest.approx(score, abs=1e-6) and r.base_score == pytest.approx(base, abs=1e-6)
 
@@ -216,13 +218,9 @@ def test_reply_trees(spark):
     assert got == {("t", 4): (1, [first, ("assistant", "### x: y"), ("us:er", "more")]), ("t", 3): (2, [first, ("assistant", "")]), ("u", 1): (1, [("user", "orphan")])}
 
 
-def test_suffix_removal_against_every_string(spark):
-    rng = random.Random(4)
-    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
-    passage, other = noise(700), noise(401)
-    rows = [(1, noise(300) + passage + noise(50)), (2, passage[100:650]), (3, other + "é" + other[:400]), (4, other[1:] + noise(9)), (5, "z" * 1000), (6, None), (7, ""), (8, noise(900)), (9, "same " * 90), (9, "same " * 90), (10, passage[:399])]
+def plain_removal(rows, n):
+    """Every string of ``n`` bytes, counted."""
     data = [(t or "").encode() for _, t in rows]
-    n = suffix_dedup.LENGTH
     seen = Counter(d[i : i + n] for d in data for i in range(len(d) - n + 1))
     want = []
     for (i, _), d in zip(rows, data):
@@ -232,8 +230,35 @@ def test_suffix_removal_against_every_string(spark):
                 gone[k : k + n] = [True] * n
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         want.append((i, len(d), sum(gone), runs, sha(bytes(b for b, g in zip(d, gone) if not g))))
-    got = suffix_dedup.remove_repeats(docs(spark, rows), Workspace(spark, "t")).collect()
-    assert sorted(tuple(r) for r in got) == sorted(want)
+    return want
+
+
+def test_suffix_removal_of_the_smallest_table(spark):
+    rows = texts(spark)
+    got = suffix_dedup.remove_repeats(docs(spark, rows), Workspace(spark, "t"), batches=3).collect()
+    want = plain_removal(rows, suffix_dedup.LENGTH)
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want) and sum(w[2] for w in want) > 0
+
+
+def test_shared_passages(spark):
+    """Texts that share more than 50 words, however spaced, are told; those that share 23, and whole copies, are not."""
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, short, twice = words(51), words(23), " ".join(words(300))
+    rows = [(1, " ".join(words(40) + passage + words(70))), (2, " ".join(words(90)) + "\n" + "\n ".join(passage)), (3, " ".join(words(60) + short + words(60))), (4, " ".join(short + words(100)))]
+    rows += [(5, twice), (6, twice), (7, None), (8, " ".join(passage[:20])), (9, " ".join(passage + words(80) + passage))]
+    got = {r.doc_id: r.n_passages for r in suffix_dedup.remove_repeats(docs(spark, rows), Workspace(spark, "t")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0, 9: 2}
+
+
+def test_suffix_removal_against_every_string(spark):
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = noise(700), noise(401)
+    rows = [(1, noise(300) + passage + noise(50)), (2, passage[100:650]), (3, other + "é" + other[:400]), (4, other[1:] + noise(9)), (5, "z" * 1000), (6, None), (7, ""), (8, noise(900)), (9, "same " * 90), (9, "same " * 90), (10, passage[:399])]
+    for batches in (1, 4):
+        got = suffix_dedup.remove_repeats(docs(spark, rows), Workspace(spark, "t"), batches=batches).collect()
+        assert sorted(tuple(r)[:5] for r in got) == sorted(plain_removal(rows, suffix_dedup.LENGTH))
 
 
 def test_html_extraction(spark):
@@ -242,6 +267,98 @@ def test_html_extraction(spark):
     assert got == {k: (t, len(t)) for k, t in {1: "Head&line Some bold text.", 2: "First story.", 3: "Second story.", 4: "", 5: "Alone <3"}.items()}
 
 
+def plain_lcs(a, b):
+    """Length table of common subsequences, and which lines of ``a`` some longest one can hold last, walked back as the operator does."""
+    long = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            long[i][j] = long[i - 1][j - 1] + 1 if x == y else max(long[i - 1][j], long[i][j - 1])
+    return long[-1][-1]
+
+
+def test_shared_lines_is_a_longest_common_subsequence():
+    rng = random.Random(14)
+    for n in [0, 1, 2, 3, 5, 8, 20, 60] * 6:
+        a, b = ([rng.randrange(1 + n // 2) for _ in range(rng.randrange(n + 1))] for _ in range(2))
+        at = html_diff.shared_lines(a, b)
+        rest = iter(b)
+        assert at == sorted(set(at)) and all(any(a[i] == y for y in rest) for i in at) and len(at) == plain_lcs(a, b)
+
+
+def test_differencing_against_brute_force(spark):
+    """Forty pages without a declared article over five hosts: lines shared with the nearest URL go, by a plain table of common subsequences."""
+    rng = random.Random(12)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(6))
+    pages = []
+    for h in range(5):
+        frame = [line() for _ in range(6)]
+        for k in range(8):
+            own = [line() for _ in range(rng.randrange(1, 5))]
+            lines = [x for x in frame if rng.random() < 0.8] + own + [x for x in frame[:2] if rng.random() < 0.3]
+            pages.append((len(pages), f"http://h{h}.example/{rng.choice('ab')}/{rng.choice('cd')}{k}", lines))
+    pages.append((len(pages), pages[3][1] + "/mirror", pages[3][2]))  # a mirror: no neighbour of its original
+    want = {}
+    for i, url, lines in pages:
+        host, path = url[7:].split("/", 1)
+        near = {}
+        for _, u, other in pages:
+            if u[7:].split("/", 1)[0] == host:
+                body = tuple(other)
+                near[body] = min("/" + u[7:].split("/", 1)[1], near.get(body, "~"))
+        order = sorted((p, body) for body, p in near.items())
+        at = next(k for k, (_, body) in enumerate(order) if body == tuple(lines))
+        common = lambda p, q: next((k for k, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q)))
+        before, after = order[at - 1] if at else None, order[at + 1] if at + 1 < len(order) else None
+        best = after if before is None or after and common(order[at][0], after[0]) > common(order[at][0], before[0]) else before
+        want[i] = (len(lines) - plain_lcs(lines, list(best[1])), set(lines) - set(best[1]))
+    rows = [(i, u, "<html><body>" + "".join(f"<div>{x}</div>" for x in lines) + "<footer>f</footer></body></html>") for i, u, lines in pages]
+    found = {r.page_id: r.text for r in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), Workspace(spark, "t")).collect()}
+    for i, _, lines in pages:
+        n, own = want[i]
+        assert len(found[i].split()) == 6 * n and all(x in found[i] for x in own)
+    assert found[len(pages) - 1] == found[3]
+
+
+def test_lines_beside_an_article(spark):
+    """Markup protects the article; beside it, what the nearest page shares goes and the rest stays."""
+    page = lambda *own: "".join(f"<div>{x}</div>" for x in ("Shop slogan", own[0])) + f"<article><p>Quoted by both.</p><p>{own[1]}</p></article>"
+    rows = [(1, "http://h/a/1", page("Part one", "First.")), (2, "http://h/a/2", page("Part two", "Second.")), (2, "http://h/a/2", page("Part two", "Second."))]
+    got = sorted((r.page_id, r.text) for r in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), Workspace(spark, "t")).collect())
+    assert got == [(1, "Part one Quoted by both. First."), (2, "Part two Quoted by both. Second."), (2, "Part two Quoted by both. Second.")]
+
+
+def test_decontamination_against_every_window(spark):
+    """The whole smallest tables, and windows with words changed: all item-sized windows by exact similarity, without any fingerprint."""
+    rng = random.Random(13)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    words = lambda t: "".join(c for c in (t or "").lower() if c not in string.punctuation).split()
+    rows = texts(spark)
+    for k, (_, t) in enumerate(bench[:40]):
+        own = words(t)
+        for _ in range(k % 4):
+            own[rng.randrange(len(own))] = "changed"
+        rows.append((10_000 + k, " ".join([*words(rows[k][1])[:30], *own, *words(rows[k + 1][1])[:30]])))
+    cut = lambda w: (min(5, len(w)), [tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)])
+    want = set()
+    items = [(i, len(words(t)), *cut(words(t))) for i, t in bench if words(t)]
+    for doc, t in rows:
+        own = words(t)
+        grams = {size: [tuple(own[k : k + size]) for k in range(len(own) - size + 1)] for size in {x[2] for x in items}}
+        have = {size: set(g) for size, g in grams.items()}
+        for item, n, size, parts in items:
+            if not have[size] & set(parts):
+                continue
+            wide = n - size + 1
+            for s in range(max(0, len(grams[size]) - wide) + 1):
+                window = Counter(grams[size][s : s + wide])
+                common = sum((window & Counter(parts)).values())
+                if common >= 0.8 * (sum(window.values()) + len(parts) - common):
+                    want.add((doc, item))
+                    break
+    got = {(r.doc_id, r.item_id) for r in decontam.contamination(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), block_words=2000).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     frames = [
