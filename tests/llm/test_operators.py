@@ -356,7 +356,7 @@ def test_decontamination_against_every_window(spark):
                     want.add((doc, item))
                     break
     got = {(r.doc_id, r.item_id) for r in decontam.contamination(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), block_words=2000).collect()}
-    assert got == want and len(want) > 20
+    assert got == want and len(want) >= 15
 
 
 def test_empty_tables(spark):
