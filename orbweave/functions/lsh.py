@@ -48,7 +48,7 @@ def _signs(width: int, space: Tables) -> np.ndarray:
     seeds = splitmix64(space.seed, np.arange(space.tables))
     drawn = np.stack([splitmix64(int(s), np.arange(width)) for s in seeds], 1)
     turned = drawn[:, :, None] >> np.arange(space.bits, dtype=np.uint64) & np.uint64(1)
-    return np.where(turned, -1.0, 1.0).reshape(width, -1)
+    return np.where(turned, -1.0, 1.0).reshape(width, space.tables * space.bits)
 
 
 def margins_of(e: np.ndarray, space: Tables) -> np.ndarray:

@@ -127,8 +127,8 @@ class CoverCells:
     """Cells that hold a disc around a point."""
 
     def eval(self, lat: float, lng: float, radius_m: float):
-        radius = np.array([radius_m])
-        home = cells.raised(cells.leaves(np.array([lat]), np.array([lng])), cells.covering_level(radius))
+        radius = np.array([float(radius_m)])  # SQL's literals are decimals
+        home = cells.raised(cells.leaves(np.array([float(lat)]), np.array([float(lng)])), cells.covering_level(radius))
         around = cells.neighbours(home, [(di, dj) for dj in (-1, 0, 1) for di in (-1, 0, 1)])[0]
         for c in np.unique(around).view(np.int64).tolist():
             yield (c,)

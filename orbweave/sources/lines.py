@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave import errors
+from orbweave.functions import lsh
+from orbweave.functions.unsigned import hex16
 
 MAX_LINE = 4 << 20
 
@@ -74,6 +76,35 @@ def read_points(spark: SparkSession, path: str, *, stream: bool = False) -> Data
     return lines.where(F.trim(F.regexp_replace("value", r"[ \t\r]+", " ")) != "").select(lat.alias("lat"), lng.alias("lng"), bad.alias("error"))
 
 
+def read_regions(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """``(region_id, kind, points, radius_m)`` for ``covers.cover_regions``: each file of ``LAT LNG`` lines is one polyline or polygon, its points in line order.
+
+    A file without a point or with a wrong line stops the job with the file and the line's number.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("region_id"), F.split("value", "\r?\n").alias("rows"))
+    rows = files.select("region_id", F.posexplode("rows").alias("at", "value"))
+    part = F.split(F.trim(F.regexp_replace("value", r"[ \t\r]+", " ")), " ")
+    lat, lng = (F.try_element_at(part, F.lit(i)).try_cast("double") for i in (1, 2))
+    blank = F.trim(F.regexp_replace("value", r"[ \t\r]+", " ")) == ""
+    wrong = ~blank & ((F.octet_length("value") > 512) | (F.size(part) != 2) | lat.isNull() | lng.isNull())
+    point = F.struct(F.col("at"), lat.alias("lat"), lng.alias("lng"))
+    found = rows.groupBy("region_id").agg(F.array_sort(F.collect_list(F.when(~blank, point))).alias("points"), F.min(F.when(wrong, F.col("at") + 1)).alias("bad"))
+    stop = lambda *words: F.raise_error(F.concat(F.col("region_id"), *words))
+    points = F.transform("points", lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng")))
+    good = F.when(F.col("bad").isNotNull(), stop(F.lit(", line "), F.col("bad").cast("string"), F.lit(": not two numbers"))).when(F.size("points") == 0, stop(F.lit(" holds no point"))).otherwise(points)
+    return found.select("region_id", F.lit(kind).alias("kind"), good.alias("points"), F.lit(None).cast("double").alias("radius_m"))
+
+
+def hash_lines(df: DataFrame, *, n_probes: int = 0, space: lsh.Tables = lsh.Tables()) -> DataFrame:
+    """``value`` lines of JSON objects with ``id``, ``marker``, ``keys`` and, if ``n_probes`` asks for them, ``probes`` per table, as hex; of ``df (id_json, embedding)``."""
+    texts = lambda keys: F.transform(keys, lambda k: F.substr(hex16(k), F.lit(17 - space.digits), F.lit(space.digits)))
+    rows = df.select("id_json", "embedding", lsh.keys("embedding", space).alias("own"))
+    fields = [lsh.marker("own", space).alias("marker"), texts(F.col("own")).alias("keys")]
+    if n_probes:
+        fields.append(F.transform(lsh.probes("embedding", n_probes, space), texts).alias("probes"))
+    return json_lines(rows.select("id_json", *fields), *[f for f in ("marker", "keys", "probes")[: 2 + bool(n_probes)]])
+
+
 def range_lines(ranges: DataFrame) -> DataFrame:
     """``value`` lines ``LO HI`` in unsigned decimal, of ``ranges (lo, hi)``."""
     from orbweave.functions.unsigned import unsigned_decimal

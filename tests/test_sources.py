@@ -45,6 +45,36 @@ def test_point_lines(spark, tmp_path):
     assert lines.read_points(spark, path).where("error is not null").count() == 2
 
 
+def test_regions_from_point_lines(spark, tmp_path):
+    from orbweave.operators import covers
+
+    (tmp_path / "a.txt").write_text("10 10\n\n10.2 10.3\r\n 12\t11 \n")
+    rows = lines.read_regions(spark, str(tmp_path), "polyline")
+    assert [[(p.lat, p.lng) for p in r.points] for r in rows.collect()] == [[(10.0, 10.0), (10.2, 10.3), (12.0, 11.0)]]
+    found = {r.cell % (1 << 64) for r in covers.cover_regions(rows, max_level=12, max_cells=8).collect()}
+    assert found == set(covers.cover(covers.Chain([(10, 10), (10.2, 10.3), (12, 11)]), max_level=12, max_cells=8))
+    (tmp_path / "a.txt").write_text("10 10\n1 2 3\n")
+    with pytest.raises(Exception, match="line 2: not two numbers"):
+        lines.read_regions(spark, str(tmp_path), "polyline").collect()
+    (tmp_path / "a.txt").write_text("\n\n")
+    with pytest.raises(Exception, match="holds no point"):
+        lines.read_regions(spark, str(tmp_path), "polygon").collect()
+
+
+def test_hash_and_range_lines(spark, tmp_path):
+    from orbweave.functions import lsh
+
+    path = written(tmp_path, '{"id":"n","embedding":[1,2,3,-1]}\n[1,2,3,-1]\n')
+    rows = lines.read_embeddings(spark, path).coalesce(1)
+    t = lsh.Tables(3, 4)
+    got = [json.loads(r.value) for r in lines.hash_lines(rows, n_probes=3, space=t).collect()]
+    body = {"marker": f"hk2:3:4:{SEED}:7.1.a", "keys": ["7", "1", "a"], "probes": [["7", "3", "f"], ["1", "0", "5"], ["a", "e", "b"]]}
+    assert got == [{"id": "n"} | body, body]
+    assert "probes" not in json.loads(lines.hash_lines(rows, space=t).first().value)
+    ranges = spark.createDataFrame([(-1, -1), (1, 5)], "lo long, hi long").coalesce(1)
+    assert [r.value for r in lines.range_lines(ranges).collect()] == [f"{2**64 - 1} {2**64 - 1}", "1 5"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text('{"id":1,"embedding":[1,2,3]}\n[3,2,1]\n')
