@@ -204,6 +204,8 @@ SIMILARITY, WORDS, LEAST = 0.8, 5, 8
 #: Distance of the fingerprints of candidates that share a shingle: at similarity 0.8 a bit differs with probability 0.15,
 #: so one pair in a thousand lies beyond.
 WIDE_RADIUS = 20
+#: Further choices of the items that stand for their buckets.
+TURNS = 1
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -281,9 +283,19 @@ def deduplicate(docs: DataFrame, ws: Workspace, *, radius: int = 3, similarity:
     named = lambda side: one.select(F.col("fp").alias(side), F.col("a").alias(f"id_{side}"))
     close = links.join(named("a"), "a").join(named("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     equal = items.join(one, "fp").where("a <> id").select("a", F.col("id").alias("b"))
-    shared = candidates(items.withColumnRenamed("seen", "rank"), Fit(similarity, WIDE_RADIUS))
+    fit = Fit(similarity, WIDE_RADIUS, thorough=True)
+    shared = candidates(items.withColumnRenamed("seen", "rank"), fit)
     good = _similar(close.unionByName(equal).unionByName(shared), rows, ws, similarity, "near")
     roots = connected_components(good, ws, "near-cc")
+    # Other hubs for what the first ones left apart.
+    for turn in range(1, 1 + TURNS):
+        again = candidates(items.select("id", "size", F.xxhash64(F.lit(turn), "id").alias("rank"), "fp", "keys"), fit)
+        of = lambda end: roots.toDF(end, f"root_{end}")  # noqa: B023, E731
+        apart = ~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))
+        apart = ws.save(again.distinct(), f"again{turn}").join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b")
+        more = _similar(apart, rows, ws, similarity, f"near{turn}")
+        good = good.unionByName(more)
+        roots = connected_components(good, ws, f"near-cc{turn}") if not more.isEmpty() else roots
     rooted = ws.save(ids.join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id"))
     stays = ws.save(rooted.groupBy("root").agg(least.alias("stays")).select(F.col("stays.doc_id").alias(kept_id), F.col("stays.id").alias(key)), "stays")
