@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.common import Workspace, fresh, table, text_or_empty
-from orbweave.llm.components import connected_components
+from orbweave.llm.components import connected_components, merge_labels
 from orbweave.llm.hashing import mix, shingle_hashes, word_hashes
 from orbweave.llm.stars import Fit, candidates
 
@@ -93,22 +93,6 @@ def _leaves(batches: Iterator) -> Iterator:
             at += 1
 
 
-def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Join the groups of i and j; labels are least members, compressed. Returns which pairs were needed."""
-    needed = []
-    at = np.arange(len(i))
-    while len(at):
-        a, b = label[i[at]], label[j[at]]
-        open_ = a != b
-        at, a, b = at[open_], a[open_], b[open_]
-        high, first = np.unique(np.maximum(a, b), return_index=True)  # each group hooks onto one lower group
-        label[high] = np.minimum(a, b)[first]
-        needed.append(at[first])
-        while (label[label] != label).any():
-            label[:] = label[label]
-    return np.concatenate(needed) if needed else at
-
-
 def leaf_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between two leaves of unsigned fingerprints, as positions in both together."""
     shift = 0 if same else len(a)
