@@ -264,15 +264,13 @@ def phrases(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = word_hashes(b" ".join(text.encode("utf-8", "surrogatepass").split()))
     if len(words) < PASSAGE:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    all_ = shingle_hashes(words, PHRASE)
-    least = sliding_min(all_, PASSAGE - PHRASE + 1)
-    kept = np.zeros(len(all_), bool)
-    window = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    ends = np.append(window[1:], len(least)) - 1 + PASSAGE - PHRASE
-    for s, e, h in zip(window.tolist(), ends.tolist(), least[window]):
-        kept[s + np.flatnonzero(all_[s : e + 1] == h)] = True
+    hashes, width = shingle_hashes(words, PHRASE), PASSAGE - PHRASE + 1
+    least = sliding_min(hashes, width)
+    # A phrase stays if it is the least of some window over it: if the greatest of those least ones is its own.
+    edge = np.zeros(width - 1, np.uint64)
+    kept = ~sliding_min(~np.concatenate([edge, least, edge]), width) == hashes
     at = np.flatnonzero(kept)
-    return at, all_[at].view(np.int64)
+    return at, hashes[at].view(np.int64)
 
 
 def _phrases(batches: Iterator) -> Iterator:
