@@ -34,7 +34,7 @@ def sha(x):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     frame, found = queries.QUERIES[name](spark, SMALL), con.execute(queries.ORACLES[name])
     names = [d[0] for d in found.description]
