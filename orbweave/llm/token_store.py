@@ -15,8 +15,8 @@ Parquet's statistics.  Every block names the digest of its dictionary; reading
 with another one raises, and so does a frame whose CRC has changed.
 
 Texts are encoded by the tokenizers library.  Its pre-tokenizer's pieces are cut
-first, each distinct piece is given to the library once per Python worker
-(``KEPT_PIECES`` of them are kept), and a text with a code point whose class
+first, each distinct piece is given to the library's model (the latest
+``KEPT_PIECES`` to twice as many are kept per Python worker), and a text with a code point whose class
 Python and the library may see differently goes to the library whole.  The dictionary is
 trained on a bounded sample: the first ``SAMPLE_CHARS`` characters of the
 ``SAMPLE_DOCS`` documents of least hashed id.  It changes sizes, never ids.
@@ -34,17 +34,18 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.bpe import default_path
+from orbweave.llm.bpe import byte_letters, default_path
 from orbweave.llm.common import Workspace, shuffle_parts, table
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 4096, 65536
 BLOCK_BYTES, BLOCK_DOCS, SHARD_BYTES = 1 << 20, 4096, 256 << 20
-KEPT_PIECES, KEPT_LENGTH, LEVEL = 400_000, 64, 3
+KEPT_PIECES, KEPT_LENGTH, LEVEL = 500_000, 64, 3
 
 #: White space as the pre-tokenizer takes it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -64,24 +65,28 @@ class LibraryEncoder(dict):
         data["truncation"] = data["padding"] = None
         self.library = Tokenizer.from_str(json.dumps(data))
         size = max([*data["model"]["vocab"].values(), *(x["id"] for x in data["added_tokens"])]) + 1
-        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if size <= 1 << 16 else ("<u4", "I")
+        self.model, self.older = self.library.model, {}
+        self.letters = {b: letter for letter, b in byte_letters().items()}
         self.cut = re.compile(rf" ?[^\W\d_]++|'(?:[stmd]|re|ve|ll)| ?\d++| ?(?:[^\w{SPACE}]|_)++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         self.cut_ascii = re.compile(r" ?[A-Za-z]++|'(?:[stmd]|re|ve|ll)| ?[0-9]++| ?[^\t-\r A-Za-z0-9]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
         self.special = [x["content"] for x in data["added_tokens"]]
         self.known: set[str] = set()
 
     def __missing__(self, piece: str) -> bytes:
-        found = self._ask(piece)
+        found = self.older.get(piece)
+        if found is None:
+            letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+            found = array(self.code, [x.id for x in self.model.tokenize(letters)]).tobytes()
         if len(piece) <= KEPT_LENGTH:
             if len(self) >= KEPT_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
         return found
 
     def _ask(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def whole(self, text: str) -> bool:
         """Whether the library must have the whole text: it names a special token, or has a code point without a settled class."""
@@ -116,11 +121,14 @@ def _encoder(spec: str) -> LibraryEncoder:
 def train_dictionary(spark: SparkSession, docs: DataFrame, spec: str, end_id: int, *, id_col: str, text_col: str) -> bytes:
     """A zstandard dictionary of a sample's serialized ids; empty if the sample is too small.
 
-    The driver holds at most SAMPLE_DOCS x SAMPLE_CHARS characters.
+    About twice SAMPLE_DOCS rows of low hashes reach the driver, whatever the number
+    of tasks, of at most SAMPLE_CHARS characters each.
     """
     import zstandard
 
-    head = docs.select(F.xxhash64(id_col).alias("h"), F.left(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(SAMPLE_CHARS)).alias("text"))
+    share = min(1.0, 2 * SAMPLE_DOCS / max(1, docs.count()))
+    some = docs.where(F.xxhash64(id_col, text_col) <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+    head = some.select(F.xxhash64(id_col, text_col).alias("h"), F.left(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(SAMPLE_CHARS)).alias("text"))
     encoder = _encoder(spec)
     end = end_id.to_bytes(2 if encoder.kind == "<u2" else 4, "little")
     sample = [encoder.encode(r.text) + end for r in head.orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
