@@ -94,9 +94,9 @@ class Archive:
         self.ws = ws
 
     def headers(self) -> DataFrame:
-        """Each record's fields, parsed from its header block."""
-        field = lambda name: F.regexp_extract("header", rf"(?m)^{name}: ([^\r]*)", 1)
-        refers = F.regexp_extract("header", r"(?m)^WARC-Refers-To: <urn:record:([^.>]*)", 1)
+        """Each record's fields, parsed from its header block, whose lines end at CRLF alone: a URL may hold other separators."""
+        field = lambda name: F.regexp_extract("header", rf"(?md)^{name}: ([^\r]*)", 1)
+        refers = F.regexp_extract("header", r"(?md)^WARC-Refers-To: <urn:record:([^.>]*)", 1)
         return self.ws.load("records").select("id", "copy", "header", "http", "digest", field("WARC-Type").alias("record_type"), F.nullif(refers, F.lit("")).alias("refers_to"), field("WARC-Target-URI").alias("url"))
 
     def payloads(self) -> DataFrame:

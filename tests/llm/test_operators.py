@@ -50,6 +50,14 @@ def test_warc_round_trip(spark):
     assert all(bytes(r.record).endswith(bytes(r.payload)) for r in archive.originals().collect())
 
 
+def test_warc_headers_end_at_line_feeds_alone(spark):
+    """A URL that holds a line separator and a forged header is no header."""
+    forged = [f"http://a/{end}WARC-Refers-To: <urn:record:99>" for end in "\u2028\u2029\x85\n\r"]
+    rows = spark.createDataFrame([(i, u, "p" * 200 + str(i)) for i, u in enumerate(forged)], "page_id long, url string, html string")
+    got = warc.write_archive(rows, Workspace(spark, "t")).originals().collect()
+    assert [(r.record_type, r.refers_to) for r in got] == [("response", None)] * len(forged)
+
+
 def components(fps, radius=3):
     ids, root = sorted(set(fps)), {}
     root = {f: f for f in ids}
