@@ -26,7 +26,7 @@ from orbweave.functions.vectors import from_hex, hex_text, lists, matrix
 
 SEED = 0x9E3779B97F4A7C15
 MOST_INPUTS = 65536
-ROWS = 2048
+ROWS, TILE = 2048, 128
 #: Divisors of the exponential's polynomial, from the highest power.
 FACTORIALS = (39916800, 3628800, 362880, 40320, 5040, 720, 120, 24, 6, 2, 1, 1)
 ERRORS = {1: errors.ZeroVector, 2: errors.NonFiniteValue, 3: errors.DimensionMismatch}
@@ -73,17 +73,27 @@ def _signs(width: int, dims: int, seed: int) -> np.ndarray:
 
 
 def _sums(e: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signed sums per axis and the squared norm, in four running sums of 32 bits each: input i goes to sum i mod 4."""
+    """Signed sums per axis and the squared norm, in four running sums of 32 bits each: input i goes to sum i mod 4.
+
+    Rows come last in tiles that stay in the cache, so that adding up along the
+    first axis runs over whole vectors, in the order of the inputs.
+    """
     extra = -e.shape[1] % 4
-    e, signs = np.pad(e, ((0, 0), (0, extra))), np.pad(signs, ((0, extra), (0, 0)))
-    sums = np.zeros((len(e), signs.shape[1], 4), np.float32)
-    norm = np.zeros((len(e), 4), np.float32)
+    signs = np.pad(signs, ((0, extra), (0, 0))).T[:, :, None]
+    sums, norm = np.empty((len(e), len(signs)), np.float32), np.empty(len(e), np.float32)
+    four = lambda x: x if x.shape[0] else np.zeros((1, *x.shape[1:]), np.float32)
     with np.errstate(over="ignore", invalid="ignore", under="ignore"):
-        for k in range(0, e.shape[1], 4):
-            part = e[:, k : k + 4]
-            sums += part[:, None, :] * signs[k : k + 4].T[None]
-            norm += part * part
-        return (sums[..., 0] + sums[..., 1]) + (sums[..., 2] + sums[..., 3]), (norm[:, 0] + norm[:, 1]) + (norm[:, 2] + norm[:, 3])
+        for at in range(0, len(e), TILE):
+            rows = np.ascontiguousarray(np.pad(e[at : at + TILE], ((0, 0), (0, extra))).T)
+            lanes = np.empty_like(rows)
+            for axis, sign in enumerate(signs):
+                np.multiply(rows, sign, out=lanes)
+                a, b, c, d = np.add.reduce(four(lanes.reshape(-1, 4, rows.shape[1])), axis=0)
+                sums[at : at + TILE, axis] = (a + b) + (c + d)
+            np.multiply(rows, rows, out=lanes)
+            a, b, c, d = np.add.reduce(four(lanes.reshape(-1, 4, rows.shape[1])), axis=0)
+            norm[at : at + TILE] = (a + b) + (c + d)
+    return sums, norm
 
 
 def _exp(t: np.ndarray) -> np.ndarray:

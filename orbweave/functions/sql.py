@@ -135,7 +135,13 @@ class CoverCells:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the functions known to ``spark.sql``: hilbert_encode2, hilbert_decode2, hk1_marker, hk2_keys, cell_id, curve_walk, probe_ranges, cover_cells."""
+    """Make the functions known to ``spark.sql``: hilbert_encode2, hilbert_decode2, hk1_marker, hk2_keys, cell_id, curve_walk, probe_ranges, cover_cells.
+
+    ``curve_walk`` is a data source too, for long walks: ``CREATE TEMPORARY VIEW w USING curve_walk OPTIONS (dims 3, bits 10)``.
+    """
+    from orbweave.sources.walk import CurveWalkSource
+
+    spark.dataSource.register(CurveWalkSource)
     for f in (hilbert_encode2, hilbert_decode2, hk1_marker, hk2_keys, cell_id):
         spark.udf.register(f.__name__, f)
     for name, f in (("curve_walk", CurveWalk), ("probe_ranges", ProbeRanges), ("cover_cells", CoverCells)):

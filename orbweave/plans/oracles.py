@@ -267,3 +267,18 @@ ORACLES |= {
 }
 ORACLES["curve2d_encode_fold"] = ORACLES["curve2d_encode"]
 ORACLES["hk1_marker_cell"] = ORACLES["hk1_cell"]
+ORACLES["hk1_pruned_topk"] = ORACLES["hk1_topk"]
+ORACLES["curve_walk_source"] = f"SELECT o_orderkey, p[1] AS x0, p[2] AS x1, p[3] AS x2 FROM ({decode_nd('orders', 'o_orderkey', 'o_orderkey', 3, 10)})"
+#: ``(query_id, id)``: in each of 128 trees of 24 bits, the six rows on either side of a query's place, which is before its own key.
+_FOREST = f"""
+  WITH drawn AS (
+    SELECT t, j, list(CASE WHEN (w >> j::UHUGEINT) & 1::UHUGEINT = 1::UHUGEINT THEN -1 ELSE 1 END::DOUBLE ORDER BY i) AS s FROM (
+      SELECT t, i, {splitmix('seed', 'i')} AS w FROM (SELECT t, {splitmix(G, 't')} AS seed FROM range(128) x(t)), range(64) y(i)), range(24) z(j)
+    GROUP BY t, j),
+  keys AS (
+    SELECT vec_id, t, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], s) > 0 THEN 1 << j::INT ELSE 0 END)::BIGINT AS key FROM embeddings, drawn GROUP BY vec_id, t),
+  placed AS (
+    SELECT vec_id, t, row_number() OVER (PARTITION BY t ORDER BY key, vec_id) - 1 AS place, rank() OVER (PARTITION BY t ORDER BY key) - 1 AS own FROM keys)
+  SELECT DISTINCT q.vec_id AS query_id, d.vec_id AS id FROM placed q JOIN placed d ON d.t = q.t AND d.place >= q.own - 6 AND d.place < q.own + 6 WHERE q.vec_id % 20 = 0"""
+ORACLES["hk2_forest_topk"] = _topk(_FOREST)
+ORACLES["hk2_forest_recall"] = f"SELECT count(c.id) AS hits, count(*) AS wanted, round(count(c.id)::DOUBLE / count(*), 6) AS recall FROM ({_topk(_ALL_PAIRS)}) t LEFT JOIN ({_FOREST}) c ON c.query_id = t.query_id AND c.id = t.id"

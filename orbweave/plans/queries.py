@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import cells, curve, lsh, markers, sql
 from orbweave.functions.unsigned import hex16
-from orbweave.operators import checks, covers, layout, retrieval
+from orbweave.operators import checks, covers, forest, layout, nearest, retrieval
 
 LINE = ("l_orderkey", "l_linenumber")
 ORDER = 16
 SMALL = markers.Space(3, 10, 1)
 SPACE = markers.Space()
 TABLES = lsh.Tables(16, 8)
+#: Trees of the forest and rows taken on either side in each.
+FOREST, REACH = lsh.Tables(128, 24), 6
 REGIONS = [
     (1, "cap", [(37.4, -122.1)], 1_500_000.0),
     (2, "polyline", [(10.0, 10.0), (10.2, 10.3), (40.0, 60.0)], None),
@@ -316,6 +318,39 @@ def sql_functions(spark, sf_dir):
     return spark.sql("SELECT l_orderkey, l_linenumber, h, hilbert_decode2(h, 16).x = x AS same FROM (SELECT *, hilbert_encode2(x, y, 16) AS h FROM orbweave_xy)")
 
 
+def curve_walk_source(spark, sf_dir):
+    """The data source in SQL: the points of the curve at the order keys."""
+    sql.register(spark)
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    orders.createOrReplaceTempView("orbweave_orders")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW orbweave_walk USING curve_walk OPTIONS (dims 3, bits 10, count {last + 1}, rows_per_task 65536)")
+    return spark.sql("SELECT o_orderkey, point[0] AS x0, point[1] AS x1, point[2] AS x2 FROM orbweave_orders JOIN orbweave_walk ON index = o_orderkey")
+
+
+def hk1_pruned_topk(spark, sf_dir):
+    """``hk1_topk`` by bounds: blocks of cells that can't hold a better row are left out."""
+    data = _embeddings(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    found = nearest.pruned_topk(_asked(spark, sf_dir), data, k=10).rows
+    return found.select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def _forest(spark, sf_dir):
+    data = _embeddings(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    return forest.candidates(_asked(spark, sf_dir), data, reach=REACH, space=FOREST)
+
+
+def hk2_forest_topk(spark, sf_dir):
+    data = _embeddings(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    found = retrieval.rerank(_forest(spark, sf_dir), _asked(spark, sf_dir), data, k=10)
+    return found.select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def hk2_forest_recall(spark, sf_dir):
+    found = retrieval.recall(hk1_topk(spark, sf_dir), _forest(spark, sf_dir))
+    return found.select("hits", "wanted", F.round("recall", 6).alias("recall"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -325,5 +360,6 @@ QUERIES = {
         s2_leaf, s2_hierarchy, s2_density, s2_token_roundtrip, s2_neighbours, s2_center, s2_covering, s2_cover, s2_points_in_cover, merge_ranges,
         curve_checksum, hk1_position, hk1_range_filter, hk1_prefix_filter, hk1_first_failing, hk2_margins, hk2_recall,
         s2_at_level, s2_from_face_ij, s2_range_filter, s2_nested, sql_functions,
+        curve_walk_source, hk1_pruned_topk, hk2_forest_topk, hk2_forest_recall,
     )
 }
