@@ -282,3 +282,60 @@ _FOREST = f"""
   SELECT DISTINCT q.vec_id AS query_id, d.vec_id AS id FROM placed q JOIN placed d ON d.t = q.t AND d.place >= q.own - 6 AND d.place < q.own + 6 WHERE q.vec_id % 20 = 0"""
 ORACLES["hk2_forest_topk"] = _topk(_FOREST)
 ORACLES["hk2_forest_recall"] = f"SELECT count(c.id) AS hits, count(*) AS wanted, round(count(c.id)::DOUBLE / count(*), 6) AS recall FROM ({_topk(_ALL_PAIRS)}) t LEFT JOIN ({_FOREST}) c ON c.query_id = t.query_id AND c.id = t.id"
+
+_CENTRE = "(s_suppkey * 7919 % 12001)::DOUBLE / 100.0::DOUBLE - 60 AS lat, (s_suppkey * 104729 % 34000)::DOUBLE / 100.0::DOUBLE - 170 AS lng"
+_UNIT = lambda lat, lng: f"array_value(cos(radians({lat})) * cos(radians({lng})), cos(radians({lat})) * sin(radians({lng})), sin(radians({lat})))"
+_INNER = lambda a, b: f"array_inner_product({a}, {b})"
+_OUTER = lambda a, b: f"array_cross_product({a}, {b})"
+_SIZE = lambda a: f"sqrt({_INNER(a, a)})"
+_CHORD = lambda a, b: f"array_distance({a}, {b})"
+
+
+def _arc_within(a: str, b: str, r: str) -> str:
+    n = _OUTER(a, b)
+    over = f"{_INNER(_OUTER(n, a), 'p')} > 0 AND {_INNER(_OUTER(b, n), 'p')} > 0"
+    return f"(CASE WHEN {over} THEN asin(least(1, abs({_INNER(n, 'p')}) / {_SIZE(n)})) ELSE 2 * asin(least({_CHORD(a, 'p')}, {_CHORD(b, 'p')}) / 2) END <= {r})"
+
+
+def _in_triangle(a: str, b: str, c: str) -> str:
+    turn = f"sign({_INNER(_OUTER(a, b), c)})"
+    return "(" + " AND ".join(f"{turn} * {_INNER(_OUTER(x, y), 'p')} >= 0" for x, y in ((a, b), (b, c), (c, a))) + ")"
+
+
+#: Customers and suppliers' regions: a disc by its chord, a line by the distance from its two arcs, a dented ring as two triangles.
+ORACLES["s2_points_in_regions"] = f"""
+  WITH points AS (
+    SELECT c_custkey AS id, {_UNIT('lat', 'lng')} AS p FROM (
+      SELECT c_custkey, (c_custkey * 7919 % 17901)::DOUBLE / 100.0::DOUBLE - 89.5 AS lat, (c_custkey * 104729 % 36000)::DOUBLE / 100.0::DOUBLE - 180 AS lng FROM customer)),
+  regions AS (
+    SELECT s_suppkey AS k, {', '.join(f"{_UNIT(f'(lat + {x})', f'(lng + {y})')} AS {name}" for name, x, y in (('c', 0, 0), ('l1', 6, 8), ('l2', 2, 15), ('r0', -8, -8), ('r1', 9, 0), ('r2', -8, 8), ('r3', -3, 0)))}
+    FROM (SELECT s_suppkey, {_CENTRE} FROM supplier))
+  SELECT id, k AS region_id FROM points, regions
+  WHERE CASE k % 3
+    WHEN 0 THEN {_CHORD('c', 'p')} <= 2 * sin((200000 + k % 20 * 50000) / 6371010.0::DOUBLE / 2)
+    WHEN 1 THEN {_arc_within('c', 'l1', '((150000 + k % 10 * 20000) / 6371010.0::DOUBLE)')} OR {_arc_within('l1', 'l2', '((150000 + k % 10 * 20000) / 6371010.0::DOUBLE)')}
+    ELSE {_in_triangle('r0', 'r1', 'r3')} OR {_in_triangle('r1', 'r2', 'r3')} END"""
+
+
+def _cap_cells() -> str:
+    """``(k, level, face, i, j, inside)``: quarters of cells as long as they meet a supplier's disc, and no further where they lie in it."""
+    corner = lambda di, dj: _point_on("face", _UV(f"((i + {di}) / (1 << level)::DOUBLE)"), _UV(f"((j + {dj}) / (1 << level)::DOUBLE)")).replace(" AS ", f" AS c{di}{dj}")
+    corners = [(0, 0), (1, 0), (1, 1), (0, 1)]
+    v = lambda di, dj: f"array_value(c{di}{dj}x, c{di}{dj}y, c{di}{dj}z)"
+    unit = lambda x: f"array_value({', '.join(f'({x})[{k}] / {_SIZE(x)}' for k in (1, 2, 3))})"
+    angle = lambda a, b: f"acos(greatest(-1, least(1, {_INNER(a, b)})))"
+    judge = lambda rows: f"""
+      SELECT k, lat, lng, level, face, i, j, {angle('m', 'c')} <= r + a AS meets, {angle('m', 'c')} + a <= r AS inside FROM (
+        SELECT *, greatest({', '.join(angle('c', f'v{n}') for n in range(4))}) AS a, {_UNIT('lat', 'lng')} AS m, (200000 + k % 20 * 50000) / 6371010.0::DOUBLE AS r FROM (
+          SELECT *, {unit('s')} AS c FROM (
+            SELECT *, array_value({', '.join(f'v0[{k}] + v1[{k}] + v2[{k}] + v3[{k}]' for k in (1, 2, 3))}) AS s FROM (
+              SELECT k, lat, lng, level, face, i, j, {', '.join(f'{unit(v(*d))} AS v{n}' for n, d in enumerate(corners))} FROM (
+                SELECT *, {', '.join(corner(*d) for d in corners)} FROM ({rows}))))))"""
+    faces = f"SELECT s_suppkey AS k, {_CENTRE}, 0 AS level, f AS face, 0 AS i, 0 AS j FROM supplier, range(6) x(f) WHERE s_suppkey % 3 = 0"
+    quarters = "SELECT k, lat, lng, level + 1 AS level, face, 2 * i + di AS i, 2 * j + dj AS j FROM t, range(2) y(di), range(2) z(dj) WHERE meets AND NOT inside AND level < 5"
+    return f"WITH RECURSIVE t AS ({judge(faces)} UNION ALL {judge(quarters)}) SELECT k, level, face, i, j, inside FROM t WHERE meets AND (inside OR level = 5)"
+
+
+_CAP_CELLS = f"SELECT k, level, inside, {_raised('2 * (30 - level)')} AS id FROM (SELECT *, {_leaf_id('face', '(i::BIGINT << (30 - level)::INT)', '(j::BIGINT << (30 - level)::INT)')} AS id FROM ({_cap_cells()}))"
+ORACLES["s2_cover"] = f"SELECT k AS region_id, {_TOKEN('id')} AS token, level::INT AS level, inside FROM ({_CAP_CELLS})"
+ORACLES["s2_points_in_cover"] = f"SELECT l.c_custkey AS id, c.k AS region_id FROM ({LEAVES}) l JOIN ({_CAP_CELLS}) c ON {_raised('2 * (30 - c.level)', 'l.id')} = c.id"

@@ -16,11 +16,6 @@ SPACE = markers.Space()
 TABLES = lsh.Tables(16, 8)
 #: Trees of the forest and rows taken on either side in each.
 FOREST, REACH = lsh.Tables(128, 24), 6
-REGIONS = [
-    (1, "cap", [(37.4, -122.1)], 1_500_000.0),
-    (2, "polyline", [(10.0, 10.0), (10.2, 10.3), (40.0, 60.0)], None),
-    (3, "polygon", [(20.0, 20.0), (20.0, 60.0), (50.0, 40.0)], None),
-]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -231,17 +226,34 @@ def s2_covering(spark, sf_dir):
     return r.select("c_custkey", "at", hex16("r.lo").alias("lo"), hex16("r.hi").alias("hi"))
 
 
-def _cover(spark) -> DataFrame:
-    regions = spark.createDataFrame(REGIONS, "region_id int, kind string, points array<struct<lat:double,lng:double>>, radius_m double")
-    return covers.cover_regions(regions, max_level=12, max_cells=16)
+def _regions(spark, sf_dir):
+    """A region per supplier: a disc, a line of three points with a width, or a ring of four with a dent."""
+    k = F.col("s_suppkey")
+    lat, lng = (k * 7919 % 12001) / F.lit(100.0) - 60.0, (k * 104729 % 34000) / F.lit(100.0) - 170.0
+    at = lambda *steps: F.array(*[F.struct((lat + x).alias("lat"), (lng + y).alias("lng")) for x, y in steps])
+    kind = F.element_at(F.array(*map(F.lit, ("cap", "polyline", "polygon"))), (k % 3 + 1).cast("int"))
+    points = F.when(k % 3 == 0, at((0.0, 0.0))).when(k % 3 == 1, at((0.0, 0.0), (6.0, 8.0), (2.0, 15.0))).otherwise(at((-8.0, -8.0), (9.0, 0.0), (-8.0, 8.0), (-3.0, 0.0)))
+    radius = F.when(k % 3 == 0, 200000.0 + k % 20 * 50000).when(k % 3 == 1, 150000.0 + k % 10 * 20000)
+    return _table(spark, sf_dir, "supplier").select(k.alias("region_id"), kind.alias("kind"), points.alias("points"), radius.alias("radius_m"))
+
+
+def _cover(spark, sf_dir):
+    return covers.cover_regions(_regions(spark, sf_dir).where("kind = 'cap'"), max_level=5, max_cells=2048)
 
 
 def s2_cover(spark, sf_dir):
-    return _cover(spark).select("region_id", cells.token("cell").alias("token"), cells.level("cell").alias("level"))
+    """The discs of suppliers by cells of level 5 and coarser ones inside."""
+    return _cover(spark, sf_dir).select("region_id", cells.token("cell").alias("token"), cells.level("cell").alias("level"), "inside")
 
 
 def s2_points_in_cover(spark, sf_dir):
-    return retrieval.points_in_cells(_leaves(spark, sf_dir).select(F.col("c_custkey").alias("id"), "cell"), _cover(spark))
+    return retrieval.points_in_cells(_leaves(spark, sf_dir).select(F.col("c_custkey").alias("id"), "cell"), _cover(spark, sf_dir))
+
+
+def s2_points_in_regions(spark, sf_dir):
+    """Customers within discs, near lines and in rings of suppliers: exact, by covers first."""
+    points = _leaves(spark, sf_dir).select(F.col("c_custkey").alias("id"), "lat", "lng")
+    return covers.points_in_regions(points, _regions(spark, sf_dir))
 
 
 def merge_ranges(spark, sf_dir):
@@ -360,6 +372,6 @@ QUERIES = {
         s2_leaf, s2_hierarchy, s2_density, s2_token_roundtrip, s2_neighbours, s2_center, s2_covering, s2_cover, s2_points_in_cover, merge_ranges,
         curve_checksum, hk1_position, hk1_range_filter, hk1_prefix_filter, hk1_first_failing, hk2_margins, hk2_recall,
         s2_at_level, s2_from_face_ij, s2_range_filter, s2_nested, sql_functions,
-        curve_walk_source, hk1_pruned_topk, hk2_forest_topk, hk2_forest_recall,
+        curve_walk_source, s2_points_in_regions, hk1_pruned_topk, hk2_forest_topk, hk2_forest_recall,
     )
 }

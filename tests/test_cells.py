@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,116 @@ def test_covers_match_published_ranges(spark):
     assert [(r.lo % (1 << 64), r.hi % (1 << 64)) for r in got] == DISC
 
 
+def turning(ring, p):
+    """How often a ring turns around a point, by angles on its tangent plane."""
+    total = 0.0
+    for a, b in zip(ring, np.roll(ring, -1, axis=0)):
+        s, t = (x - p * (x @ p) for x in (a, b))
+        total += np.arctan2(p @ np.cross(s, t), s @ t)
+    return round(total / (2 * np.pi))
+
+
+def rings(rng, n):
+    """Star-shaped rings around random places, also over poles and face edges."""
+    for _ in range(n):
+        lat, lng, size = rng.uniform(-90, 90), rng.uniform(-180, 180), 10 ** rng.uniform(-2, 1.4)
+        centre = cells.unit_vectors(np.array(lat), np.array(lng))
+        east = np.cross([0, 0, 1], centre)
+        east /= np.linalg.norm(east)
+        north = np.cross(centre, east)
+        turn = np.linspace(0, 6, 9)
+        far = np.radians(size) * rng.uniform(0.3, 1, 9)
+        v = centre + np.tan(far)[:, None] * (np.cos(turn)[:, None] * east + np.sin(turn)[:, None] * north)
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        yield [(float(np.degrees(np.arcsin(z))), float(np.degrees(np.arctan2(y, x)))) for x, y, z in v]
+
+
+def around(rng, places, n):
+    p = cells.unit_vectors(*np.array(places).mean(axis=0)[:, None])[0] + rng.normal(size=(n, 3)) * 10 ** rng.uniform(-3, 0, (n, 1))
+    return p / np.linalg.norm(p, axis=1)[:, None]
+
+
+def test_ring_holds_what_it_turns_around():
+    rng = np.random.default_rng(8)
+    for ring in rings(rng, 60):
+        some, v = covers.Polygons([ring]), cells.unit_vectors(*np.array(ring).T)
+        p = np.concatenate([around(rng, ring, 60), -around(rng, ring, 20)])
+        near = p @ v.mean(axis=0) > 0  # seen from the other side, a ring turns around the opposite points too
+        want = [bool(turning(v, x)) and bool(c) for x, c in zip(p, near)]
+        assert some.holds(np.zeros(len(p), int), p).tolist() == want
+
+
+@pytest.mark.parametrize("max_cells", [1, 6, 40])
+def test_covers_hold_their_regions(max_cells):
+    """Points of discs, wide lines and rings lie in the cover; cells marked as inside hold only such points; many equal one by one."""
+    rng = np.random.default_rng(max_cells)
+    places = list(rings(rng, 12))
+    radii = [float(10 ** rng.uniform(3, 6)) for _ in places]
+    for kind, some, single in (
+        ("cap", covers.Caps(places, radii), [covers.Cap(*p[0], r) for p, r in zip(places, radii)]),
+        ("line", covers.Chains([p[:3] for p in places], radii), [covers.Chain(p[:3], r) for p, r in zip(places, radii)]),
+        ("thin", covers.Chains([p[:3] for p in places]), [covers.Chain(p[:3]) for p in places]),
+        ("ring", covers.Polygons(places), [covers.Polygon(p) for p in places]),
+    ):
+        which, ids, inside = covers.cover_many(some, len(places), max_level=14, max_cells=max_cells)
+        for k, (place, one) in enumerate(zip(places, single)):
+            own = which == k
+            assert covers.cover(one, max_level=14, max_cells=max_cells) == ids[own].tolist()
+            if kind == "thin":
+                v = cells.unit_vectors(*np.array(place[:3]).T)
+                t = rng.uniform(size=(200, 1))
+                p = np.concatenate([v[:1] * (1 - t) + v[1:2] * t, v[1:2] * (1 - t) + v[2:] * t])
+                p, held = p / np.linalg.norm(p, axis=1)[:, None], np.ones(400, bool)
+            else:
+                p = around(rng, place, 300)
+                held = some.holds(np.full(len(p), k), p)
+            leaf = cells.leaf_of(p)
+            spans = covers.merge_cells(ids[own].tolist())
+            found = np.array([any(a <= x <= b for a, b in spans) for x in leaf.tolist()])
+            assert not (held & ~found).any()
+            sure = covers.merge_cells(ids[own & inside].tolist())
+            assert all(h for x, h in zip(leaf.tolist(), held) if any(a <= x <= b for a, b in sure))
+
+
+def test_point_of_one_vertex():
+    assert covers.cover(covers.Chain([(10.0, 20.0)]), max_level=30) == [int(cells.leaves(np.array([10.0]), np.array([20.0]))[0])]
+
+
+class Stripe:
+    """Cells on one face whose level-2 ancestors are every other one."""
+
+    def __init__(self, face):
+        self.face = face
+
+    def may_intersect(self, ids):
+        wanted = (ids >> np.uint64(61)) == self.face
+        deep = cells.levels(ids) >= 2
+        return wanted & (~deep | ((cells.raised(ids, 2) >> np.uint64(57)) % 2 == 0))
+
+    def contains(self, ids):
+        return cells.levels(ids) >= 2
+
+
+def test_a_users_regions_cover_a_table(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 4), ("c", None)], "region_id string, side int")
+    found = covers.cover_regions(rows, max_level=5, max_cells=64, make=lambda r: None if r["side"] is None else Stripe(r["side"])).collect()
+    for name, face in (("a", 1), ("b", 4)):
+        own = sorted(r.cell % (1 << 64) for r in found if r.region_id == name)
+        assert own == covers.cover(Stripe(face), max_level=5, max_cells=64) and len(own) == 8
+    assert {r.region_id for r in found} == {"a", "b"} and all(r.inside for r in found)
+
+
+def test_points_in_regions_of_awkward_tables(spark):
+    """Null regions, radii and points, a repeated point, a region over the pole, one of a single point."""
+    kinds = "region_id string, kind string, points array<struct<lat:double,lng:double>>, radius_m double"
+    regions = spark.createDataFrame([("pole", "cap", [(90.0, 0.0)], 500_000.0), ("all", "cap", [(0.0, 0.0)], 1e9), ("none", None, None, None), ("dot", "polyline", [(1.0, 1.0)], None), ("line", "polyline", [(0.0, -5.0), (0.0, 5.0)], 1000.0), ("ring", "polygon", [(80.0, 0.0), (80.0, 120.0), (80.0, -120.0)], None)], kinds)
+    points = spark.createDataFrame([(1, 89.0, 5.0), (1, 89.0, 5.0), (2, 1.0, 1.0), (3, 0.0, 4.99), (4, None, 3.0), (5, float("nan"), 3.0), (6, -89.0, 0.0)], "id int, lat double, lng double")
+    got = sorted(map(tuple, covers.points_in_regions(points, regions).collect()))
+    assert got == sorted([(1, "pole"), (1, "all"), (1, "ring")] * 2 + [(2, "all"), (2, "dot"), (3, "all"), (3, "line"), (6, "all")])
+    empty = regions.where("false")
+    assert covers.points_in_regions(points, empty).collect() == []
+
+
 def test_points_in_cells_equals_containment(spark):
     regions = spark.createDataFrame([("disc", "cap", [(37.4, -122.1)], 800_000.0), ("none", None, None, None)], "region_id string, kind string, points array<struct<lat:double,lng:double>>, radius_m double")
     cover = covers.cover_regions(regions, max_level=10, max_cells=12)
