@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions import cells, lsh, markers
-from orbweave.functions.unsigned import sortable
 from orbweave.functions.vectors import matrix
+from orbweave.operators.ranges import merge_ranges  # noqa: F401
 
 #: Rows of a block of the exact search, and queries scored at a time; products closer than SLACK are told apart in order of input.
 DATA_BLOCK, QUERY_BLOCK, SCORED, SLACK = 16384, 4096, 256, 1e-9
@@ -183,15 +183,3 @@ def points_in_cells(points: DataFrame, cover: DataFrame, *, cover_levels: list[i
     up = F.array(*[F.when(cells.level("cell") >= x, cells.parent("cell", x)) for x in sorted(cover_levels)])
     lifted = points.select("id", F.explode(F.filter(up, lambda c: c.isNotNull())).alias("ancestor"))
     return lifted.join(found, "ancestor").select("id", "region_id").distinct()
-
-
-def merge_ranges(ranges: DataFrame, group: str, *, unsigned: bool = True) -> DataFrame:
-    """Merge overlapping and adjacent inclusive ranges ``(group, lo, hi)``; a group should be one cover, not a whole table."""
-    flip = sortable if unsigned else F.col
-    rows = ranges.select(group, flip("lo").alias("a"), flip("hi").alias("b"))
-    order = Window.partitionBy(group).orderBy("a", "b")
-    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.when(before.isNull() | (F.col("a") > before) & (F.col("a") - F.lit(1).cast("long") > before), 1).otherwise(0)
-    islands = rows.withColumn("starts", starts).withColumn("island", F.sum("starts").over(order))
-    merged = islands.groupBy(group, "island").agg(F.min("a").alias("lo"), F.max("b").alias("hi"))
-    return merged.select(group, *(flip(c).alias(c) for c in ("lo", "hi")))

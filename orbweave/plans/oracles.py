@@ -339,3 +339,16 @@ def _cap_cells() -> str:
 _CAP_CELLS = f"SELECT k, level, inside, {_raised('2 * (30 - level)')} AS id FROM (SELECT *, {_leaf_id('face', '(i::BIGINT << (30 - level)::INT)', '(j::BIGINT << (30 - level)::INT)')} AS id FROM ({_cap_cells()}))"
 ORACLES["s2_cover"] = f"SELECT k AS region_id, {_TOKEN('id')} AS token, level::INT AS level, inside FROM ({_CAP_CELLS})"
 ORACLES["s2_points_in_cover"] = f"SELECT l.c_custkey AS id, c.k AS region_id FROM ({LEAVES}) l JOIN ({_CAP_CELLS}) c ON {_raised('2 * (30 - c.level)', 'l.id')} = c.id"
+ORACLES["merge_ranges_one_group"] = """
+  SELECT 'all' AS name, min(a) AS lo, max(b) AS hi FROM (
+    SELECT *, sum(starts) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM (
+      SELECT *, CASE WHEN a > 1 + max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS starts
+      FROM (SELECT o_orderkey * 7919 % 1000003 AS a, o_orderkey * 7919 % 1000003 + o_custkey % 60 AS b FROM orders)))
+  GROUP BY island"""
+ORACLES["range_join"] = f"""
+  SELECT range_id, o_orderkey AS id FROM {_H} JOIN (
+    SELECT s_suppkey AS range_id, s_suppkey * 40503 * 65537 % 4294967296 AS lo, s_suppkey * 40503 * 65537 % 4294967296 + s_suppkey * 7919 % 50 * 1000003 AS hi FROM supplier) ON h BETWEEN lo AND hi"""
+ORACLES["range_join_wide"] = f"""
+  SELECT range_id, c_custkey AS id FROM ({ORACLES["curvend_wide"]}) JOIN (
+    SELECT s_suppkey AS range_id, printf('%08x', s_suppkey * 2654435761 % 4294967296) || '80000000000000000000001f' AS lo,
+      printf('%08x', least(s_suppkey * 2654435761 % 4294967296 + s_suppkey * 10007 % 90 * 1000003, 4294967295)) || '7fffffffffffffff12345678' AS hi FROM supplier) ON h BETWEEN lo AND hi"""

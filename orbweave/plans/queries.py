@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import cells, curve, lsh, markers, sql
 from orbweave.functions.unsigned import hex16
-from orbweave.operators import checks, covers, forest, layout, nearest, retrieval
+from orbweave.operators import checks, covers, forest, layout, nearest, ranges, retrieval
 
 LINE = ("l_orderkey", "l_linenumber")
 ORDER = 16
@@ -259,7 +259,33 @@ def s2_points_in_regions(spark, sf_dir):
 def merge_ranges(spark, sf_dir):
     line = _table(spark, sf_dir, "lineitem")
     spans = line.select("l_suppkey", F.col("l_partkey").alias("lo"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("hi"))
-    return retrieval.merge_ranges(spans, "l_suppkey", unsigned=False)
+    return ranges.merge_ranges(spans, "l_suppkey", unsigned=False)
+
+
+def merge_ranges_one_group(spark, sf_dir):
+    """All order keys' spans as one group, which is dealt over all parts."""
+    orders = _table(spark, sf_dir, "orders")
+    spans = orders.select(F.lit("all").alias("name"), (F.col("o_orderkey") * 7919 % 1000003).alias("lo"), (F.col("o_orderkey") * 7919 % 1000003 + F.col("o_custkey") % 60).alias("hi"))
+    return ranges.merge_ranges(spans, "name", unsigned=False)
+
+
+def range_join(spark, sf_dir):
+    """Curve indexes of orders in ranges of suppliers."""
+    low = F.col("s_suppkey") * 40503 * 65537 % (1 << 32)
+    spans = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("range_id"), low.alias("lo"), (low + F.col("s_suppkey") * 7919 % 50 * 1000003).alias("hi"))
+    keys = _orders_index(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.col("h").alias("key"))
+    return ranges.range_join(spans, keys)
+
+
+def range_join_wide(spark, sf_dir):
+    """128-bit indexes of customers in ranges of suppliers."""
+    axes = F.array(*[(F.col("c_custkey") * (2 * i + 1) + 37 * i) % 256 for i in range(16)])
+    keys = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), curve.encode(axes, 16, 8).alias("key"))
+    k = F.col("s_suppkey")
+    end = lambda x, tail: F.concat(F.lower(F.lpad(F.hex(x), 8, "0")), F.lit(tail))
+    low = k * 2654435761 % (1 << 32)
+    spans = _table(spark, sf_dir, "supplier").select(k.alias("range_id"), end(low, "80000000000000000000001f").alias("lo"), end(F.least(low + k * 10007 % 90 * 1000003, F.lit((1 << 32) - 1)), "7fffffffffffffff12345678").alias("hi"))
+    return ranges.range_join(spans, keys)
 
 
 def curve_checksum(spark, sf_dir):
@@ -372,6 +398,6 @@ QUERIES = {
         s2_leaf, s2_hierarchy, s2_density, s2_token_roundtrip, s2_neighbours, s2_center, s2_covering, s2_cover, s2_points_in_cover, merge_ranges,
         curve_checksum, hk1_position, hk1_range_filter, hk1_prefix_filter, hk1_first_failing, hk2_margins, hk2_recall,
         s2_at_level, s2_from_face_ij, s2_range_filter, s2_nested, sql_functions,
-        curve_walk_source, s2_points_in_regions, hk1_pruned_topk, hk2_forest_topk, hk2_forest_recall,
+        curve_walk_source, s2_points_in_regions, merge_ranges_one_group, range_join, range_join_wide, hk1_pruned_topk, hk2_forest_topk, hk2_forest_recall,
     )
 }
