@@ -352,3 +352,14 @@ ORACLES["range_join_wide"] = f"""
   SELECT range_id, c_custkey AS id FROM ({ORACLES["curvend_wide"]}) JOIN (
     SELECT s_suppkey AS range_id, printf('%08x', s_suppkey * 2654435761 % 4294967296) || '80000000000000000000001f' AS lo,
       printf('%08x', least(s_suppkey * 2654435761 % 4294967296 + s_suppkey * 10007 % 90 * 1000003, 4294967295)) || '7fffffffffffffff12345678' AS hi FROM supplier) ON h BETWEEN lo AND hi"""
+_WRONG = "CASE vec_id % 23 WHEN 3 THEN 'ZeroVector' WHEN 5 THEN '63 numbers where 64 are due' WHEN 7 THEN 'no array of numbers found' {long}END"
+ORACLES |= {
+    "embedding_lines": f"SELECT vec_id, {_WRONG.format(long="WHEN 11 THEN 'line over the limit of 8000 bytes: 9000' ")} AS error, (CASE vec_id % 23 WHEN 5 THEN 63 WHEN 7 THEN NULL ELSE 64 END)::INT AS width FROM embeddings",
+    "numbered_lines": "SELECT count(*) AS n, 0::BIGINT AS wrong FROM orders",
+    "point_lines": f"SELECT CASE WHEN c_custkey % 9 = 0 THEN 'not two numbers' ELSE {_TOKEN(_parent(12))} END AS token, count(*) AS n FROM ({LEAVES}) GROUP BY 1",
+    "marker_text": MARKERS,
+    "marker_json": MARKERS,
+    "hash_json": f"SELECT vec_id, 'hk2:16:8:9e3779b97f4a7c15:' || keys AS marker, keys FROM (SELECT vec_id, string_agg(printf('%02x', key), '.' ORDER BY t) AS keys FROM ({HK2}) GROUP BY vec_id)",
+    "range_text": f"SELECT DISTINCT (p - {(1 << 52) - 1}::UBIGINT)::VARCHAR AS lo, (p + {(1 << 52) - 1}::UBIGINT)::VARCHAR AS hi FROM (SELECT {_parent(4)} AS p FROM ({LEAVES}))",
+    "marker_stream": f"SELECT vec_id, CASE WHEN e IS NULL THEN marker END AS marker, e AS error FROM (SELECT vec_id, marker, {_WRONG.format(long='')} AS e FROM ({MARKERS}))",
+}

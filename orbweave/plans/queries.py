@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from orbweave.functions import cells, curve, lsh, markers, sql
 from orbweave.functions.unsigned import hex16
 from orbweave.operators import checks, covers, forest, layout, nearest, ranges, retrieval
+from orbweave.sources import lines
+from orbweave.streaming.markers import keep_stream, kept, stream_markers
+from orbweave.workspace import Workspace
 
 LINE = ("l_orderkey", "l_linenumber")
 ORDER = 16
@@ -389,6 +392,81 @@ def hk2_forest_recall(spark, sf_dir):
     return found.select("hits", "wanted", F.round("recall", 6).alias("recall"))
 
 
+def _put(frame, name):
+    """Lines ``value`` as text files, and their folder."""
+    path = f"{Workspace(frame.sparkSession, name).path}/lines"
+    frame.write.text(path)
+    return path
+
+
+def _spoilt(spark, sf_dir):
+    """Embeddings as JSON lines; of every 23 one is all zeros, one too short, one no number, one too long."""
+    k, e = F.col("vec_id") % 23, F.col("embedding")
+    e = F.when(k == 3, F.transform(e, lambda x: x * 0)).when(k == 5, F.slice(e, 1, 63)).otherwise(e)
+    rows = _embeddings(spark, sf_dir).select(F.to_json(F.named_struct(F.lit("id"), F.col("vec_id"), F.lit("embedding"), e)).alias("value"), k.alias("k"))
+    value = F.when(F.col("k") == 7, F.regexp_replace("value", r"\[", '["x",')).when(F.col("k") == 11, F.rpad("value", 9000, " ")).otherwise(F.col("value"))
+    return _put(rows.select(value.alias("value")), "embedding-lines")
+
+
+def embedding_lines(spark, sf_dir):
+    """Written JSON lines read again: what is wrong with each, and whether its error names its own file and line."""
+    rows = lines.read_embeddings(spark, _spoilt(spark, sf_dir), width=64, max_line=8000, numbered=True)
+    own = F.concat(F.col("file"), F.lit(", line "), F.col("line").cast("string"), F.lit(": "))
+    error = F.when(F.startswith("error", own), F.substr("error", F.length(own) + 1))
+    return rows.select(F.col("id").cast("long").alias("vec_id"), error.alias("error"), F.size("embedding").alias("width"))
+
+
+def numbered_lines(spark, sf_dir):
+    """Every file's lines are numbered from 1 without a gap: the number of lines, and of those whose number is wrong."""
+    path = _put(_table(spark, sf_dir, "orders").repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey").select(F.col("o_orderkey").cast("string").alias("value")), "numbered")
+    rows = lines.numbered_lines(spark, path).select("line", F.col("value").cast("long").alias("key"), "file")
+    least = rows.groupBy("file").agg(F.min("key").alias("least"), F.max("line").alias("last"), F.count("*").alias("n"), F.count_distinct("line").alias("lines"), F.min("line").alias("first"))
+    return least.agg(F.sum("n").alias("n"), F.sum(F.when((F.col("first") == 1) & (F.col("last") == F.col("n")) & (F.col("lines") == F.col("n")), 0).otherwise(1)).alias("wrong"))
+
+
+def point_lines(spark, sf_dir):
+    """Points of customers as ``LAT LNG`` lines, every ninth with a third number, read again as cells."""
+    p = _leaves(spark, sf_dir).select(F.concat_ws(" ", F.col("lat").cast("string"), F.col("lng").cast("string"), F.when(F.col("c_custkey") % 9 == 0, F.col("c_custkey").cast("string"))).alias("value"))
+    rows = lines.read_points(spark, _put(p, "point-lines"), numbered=True)
+    good = rows.where("error is null").select(cells.token(cells.parent(cells.from_lat_lng("lat", "lng"), 12)).alias("token"))
+    return good.unionByName(rows.where("error is not null").select(F.substring_index("error", ": ", -1).alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def marker_text(spark, sf_dir):
+    """``ID<TAB>MARKER`` lines, read again."""
+    rows = _embeddings(spark, sf_dir).select(F.col("vec_id").cast("string").alias("id"), F.lit("BIGINT").alias("kind"), markers.marker("embedding", SPACE).alias("marker"))
+    part = F.split("value", "\t")
+    return spark.read.text(_put(lines.marker_lines(rows), "marker-text")).select(part[0].cast("long").alias("vec_id"), part[1].alias("marker"))
+
+
+def marker_json(spark, sf_dir):
+    """JSON lines with ``id`` and ``marker``, read again."""
+    rows = _embeddings(spark, sf_dir).select(F.col("vec_id").cast("string").alias("id_json"), markers.marker("embedding", SPACE).alias("marker"))
+    return spark.read.schema("id long, marker string").json(_put(lines.json_lines(rows, "marker"), "marker-json")).select(F.col("id").alias("vec_id"), "marker")
+
+
+def hash_json(spark, sf_dir):
+    """JSON lines with hash keys, read again."""
+    rows = _embeddings(spark, sf_dir).select(F.col("vec_id").cast("string").alias("id_json"), "embedding")
+    read = spark.read.schema("id long, marker string, keys array<string>").json(_put(lines.hash_lines(rows, space=TABLES), "hash-json"))
+    return read.select(F.col("id").alias("vec_id"), "marker", F.array_join("keys", ".").alias("keys"))
+
+
+def range_text(spark, sf_dir):
+    """``LO HI`` lines of the cells of level 4 that hold customers, read again."""
+    r = _leaves(spark, sf_dir).select(cells.id_range(cells.parent("cell", 4)).alias("r")).distinct().select("r.lo", "r.hi")
+    part = F.split("value", " ")
+    return spark.read.text(_put(lines.range_lines(r), "range-text")).select(part[0].alias("lo"), part[1].alias("hi"))
+
+
+def marker_stream(spark, sf_dir):
+    """The spoilt lines as a stream that keeps good rows, sets bad ones aside and marks its batches."""
+    ws = Workspace(spark, "marker-stream")
+    keep_stream(stream_markers(spark, _spoilt(spark, sf_dir), space=SPACE, width=64), f"{ws.path}/out", f"{ws.path}/state", availableNow=True).awaitTermination()
+    good = kept(spark, f"{ws.path}/out").select(F.col("id").cast("long").alias("vec_id"), "marker", F.lit(None).cast("string").alias("error"))
+    return good.unionByName(kept(spark, f"{ws.path}/out", "bad").select(F.col("id").cast("long").alias("vec_id"), "marker", "error"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -399,5 +477,6 @@ QUERIES = {
         curve_checksum, hk1_position, hk1_range_filter, hk1_prefix_filter, hk1_first_failing, hk2_margins, hk2_recall,
         s2_at_level, s2_from_face_ij, s2_range_filter, s2_nested, sql_functions,
         curve_walk_source, s2_points_in_regions, merge_ranges_one_group, range_join, range_join_wide, hk1_pruned_topk, hk2_forest_topk, hk2_forest_recall,
+        embedding_lines, numbered_lines, point_lines, marker_text, marker_json, hash_json, range_text, marker_stream,
     )
 }

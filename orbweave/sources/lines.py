@@ -4,11 +4,16 @@ Readers are batch or streaming (``stream=True``).  A line is a JSON array of
 numbers, or an object with ``embedding`` and optionally ``id``; other fields and
 blank lines are ignored.  ``error`` names what is wrong with a line, and
 ``strict`` raises it instead.
+
+``numbered`` readers add ``file`` and ``line``, and errors name both.  Spark cuts
+files into splits that don't know how many lines precede them, so lines are
+counted per split first, and each split's count is moved up by those before it
+in its file: two passes, and no file is gathered anywhere.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave import errors
@@ -18,15 +23,39 @@ from orbweave.functions.unsigned import hex16
 MAX_LINE = 4 << 20
 
 
-def read_embeddings(spark: SparkSession, path: str, *, width: int | None = None, max_line: int = MAX_LINE, stream: bool = False, strict: bool = False) -> DataFrame:
-    """``(id, id_json, embedding, error)``: ``id`` as plain text, ``id_json`` as it stood in the line."""
-    lines = (spark.readStream if stream else spark.read).text(path)
-    return parse_embeddings(lines, width=width, max_line=max_line, strict=strict)
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line, value)`` of text files; lines count from 1 in each file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "block", (before - F.col("first") + 1).alias("shift"))  # a row per split of the input
+    return lines.join(splits, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+
+
+def _lines(spark: SparkSession, path: str, stream: bool, numbered: bool) -> DataFrame:
+    if numbered and stream:
+        raise ValueError("lines of a stream have no numbers")
+    return numbered_lines(spark, path) if numbered else (spark.readStream if stream else spark.read).text(path)
+
+
+def _place(lines: DataFrame) -> list[str]:
+    return ["file", "line"] if "line" in lines.columns else []
+
+
+def _named(lines: DataFrame, error: Column) -> Column:
+    """The error with file and line, where they are known."""
+    return F.concat(F.col("file"), F.lit(", line "), F.col("line").cast("string"), F.lit(": "), error) if _place(lines) else error
+
+
+def read_embeddings(spark: SparkSession, path: str, *, width: int | None = None, max_line: int = MAX_LINE, stream: bool = False, strict: bool = False, numbered: bool = False) -> DataFrame:
+    """``(id, id_json, kind, embedding, error)``: ``id`` as plain text, ``id_json`` as it stood in the line."""
+    return parse_embeddings(_lines(spark, path, stream, numbered), width=width, max_line=max_line, strict=strict)
 
 
 def parse_embeddings(lines: DataFrame, *, width: int | None = None, max_line: int = MAX_LINE, strict: bool = False) -> DataFrame:
+    at = _place(lines)
     text = F.trim(F.regexp_replace("value", r"^[ \t\r]+|[ \t\r]+$", ""))
-    rows = lines.select(text.alias("text"), F.octet_length("value").alias("bytes")).where("text <> ''")
+    rows = lines.select(*at, text.alias("text"), F.octet_length("value").alias("bytes")).where("text <> ''")
     whole = F.col("text").startswith("[")
     numbers = F.when(whole, F.col("text")).otherwise(F.get_json_object("text", "$.embedding"))
     plain = numbers.rlike(r"\A\s*\[[-+0-9.eE,\s]*\]\s*\z")
@@ -34,7 +63,7 @@ def parse_embeddings(lines: DataFrame, *, width: int | None = None, max_line: in
     own = F.try_parse_json("text")
     kind = F.when(~whole, F.schema_of_variant(F.try_variant_get(own, "$.id", "variant")))
     id_json = F.when(~whole, F.to_json(F.try_variant_get(own, "$.id", "variant")))
-    rows = rows.select(F.when(~whole, F.get_json_object("text", "$.id")).alias("id"), id_json.alias("id_json"), kind.alias("kind"), embedding.alias("embedding"), "bytes")
+    rows = rows.select(*at, F.when(~whole, F.get_json_object("text", "$.id")).alias("id"), id_json.alias("id_json"), kind.alias("kind"), embedding.alias("embedding"), "bytes")
     bad = (
         F.when(F.col("bytes") > max_line, F.concat(F.lit(f"line over the limit of {max_line} bytes: "), F.col("bytes").cast("string")))
         .when(F.col("embedding").isNull(), F.lit("no array of numbers found"))
@@ -43,7 +72,7 @@ def parse_embeddings(lines: DataFrame, *, width: int | None = None, max_line: in
         .when(F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(errors.NonFiniteValue.__name__))
         .when(F.forall("embedding", lambda v: v == 0), F.lit(errors.ZeroVector.__name__))
     )
-    rows = rows.select("id", "id_json", "kind", "embedding", bad.alias("error"))
+    rows = rows.select(*at, "id", "id_json", "kind", "embedding", _named(lines, bad).alias("error"))
     if strict:
         rows = rows.where(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("boolean")).otherwise(F.lit(True)))
     return rows
@@ -67,13 +96,20 @@ def json_lines(df: DataFrame, *fields: str) -> DataFrame:
     return df.select(F.to_json(F.struct(own, *fields)).alias("value"))
 
 
-def read_points(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
-    """``(lat, lng, error)`` of ``LAT LNG`` lines; exactly two numbers a line, 512 bytes at most."""
-    lines = (spark.readStream if stream else spark.read).text(path)
-    part = F.split(F.trim(F.regexp_replace("value", r"[ \t\r]+", " ")), " ")
+def _point() -> tuple[Column, Column, Column, Column]:
+    """Of a ``value``: latitude, longitude, whether it is blank, and what is wrong with it."""
+    plain = F.trim(F.regexp_replace("value", r"[ \t\r]+", " "))
+    part = F.split(plain, " ")
     lat, lng = (F.try_element_at(part, F.lit(i)).try_cast("double") for i in (1, 2))
     bad = F.when(F.octet_length("value") > 512, F.lit("over 512 bytes")).when((F.size(part) != 2) | lat.isNull() | lng.isNull(), F.lit("not two numbers"))
-    return lines.where(F.trim(F.regexp_replace("value", r"[ \t\r]+", " ")) != "").select(lat.alias("lat"), lng.alias("lng"), bad.alias("error"))
+    return lat, lng, plain == "", bad
+
+
+def read_points(spark: SparkSession, path: str, *, stream: bool = False, numbered: bool = False) -> DataFrame:
+    """``(lat, lng, error)`` of ``LAT LNG`` lines; exactly two numbers a line, 512 bytes at most."""
+    lines = _lines(spark, path, stream, numbered)
+    lat, lng, blank, bad = _point()
+    return lines.where(~blank).select(*_place(lines), lat.alias("lat"), lng.alias("lng"), _named(lines, bad).alias("error"))
 
 
 def read_regions(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -81,17 +117,15 @@ def read_regions(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
     A file without a point or with a wrong line stops the job with the file and the line's number.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("region_id"), F.split("value", "\r?\n").alias("rows"))
-    rows = files.select("region_id", F.posexplode("rows").alias("at", "value"))
-    part = F.split(F.trim(F.regexp_replace("value", r"[ \t\r]+", " ")), " ")
-    lat, lng = (F.try_element_at(part, F.lit(i)).try_cast("double") for i in (1, 2))
-    blank = F.trim(F.regexp_replace("value", r"[ \t\r]+", " ")) == ""
-    wrong = ~blank & ((F.octet_length("value") > 512) | (F.size(part) != 2) | lat.isNull() | lng.isNull())
-    point = F.struct(F.col("at"), lat.alias("lat"), lng.alias("lng"))
-    found = rows.groupBy("region_id").agg(F.array_sort(F.collect_list(F.when(~blank, point))).alias("points"), F.min(F.when(wrong, F.col("at") + 1)).alias("bad"))
+    lat, lng, blank, bad = _point()
+    rows = numbered_lines(spark, path).select("file", "line", blank.alias("blank"), bad.alias("bad"), lat.alias("lat"), lng.alias("lng"))
+    point = F.when(~F.col("blank"), F.struct("line", "lat", "lng"))
+    wrong = F.when(~F.col("blank") & F.col("bad").isNotNull(), F.struct("line", "bad"))
+    found = rows.groupBy(F.col("file").alias("region_id")).agg(F.array_sort(F.collect_list(point)).alias("points"), F.min(wrong).alias("wrong"))
     stop = lambda *words: F.raise_error(F.concat(F.col("region_id"), *words))
     points = F.transform("points", lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng")))
-    good = F.when(F.col("bad").isNotNull(), stop(F.lit(", line "), F.col("bad").cast("string"), F.lit(": not two numbers"))).when(F.size("points") == 0, stop(F.lit(" holds no point"))).otherwise(points)
+    line = F.col("wrong")["line"].cast("string")
+    good = F.when(line.isNotNull(), stop(F.lit(", line "), line, F.lit(": "), F.col("wrong")["bad"])).when(F.size("points") == 0, stop(F.lit(" holds no point"))).otherwise(points)
     return found.select("region_id", F.lit(kind).alias("kind"), good.alias("points"), F.lit(None).cast("double").alias("radius_m"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from orbweave.functions import markers
 from orbweave.operators import layout
 from orbweave.sources import lines
-from orbweave.streaming.markers import stream_markers
+from orbweave.streaming.markers import keep_stream, kept, stream_markers
 
 SEED = "9e3779b97f4a7c15"
 
@@ -17,10 +17,35 @@ def written(tmp_path, text):
 
 
 def test_embedding_lines(spark, tmp_path):
-    path = written(tmp_path, '{"id":"note-1","embedding":[1,2,3],"extra":true}\r\n\n  {"id":42,"embedding":[3, 2, 1]}  \n[1,2,3]\n')
-    rows = lines.read_embeddings(spark, path, width=3, strict=True).withColumn("marker", markers.marker("embedding")).coalesce(1)
-    assert [r.value for r in lines.marker_lines(rows).collect()] == [f"note-1\thk1:8:8:{SEED}:8f0ba155fbabafff", f"42\thk1:8:8:{SEED}:90fc5eaef82c2a04", f"hk1:8:8:{SEED}:8f0ba155fbabafff"]
-    assert [json.loads(r.value).get("id") for r in lines.json_lines(rows, "marker").collect()] == ["note-1", 42, None]
+    """Objects and arrays, blanks around and between them; markers as of the vectors themselves."""
+    vectors = [[0.25, -4.0, 1.5, 8.0], [-1.0, 2.5, 0.0, 3.0], [6.0, 6.0, -0.5, 1.0]]
+    path = written(tmp_path, f'\n\t{{"title":"peak","id":"row A","embedding":{vectors[0]}}}\r\n{{"embedding":{vectors[1]},"id":-7}} \t\n\n{vectors[2]}')
+    rows = lines.read_embeddings(spark, path, width=4, strict=True).withColumn("marker", markers.marker("embedding")).coalesce(1)
+    direct = spark.createDataFrame(list(enumerate(vectors)), "k int, e array<float>").select("k", markers.marker("e").alias("m"))
+    m = [r.m for r in direct.orderBy("k").collect()]
+    assert len(set(m)) == 3 and all(x.startswith(f"hk1:8:8:{SEED}:") for x in m)
+    assert [r.value for r in lines.marker_lines(rows).collect()] == [f"row A\t{m[0]}", f"-7\t{m[1]}", m[2]]
+    assert [json.loads(r.value) for r in lines.json_lines(rows, "marker").collect()] == [{"id": "row A", "marker": m[0]}, {"id": -7, "marker": m[1]}, {"marker": m[2]}]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """Files cut into many splits: numbers and errors are those of the file."""
+    for name, n in (("a", 3000), ("b", 1), ("c", 700), ("d", 0)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{i + 1}{' ' * (i % 40)}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = lines.numbered_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 3 or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = [(r.file[-5:-4], r.line, int(r.value)) for r in rows.collect()]
+        assert len(got) == 3701 and all(line == value for _, line, value in got) and {f for f, _, _ in got} == set("abc")
+        (tmp_path / "b.txt").write_text("[1,2]\n" * 900 + "[3]\n" + "[1,2]\n" * 900)
+        bad = lines.read_embeddings(spark, str(tmp_path / "b.txt"), width=2, numbered=True).where("error is not null").collect()
+        assert [(r.line, r.error.rpartition("b.txt")[2]) for r in bad] == [(901, ", line 901: 1 numbers where 2 are due")]
+        with pytest.raises(Exception, match="b.txt, line 901: 1 numbers"):
+            lines.read_embeddings(spark, str(tmp_path / "b.txt"), width=2, numbered=True, strict=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_bad_lines(spark, tmp_path):
@@ -91,3 +116,40 @@ def test_clustered_files_prune_by_key(spark, tmp_path):
     layout.cluster_by(rows, "key", partitions=4).write.parquet(str(tmp_path / "t"))
     edges = spark.read.parquet(str(tmp_path / "t")).groupBy(F.input_file_name().alias("f")).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("lo").collect()
     assert all(a.hi <= b.lo for a, b in zip(edges, edges[1:]))
+
+
+def test_a_stopped_stream_goes_on(spark, tmp_path, monkeypatch):
+    """The second batch dies after its good rows, before its mark: nothing of it shows, the first stays, and a new start equals the batch result."""
+    from pyspark.sql import DataFrameWriter
+
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    source.mkdir()
+    text = lambda k: "".join(f'{{"id":{10 * k + i},"embedding":[{i},{k},3]}}\n' for i in range(4)) + f"[{k}]\n"
+
+    def run():
+        query = keep_stream(stream_markers(spark, str(source), width=3), out, state, availableNow=True)
+        query.awaitTermination()
+
+    (source / "0.jsonl").write_text(text(0))
+    run()
+    first = sorted(map(tuple, kept(spark, out).collect()))
+    assert len(first) == 4 and kept(spark, out, "bad").count() == 1
+    (source / "1.jsonl").write_text(text(1))
+    write = DataFrameWriter.parquet
+
+    def dies(self, path, *args, **kw):
+        if "/marks/batch=1" in path:
+            raise RuntimeError("power cut")
+        return write(self, path, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", dies)
+    with pytest.raises(Exception, match="power cut"):
+        run()
+    monkeypatch.undo()
+    assert sorted(map(tuple, kept(spark, out).collect())) == first
+    run()
+    want = lines.read_embeddings(spark, str(source), width=3)
+    good = want.where("error is null").select("id", "id_json", "kind", markers.marker("embedding").alias("marker"))
+    assert sorted(map(tuple, kept(spark, out).collect())) == sorted(map(tuple, good.collect()))
+    assert kept(spark, out, "bad").count() == want.where("error is not null").count() == 2
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/marks").select("batch", "good", "bad").collect()) == [(0, 4, 1), (1, 4, 1)]
