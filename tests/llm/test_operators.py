@@ -422,6 +422,18 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def test_long_lines_are_compared_by_edits():
+    """At any length: the same words in reverse are unlike, a few edits are like, and the threshold is exact."""
+    words = [f"word{i * 7919 % 3001}" for i in range(3000)]
+    line, back = " ".join(words), " ".join(words[::-1])
+    assert len(line) > 20_000 and not fuzzy_lines.alike(line, back, 0.8)
+    few = line[:9000] + "XYZ" + line[9400:]
+    assert fuzzy_lines.alike(line, few, 0.8)
+    n = len(line) // 5
+    for edits, want in ((n, True), (n + 1, False)):
+        assert fuzzy_lines.alike(line, "#" * edits + line[edits:], 0.8) is want
+
+
 def line_recall(spark, groups):
     """Of all pairs of lines with edit similarity of 0.8, the share found in one group; and wrong groups' lines."""
     lines = sorted({x for group in groups for x in group})
