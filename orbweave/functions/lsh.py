@@ -65,14 +65,32 @@ def keys_of(margins: np.ndarray) -> np.ndarray:
     return ((margins > 0) * weights).sum(axis=2, dtype=np.uint64)
 
 
+def _codes(e: np.ndarray, absent: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Error code of each row, as in ``markers.ERRORS``."""
+    code = np.where(~np.isfinite(e).all(axis=1), 2, np.where((e == 0).all(axis=1), 1, 0))
+    code[odd], code[absent] = 3, 0
+    return code
+
+
+def key_error(e, *, width: int | None = None) -> Column:
+    """Name of the error of an embedding that has no keys, null if it has some."""
+
+    @F.arrow_udf("string")
+    def error_name(x):
+        import pyarrow as pa
+
+        return pa.array([ERRORS[c].__name__ if c else None for c in _codes(*matrix(x, width)).tolist()], pa.string())
+
+    return error_name(as_col(e).cast("array<float>"))
+
+
 def _column(kind: str, space: Tables, finish, invalid: str, width: int | None):
     @F.arrow_udf(kind)
     def hash_embedding(array):
         import pyarrow as pa
 
         e, absent, odd = matrix(array, width)
-        code = np.where(~np.isfinite(e).all(axis=1), 2, np.where((e == 0).all(axis=1), 1, 0))
-        code[odd], code[absent] = 3, 0
+        code = _codes(e, absent, odd)
         if invalid == "raise" and code.any():
             raise ERRORS[int(code[code > 0][0])]()
         found = [margins_of(e[at : at + ROWS], space) for at in range(0, len(e), ROWS)] or [np.zeros((0, space.tables, space.bits))]

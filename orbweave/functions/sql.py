@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DecimalType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DecimalType, LongType, StringType, StructField, StructType
 
 from orbweave.errors import EngineError, IndexOutOfRange
 from orbweave.functions import cells, curve, lsh, markers
@@ -134,9 +134,48 @@ class CoverCells:
             yield (c,)
 
 
+@F.arrow_udtf(returnType=_row(id=LongType(), lo=StringType(), hi=StringType()))
+class ProbeRangesOf:
+    """``probe_ranges`` of the rows ``(id, embedding)`` of a table, a batch at a time."""
+
+    def eval(self, rows, level, n):
+        import pyarrow as pa
+
+        if not len(rows):
+            return
+        space, level, n = markers.Space(), level[0].as_py(), n[0].as_py()
+        e, absent, _ = matrix(rows.column(1), None)
+        where, code = markers.positions(e.astype(np.float32), space)
+        if n < 1 or code[~absent].any():
+            raise EngineError("no probes for an embedding")
+        level = min(level, space.bits)
+        found = markers._probe_rows(where, space, level, n, n.bit_length() - 1) if level else [[(0, (1 << space.key_bits) - 1)]] * len(e)
+        merged = [[] if a else markers.merge(r) for r, a in zip(found, absent.tolist())]
+        at = np.repeat(np.arange(len(e)), [len(r) for r in merged])
+        text = [[f"{x:0{space.digits}x}" for r in merged for x in (y[k] for y in r)] for k in (0, 1)]
+        ids = rows.column(0).cast(pa.int64()).take(pa.array(at, pa.int64()))
+        yield pa.Table.from_arrays([ids, *(pa.array(t, pa.string()) for t in text)], ["id", "lo", "hi"])
+
+
+@F.arrow_udtf(returnType=_row(region_id=LongType(), cell=LongType(), inside=BooleanType()))
+class CoverRegionsOf:
+    """Covers of the rows ``(region_id, kind, points, radius_m)`` of a table: discs, polylines and polygons, a batch refined together."""
+
+    def eval(self, rows, max_level, max_cells):
+        import pyarrow as pa
+
+        from orbweave.operators.covers import covered
+
+        if len(rows):
+            at, ids, inside = covered(rows.select(["kind", "points", "radius_m"]).to_pylist(), max_level=max_level[0].as_py(), max_cells=max_cells[0].as_py())
+            region = rows.column("region_id").cast(pa.int64()).take(pa.array(at, pa.int64()))
+            yield pa.Table.from_arrays([region, pa.array(ids.view(np.int64)), pa.array(inside)], ["region_id", "cell", "inside"])
+
+
 def register(spark: SparkSession) -> None:
     """Make the functions known to ``spark.sql``: hilbert_encode2, hilbert_decode2, hk1_marker, hk2_keys, cell_id, curve_walk, probe_ranges, cover_cells.
 
+    ``probe_ranges_of(TABLE(t), level, n)`` and ``cover_regions_of(TABLE(t), max_level, max_cells)`` take whole tables, in batches.
     ``curve_walk`` is a data source too, for long walks: ``CREATE TEMPORARY VIEW w USING curve_walk OPTIONS (dims 3, bits 10)``.
     """
     from orbweave.sources.walk import CurveWalkSource
@@ -144,5 +183,5 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(CurveWalkSource)
     for f in (hilbert_encode2, hilbert_decode2, hk1_marker, hk2_keys, cell_id):
         spark.udf.register(f.__name__, f)
-    for name, f in (("curve_walk", CurveWalk), ("probe_ranges", ProbeRanges), ("cover_cells", CoverCells)):
+    for name, f in (("curve_walk", CurveWalk), ("probe_ranges", ProbeRanges), ("cover_cells", CoverCells), ("probe_ranges_of", ProbeRangesOf), ("cover_regions_of", CoverRegionsOf)):
         spark.udtf.register(name, f)

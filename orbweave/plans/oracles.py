@@ -363,3 +363,15 @@ ORACLES |= {
     "range_text": f"SELECT DISTINCT (p - {(1 << 52) - 1}::UBIGINT)::VARCHAR AS lo, (p + {(1 << 52) - 1}::UBIGINT)::VARCHAR AS hi FROM (SELECT {_parent(4)} AS p FROM ({LEAVES}))",
     "marker_stream": f"SELECT vec_id, CASE WHEN e IS NULL THEN marker END AS marker, e AS error FROM (SELECT vec_id, marker, {_WRONG.format(long='')} AS e FROM ({MARKERS}))",
 }
+ORACLES |= {
+    "sql_names": f"SELECT vec_id, marker, keys FROM ({MARKERS}) JOIN (SELECT vec_id, string_agg(printf('%02x', key), '.' ORDER BY t) AS keys FROM ({HK2}) GROUP BY vec_id) USING (vec_id)",
+    "sql_cells": ORACLES["s2_at_level"],
+    "sql_probe_ranges": f"SELECT vec_id, lo, hi FROM ({ORACLES['hk1_probe_ranges']})",
+    "sql_cover_regions": f"SELECT region_id, token, inside FROM ({ORACLES['s2_cover']})",
+    "sql_cover_cells": f"SELECT DISTINCT c_custkey, {_TOKEN('id')} AS token FROM ({_beside('SELECT di * 3 + dj AS k, di, dj FROM range(-1, 2) a(di), range(-1, 2) b(dj)', _DISC)})",
+    "sql_walks": f"""SELECT s_suppkey, "at", p[1] AS x0, p[2] AS x1, p[3] AS x2 FROM ({decode_nd('(SELECT s_suppkey, s_suppkey * 7919 + k AS "at" FROM supplier, range(5) r(k))', 's_suppkey, "at"', '"at"', 3, 10)})""",
+    "hk1_written_filter": ORACLES["hk1_range_filter"],
+    "hk1_rescaled": f"SELECT vec_id, marker, true AS same FROM ({MARKERS})",
+    "hk2_first_failing": "SELECT min(vec_id) AS vec_id, 'DimensionMismatch' AS error FROM embeddings WHERE vec_id % 13 = 7",
+    "curve2d_points": f"SELECT o_orderkey, h FROM {_H}",
+}

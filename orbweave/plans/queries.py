@@ -359,6 +359,76 @@ def sql_functions(spark, sf_dir):
     return spark.sql("SELECT l_orderkey, l_linenumber, h, hilbert_decode2(h, 16).x = x AS same FROM (SELECT *, hilbert_encode2(x, y, 16) AS h FROM orbweave_xy)")
 
 
+def sql_names(spark, sf_dir):
+    """Markers, hash keys and cells by their names in SQL."""
+    sql.register(spark)
+    _embeddings(spark, sf_dir).createOrReplaceTempView("orbweave_embeddings")
+    return spark.sql("SELECT vec_id, hk1_marker(embedding) AS marker, array_join(transform(hk2_keys(embedding), k -> lower(lpad(hex(k), 2, '0'))), '.') AS keys FROM orbweave_embeddings")
+
+
+def sql_cells(spark, sf_dir):
+    sql.register(spark)
+    _leaves(spark, sf_dir).createOrReplaceTempView("orbweave_places")
+    found = spark.sql("SELECT c_custkey, cell_id(lat, lng, 7) AS cell FROM orbweave_places")
+    return found.select("c_custkey", cells.token("cell").alias("token"))
+
+
+def sql_probe_ranges(spark, sf_dir):
+    """A table function over whole batches of a table."""
+    sql.register(spark)
+    _embeddings(spark, sf_dir).createOrReplaceTempView("orbweave_embeddings")
+    return spark.sql("SELECT id AS vec_id, lo, hi FROM probe_ranges_of(TABLE(orbweave_embeddings), 1, 8)")
+
+
+def sql_cover_regions(spark, sf_dir):
+    sql.register(spark)
+    _regions(spark, sf_dir).where("kind = 'cap'").createOrReplaceTempView("orbweave_regions")
+    found = spark.sql("SELECT * FROM cover_regions_of(TABLE(orbweave_regions), 5, 2048)")
+    return found.select("region_id", cells.token("cell").alias("token"), "inside")
+
+
+def sql_cover_cells(spark, sf_dir):
+    """The row-wise table functions, in lateral joins: the cells that hold a disc around each customer."""
+    sql.register(spark)
+    _leaves(spark, sf_dir).createOrReplaceTempView("orbweave_places")
+    found = spark.sql("SELECT c_custkey, c.cell FROM orbweave_places, LATERAL cover_cells(lat, lng, c_custkey * 10) c")
+    return found.select("c_custkey", cells.token("cell").alias("token"))
+
+
+def sql_walks(spark, sf_dir):
+    """Five steps of the curve from every supplier's key."""
+    sql.register(spark)
+    _table(spark, sf_dir, "supplier").createOrReplaceTempView("orbweave_suppliers")
+    return spark.sql("SELECT s_suppkey, CAST(w.index AS BIGINT) AS at, w.point[0] AS x0, w.point[1] AS x1, w.point[2] AS x2 FROM orbweave_suppliers, LATERAL curve_walk(3, 10, CAST(s_suppkey * 7919 AS DECIMAL(38, 0)), 5) w")
+
+
+def hk1_written_filter(spark, sf_dir):
+    """A written table of markers, clustered, filtered by ranges that reach its scan."""
+    written = Workspace(spark, "markers").save(layout.cluster_by(hk1_marker(spark, sf_dir), "marker"), "markers")
+    at = lambda head, tail: f"{SPACE.prefix}{head}{tail * (16 - len(head))}"
+    return written.where(retrieval.in_ranges(F.col("marker"), [(at("1", "0"), at("5", "f")), (at("c4", "0"), at("d", "f"))]))
+
+
+def hk1_rescaled(spark, sf_dir):
+    """Markers of vectors scaled by 2**100 and 2**-100, where squares leave 32 bits, are those of the vectors."""
+    e = lambda k: F.transform("embedding", lambda x: (x * float(2.0**k)).cast("float"))
+    m = _embeddings(spark, sf_dir).select("vec_id", markers.marker("embedding", SPACE).alias("m"), markers.marker(e(100), SPACE).alias("up"), markers.marker(e(-100), SPACE).alias("down"))
+    return m.select("vec_id", F.col("m").alias("marker"), ((F.col("up") == F.col("m")) & (F.col("down") == F.col("m"))).alias("same"))
+
+
+def hk2_first_failing(spark, sf_dir):
+    """As ``hk1_first_failing``, for hash keys: the lowest vector of another width."""
+    e = F.when(F.col("vec_id") % 13 == 7, F.slice("embedding", 1, 9)).otherwise(F.col("embedding"))
+    rows = _embeddings(spark, sf_dir).select("vec_id", e.alias("embedding"))
+    return checks.first_failing(rows, "vec_id", lsh.key_error("embedding", width=64))
+
+
+def curve2d_points(spark, sf_dir):
+    """Structs of two coordinates, the form that decoding gives."""
+    p = _orders_index(spark, sf_dir).select("o_orderkey", curve.decode2("h", ORDER).alias("p"))
+    return p.select("o_orderkey", curve.encode2_point("p", ORDER).alias("h"))
+
+
 def curve_walk_source(spark, sf_dir):
     """The data source in SQL: the points of the curve at the order keys."""
     sql.register(spark)
@@ -476,6 +546,7 @@ QUERIES = {
         s2_leaf, s2_hierarchy, s2_density, s2_token_roundtrip, s2_neighbours, s2_center, s2_covering, s2_cover, s2_points_in_cover, merge_ranges,
         curve_checksum, hk1_position, hk1_range_filter, hk1_prefix_filter, hk1_first_failing, hk2_margins, hk2_recall,
         s2_at_level, s2_from_face_ij, s2_range_filter, s2_nested, sql_functions,
+        sql_names, sql_cells, sql_probe_ranges, sql_cover_regions, sql_cover_cells, sql_walks, hk1_written_filter, hk1_rescaled, hk2_first_failing, curve2d_points,
         curve_walk_source, s2_points_in_regions, merge_ranges_one_group, range_join, range_join_wide, hk1_pruned_topk, hk2_forest_topk, hk2_forest_recall,
         embedding_lines, numbered_lines, point_lines, marker_text, marker_json, hash_json, range_text, marker_stream,
     )

@@ -56,3 +56,8 @@ def test_exact_topk_over_several_blocks(spark, monkeypatch):
     held = data.where("embedding is not null")
     want = retrieval.rerank(queries.where("embedding is not null").select("query_id").crossJoin(held.select("id")), queries, held, k=10)
     assert sorted(map(tuple, retrieval.exact_topk(queries, data, k=10).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_written_filter_reaches_the_scan(spark):
+    plan = QUERIES["hk1_written_filter"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "PushedFilters: [Or(" in plan and "GreaterThanOrEqual(marker" in plan
