@@ -55,8 +55,13 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 UNSETTLED = {"Nl", "No", "Cn", "Cs"}
 
 
-class LibraryEncoder(dict):
-    """Ids of texts as little-endian arrays; itself the table of pieces."""
+#: Letters of most European languages (Latin-1 to Extended-B); with other letters, numbers or spaces a text takes the general pattern.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_LATIN = re.compile(f"[{LATIN}]").fullmatch
+
+
+class LibraryEncoder:
+    """Ids of texts as little-endian arrays."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -66,44 +71,53 @@ class LibraryEncoder(dict):
         self.library = Tokenizer.from_str(json.dumps(data))
         size = max([*data["model"]["vocab"].values(), *(x["id"] for x in data["added_tokens"])]) + 1
         self.kind, self.code = ("<u2", "H") if size <= 1 << 16 else ("<u4", "I")
-        self.model, self.older = self.library.model, {}
+        self.model = self.library.model
         self.letters = {b: letter for letter, b in byte_letters().items()}
-        self.cut = re.compile(rf" ?[^\W\d_]++|'(?:[stmd]|re|ve|ll)| ?\d++| ?(?:[^\w{SPACE}]|_)++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-        self.cut_ascii = re.compile(r" ?[A-Za-z]++|'(?:[stmd]|re|ve|ll)| ?[0-9]++| ?[^\t-\r A-Za-z0-9]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        contracted = "'(?:[stmd]|re|ve|ll)"
+        self.cut = re.compile(rf" ?[^\W\d_]++|{contracted}| ?\d++| ?(?:[^\w{SPACE}]|_)++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+        self.cut_latin = re.compile(rf" ?[{LATIN}]++|{contracted}| ?[0-9]++| ?[^\t-\r {LATIN}0-9]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
         self.special = [x["content"] for x in data["added_tokens"]]
-        self.known: set[str] = set()
+        self.settled: set[str] = set()
+        self.latin: set[str] = set(map(chr, range(128)))
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
+    def _piece(self, piece: str) -> bytes:
+        found = self.kept.get(piece) or self.older.get(piece)
         if found is None:
             letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
             found = array(self.code, [x.id for x in self.model.tokenize(letters)]).tobytes()
         if len(piece) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PIECES:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = found
+            if len(self.kept) >= KEPT_PIECES:
+                self.older, self.kept = self.kept, {}
+            self.kept[piece] = found
         return found
 
-    def _ask(self, text: str) -> bytes:
-        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def whole(self, text: str) -> bool:
-        """Whether the library must have the whole text: it names a special token, or has a code point without a settled class."""
+    def _cut(self, text: str) -> list[str] | None:
+        """The pieces of a text; None if the library must have it whole, as it names a special token or has a code point without a settled class."""
         if any(x in text for x in self.special):
-            return True
+            return None
         if text.isascii():
-            return False
-        new = set(text) - self.known
-        if any(unicodedata.category(c) in UNSETTLED for c in new):
-            return True
-        self.known |= new
-        return False
+            return self.cut_latin(text)
+        own = set(text)
+        for c in own - self.settled:
+            kind = unicodedata.category(c)
+            if kind in UNSETTLED:
+                return None
+            self.settled.add(c)
+            if _LATIN(c) or kind[0] in "PSM":
+                self.latin.add(c)
+        return (self.cut_latin if own <= self.latin else self.cut)(text)
 
     def encode(self, text: str) -> bytes:
-        if self.whole(text):
-            return self._ask(text)
-        return b"".join(map(self.__getitem__, (self.cut_ascii if text.isascii() else self.cut)(text)))
+        pieces = self._cut(text)
+        if pieces is None:
+            return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        found, at = list(map(self.kept.get, pieces)), 0
+        for _ in range(found.count(None)):
+            at = found.index(None, at)
+            found[at] = self._piece(pieces[at])
+        return b"".join(found)
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
