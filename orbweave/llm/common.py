@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words, as every operator of this package takes them: runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,7 +77,3 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def pieces(pattern: str, text: str) -> list[str]:
-    return re.findall(pattern, text)
