@@ -347,7 +347,7 @@ ORACLES["merge_ranges_one_group"] = """
   GROUP BY island"""
 ORACLES["range_join"] = f"""
   SELECT range_id, o_orderkey AS id FROM {_H} JOIN (
-    SELECT s_suppkey AS range_id, s_suppkey * 40503 * 65537 % 4294967296 AS lo, s_suppkey * 40503 * 65537 % 4294967296 + s_suppkey * 7919 % 50 * 1000003 AS hi FROM supplier) ON h BETWEEN lo AND hi"""
+    SELECT s_suppkey AS range_id, s_suppkey * 799819 % 67108864 AS lo, s_suppkey * 799819 % 67108864 + s_suppkey * 7919 % 50 * 1000003 AS hi FROM supplier) ON h BETWEEN lo AND hi"""
 ORACLES["range_join_wide"] = f"""
   SELECT range_id, c_custkey AS id FROM ({ORACLES["curvend_wide"]}) JOIN (
     SELECT s_suppkey AS range_id, printf('%08x', s_suppkey * 2654435761 % 4294967296) || '80000000000000000000001f' AS lo,

@@ -274,7 +274,7 @@ def merge_ranges_one_group(spark, sf_dir):
 
 def range_join(spark, sf_dir):
     """Curve indexes of orders in ranges of suppliers."""
-    low = F.col("s_suppkey") * 40503 * 65537 % (1 << 32)
+    low = F.col("s_suppkey") * 799819 % (1 << 26)
     spans = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("range_id"), low.alias("lo"), (low + F.col("s_suppkey") * 7919 % 50 * 1000003).alias("hi"))
     keys = _orders_index(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.col("h").alias("key"))
     return ranges.range_join(spans, keys)
