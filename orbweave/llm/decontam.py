@@ -148,7 +148,7 @@ class ItemIndex:
 def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of about ``block_words`` words, one after another on the driver."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    words = items.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
     n = -(-words // block_words)
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items

@@ -8,10 +8,11 @@ Suffixes are indexed sparsely.  The anchor of a string of LENGTH bytes is its
 least-hashed GRAM-byte part, the leftmost on a tie, which its content alone
 decides; so equal strings have equal anchors at equal offsets, and the suffixes
 at anchors stand for all.  Neighbouring strings with one anchor are one entry.
-A batch's index is its entries, sorted by (anchor, string).  It is merge-scanned
-against each level of the family for anchors and strings that occur again, then
-becomes a level itself; two levels of equal rank merge into one of the next.
-Each entry is thus merged log2(batches) times.
+A batch's index is its entries.  It is joined with each level of the family, by
+hashes of anchors and strings, for those that occur again, then becomes a level
+itself; two levels of equal rank become one of the next.  Each entry is thus
+rewritten log2(batches) times.  The joins exchange rows by hash: no order of
+suffixes inside a level is used, and no longest match is computed.
 
 Entries whose whole string repeats are settled by the scans.  The others get
 their bytes fetched once and are cut into pieces of at most STEP strings at
