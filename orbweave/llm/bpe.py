@@ -29,7 +29,7 @@ from orbweave.llm.common import table
 #: The pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
-KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 300_000, 64, 1_000_000
+KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 200_000, 64, 400_000
 
 
 def byte_letters() -> dict[str, int]:
