@@ -508,3 +508,62 @@ def test_fuzzy_lines_of_few_words_against_every_pair(spark):
         groups.append([line, line[:at] + ["x", "", "x" + line[at]][k // 3 % 3] + line[at + 1 :]])
     found, near, wrong = line_recall(spark, groups)
     assert near >= 60 and found >= 0.9 * near and not wrong
+
+
+def test_lines_of_a_common_key_against_every_pair(spark):
+    """All lines hold one passage, so they share keys with a commonest line that none is like: no planted near pair that shares a key is lost."""
+    rng = random.Random(41)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage = " ".join(letters(6) for _ in range(12))
+    lines = [f"{passage} {' '.join(letters(5) for _ in range(4))}"] * 3
+    for _ in range(60):
+        own = [letters(rng.randrange(3, 8)) for _ in range(18)]
+        near = [letters(len(x)) if k % 4 == 1 else x for k, x in enumerate(own)]
+        lines += [f"{passage} {' '.join(own)}", f"{passage} {' '.join(near)}"]
+    rows = list(enumerate(lines))
+    _, repeated = fuzzy_lines.line_classes(docs(spark, rows), Workspace(spark, "t"))
+    roots = {r.line: r.root for r in repeated.collect()}
+    *_, ids, _, _, _, keys, counts = fuzzy_lines.line_features(lines)
+    keys, near, lost = [set(x) for x in np.split(keys, np.cumsum(counts)[:-1])], 0, 0
+    for i in range(3, len(lines), 2):
+        most = int(max(len(lines[i]), len(lines[i + 1])) * 0.2 + 1e-9)
+        if keys[i] & keys[i + 1] and edit_distance(lines[i], lines[i + 1]) <= most:
+            near += 1
+            lost += roots.get(ids[i], ids[i]) != roots.get(ids[i + 1], ids[i + 1])
+    assert near >= 55 and not lost
+
+
+def test_lines_of_a_key_meet_in_chunks(spark, monkeypatch):
+    """Keys of many lines are dealt to several groups; with groups of two lines the links are the same."""
+    rng = random.Random(43)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    lines = [letters(40) for _ in range(9)]
+    lines += [x[:15] + "zz" + x[17:] for x in lines]
+    *_, ids, _, _, _, _, _ = fuzzy_lines.line_features(lines)
+    entries = spark.createDataFrame([(1, len(lines), int(i), len(x), int(i)) for i, x in zip(ids, lines)], "key long, n long, id long, size int, root long")
+    rows = docs(spark, list(enumerate(lines)))
+    for meet in (2, 5, 512):
+        monkeypatch.setattr(fuzzy_lines, "MEET", meet)
+        found = [frozenset((r.a, r.b)) for r in fuzzy_lines.settled(entries, rows, Workspace(spark, "t"), 0.8).collect()]
+        assert sorted(map(sorted, found)) == sorted(sorted(map(int, (ids[k], ids[k + 9]))) for k in range(9))
+
+
+def test_unlike_lines_are_told_for_sure():
+    """The filter before the edit distance calls no near pair unlike, at any length and in any script."""
+    rng = random.Random(44)
+    lines, x, y = [], [], []
+    for k in range(400):
+        own = [rng.choice("abcdefg \u00e9\u5b57\U0001f600") for _ in range(rng.choice([1, 4, 20, 63, 64, 65, 130, 300]))]
+        near = list(own)
+        for _ in range(round(len(own) * rng.choice([0.1, 0.19, 0.2, 0.21, 0.9]))):
+            at = rng.randrange(len(near))
+            near[at : at + 1] = rng.choice([["z"], [], [near[at], "y"]]) if len(near) > 1 else ["z"]
+        pair = sorted(("".join(own), "".join(near)), key=len)
+        lines += pair
+        x.append(2 * k)
+        y.append(2 * k + 1)
+    x, y = np.array(x), np.array(y)
+    most = np.array([int(len(lines[j]) * 0.2 + 1e-9) for j in y])
+    gone = fuzzy_lines.unlike(lines, x, y, most)
+    near = np.array([edit_distance(lines[i], lines[j]) <= m for i, j, m in zip(x, y, most)])
+    assert near.sum() >= 100 and gone.sum() >= 50 and not (gone & near).any()
