@@ -19,6 +19,7 @@ are null; columns besides id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from orbweave.llm.common import Workspace, fresh, table, text_or_empty
 from orbweave.llm.components import connected_components, merge_labels
 from orbweave.llm.hashing import mix, shingle_hashes, word_hashes
-from orbweave.llm.stars import Fit, candidates
+from orbweave.llm.stars import Fit, candidates, every_pair, unsettled
 
 SEED = 42
 LEAF, GROUP, FAN_BITS = 65536, 64, 3
@@ -188,8 +189,6 @@ SIMILARITY, WORDS, LEAST = 0.8, 5, 8
 #: Distance of the fingerprints of candidates that share a shingle: at similarity 0.8 a bit differs with probability 0.15,
 #: so one pair in a thousand lies beyond.
 WIDE_RADIUS = 20
-#: Further choices of the items that stand for their buckets.
-TURNS = 1
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -207,19 +206,30 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _sketch(batches: Iterator) -> Iterator:
-    """Per text: number of its distinct five-word shingles, their SimHash, and as keys the least of each of LEAST classes of them."""
-    import pyarrow as pa
+def first_shingles(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """Of ascending hashes those of which any set as alike shares one."""
+    return shingles[: len(shingles) - math.ceil(len(shingles) * similarity - 1e-9) + 1]
 
-    for batch in batches:
-        sizes, fps, keys = [], [], []
-        for text in batch.column(1):
-            shingles = shingle_set(text.as_py())
-            sizes.append(len(shingles))
-            fps.append(set_fingerprint(shingles))
-            first = np.unique(shingles >> np.uint64(3) & np.uint64(LEAST - 1), return_index=True)[1]
-            keys.append(mix(shingles[first] + np.uint64(1)).view(np.int64) if len(shingles) else [0])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "size", "fp", "keys"])
+
+def _sketch(similarity: float):
+    """Per text: number of its distinct five-word shingles, their SimHash, as keys the least of each of LEAST classes of them, and the first of them."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sizes, fps, keys, firsts = [], [], [], []
+            for text in batch.column(1):
+                shingles = shingle_set(text.as_py())
+                sizes.append(len(shingles))
+                fps.append(set_fingerprint(shingles))
+                first = np.unique(shingles >> np.uint64(3) & np.uint64(LEAST - 1), return_index=True)[1]
+                keys.append(mix(shingles[first] + np.uint64(1)).view(np.int64) if len(shingles) else [0])
+                firsts.append(first_shingles(shingles, similarity).view(np.int64) if len(shingles) else [0])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, firsts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), *lists], ["id", "size", "fp", "keys", "first"])
+
+    return run
 
 
 def _shingles(batches: Iterator) -> Iterator:
@@ -250,16 +260,18 @@ def deduplicate(docs: DataFrame, ws: Workspace, *, radius: int = 3, similarity:
     reaches the threshold.  Fingerprints within ``radius`` come from the index in
     Gray order.  That similarity allows more bits than an index can search (0.8
     moves ten on average), so texts that share a least shingle and lie within
-    WIDE_RADIUS bits are candidates too; they meet as ``stars`` pairs them.  At
-    similarity 0.8 two texts share none of LEAST keys with a probability of a few
-    in a million.  All candidates are verified by the exact similarity.  Texts
-    without words are copies of one another.
+    WIDE_RADIUS bits are candidates too; they meet as ``stars`` pairs them.  These
+    two settle large groups; then no link is left out: of n shingles two near copies
+    share ``similarity * n`` at least, so they share one of the first
+    ``(1 - similarity) * n + 1`` in the order of hashes, and all texts that do and
+    are still apart are compared.  All candidates are verified by the exact
+    similarity.  Texts without words are copies of one another.
     """
     key, kept_id = fresh(docs, "text_id"), fresh(docs, "kept_id")
     text = text_or_empty()
     rows = docs.select(F.xxhash64(text).alias("id"), text.alias("text"))
     ids = ws.save(docs.select(F.col("doc_id"), F.xxhash64(text).alias("id")).groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("seen")), "ids")
-    sketches = ws.save(rows.mapInArrow(_sketch, "id long, size int, fp long, keys array<long>"), "sketches")
+    sketches = ws.save(rows.mapInArrow(_sketch(similarity), "id long, size int, fp long, keys array<long>, first array<long>"), "sketches")
     items = ws.save(sketches.dropDuplicates(["id"]).join(ids.select("id", "seen"), "id"), "items")
 
     one = ws.save(items.groupBy("fp").agg(F.min("id").alias("a")), "one")
@@ -271,15 +283,9 @@ def deduplicate(docs: DataFrame, ws: Workspace, *, radius: int = 3, similarity:
     shared = candidates(items.withColumnRenamed("seen", "rank"), fit)
     good = _similar(close.unionByName(equal).unionByName(shared), rows, ws, similarity, "near")
     roots = connected_components(good, ws, "near-cc")
-    # Other hubs for what the first ones left apart.
-    for turn in range(1, 1 + TURNS):
-        again = candidates(items.select("id", "size", F.xxhash64(F.lit(turn), "id").alias("rank"), "fp", "keys"), fit)
-        of = lambda end: roots.toDF(end, f"root_{end}")  # noqa: B023, E731
-        apart = ~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))
-        apart = ws.save(again.distinct(), f"again{turn}").join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b")
-        more = _similar(apart, rows, ws, similarity, f"near{turn}")
-        good = good.unionByName(more)
-        roots = connected_components(good, ws, f"near-cc{turn}") if not more.isEmpty() else roots
+    rest = unsettled(items.select("id", "size", F.col("first").alias("keys")), roots, similarity)
+    more = _similar(every_pair(rest, similarity), rows, ws, similarity, "near-rest")
+    roots = connected_components(good.unionByName(more), ws, "near-cc-rest") if not more.isEmpty() else roots
     rooted = ws.save(ids.join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id"))
     stays = ws.save(rooted.groupBy("root").agg(least.alias("stays")).select(F.col("stays.doc_id").alias(kept_id), F.col("stays.id").alias(key)), "stays")

@@ -567,3 +567,18 @@ def test_unlike_lines_are_told_for_sure():
     gone = fuzzy_lines.unlike(lines, x, y, most)
     near = np.array([edit_distance(lines[i], lines[j]) <= m for i, j, m in zip(x, y, most)])
     assert near.sum() >= 100 and gone.sum() >= 50 and not (gone & near).any()
+
+
+def test_near_dedup_of_distant_fingerprints(spark):
+    """Texts of nine words and their first eight, similarity 0.8: those whose fingerprints are far apart are linked too."""
+    rng = random.Random(45)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    while len(texts) < 40:
+        own = words(9)
+        pair = [" ".join(own), " ".join(own[:8])]
+        a, b = (simhash_index.shingle_set(t) for t in pair)
+        if len(np.intersect1d(a, b)) == 4 and len(np.union1d(a, b)) == 5 and ((simhash_index.set_fingerprint(a) ^ simhash_index.set_fingerprint(b)) % (1 << 64)).bit_count() > 20:
+            texts += pair
+    kept = {r.doc_id for r in simhash_index.deduplicate(docs(spark, list(enumerate(texts))), Workspace(spark, "t")).collect()}
+    assert kept == set(range(0, 40, 2))
