@@ -5,6 +5,7 @@ import math
 import random
 import string
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -569,6 +570,46 @@ def test_unlike_lines_are_told_for_sure():
     assert near.sum() >= 100 and gone.sum() >= 50 and not (gone & near).any()
 
 
+def test_unlike_long_lines_are_told_for_sure():
+    """Lines of 300 to 2,000 characters with blocks added and left out and letters changed, about the threshold: rows of the table outside the band are left out."""
+    rng = random.Random(46)
+    lines, near = [], []
+    for _ in range(300):
+        own = [rng.choice("abcdefghijklmnop \u00e9") for _ in range(rng.randrange(300, 2000))]
+        other, left = list(own), int(len(own) * rng.choice([0.05, 0.12, 0.17, 0.19, 0.2, 0.4]))
+        while left > 0:
+            n, at = min(left, rng.choice([1, 1, 1, 7, 60])), rng.randrange(len(other) // rng.choice([1, 4]))
+            other[at : at + rng.choice([0, n, n])] = [rng.choice("xyz") for _ in range(rng.choice([0, n, n]))]
+            left -= n
+        pair = sorted(("".join(own), "".join(other)), key=len)
+        lines += pair
+        near.append(fuzzy_lines.alike(*pair, 0.8))
+    x, near = 2 * np.arange(len(near)), np.array(near)
+    most = np.array([int(len(lines[k + 1]) * 0.2 + 1e-9) for k in x])
+    gone = fuzzy_lines.unlike(lines, x, x + 1, most)
+    assert near.sum() >= 100 and not (gone & near).any()
+    many = [tuple(sorted((rng.randrange(len(lines)), rng.randrange(len(lines))), key=lambda k: len(lines[k]))) for _ in range(2000)]
+    x, y = np.array(many).T
+    gone = fuzzy_lines.unlike(lines, x, y, np.array([int(len(lines[k]) * 0.2 + 1e-9) for k in y]))
+    other = (x // 2 != y // 2) & np.array([len(lines[i]) >= 0.8 * len(lines[j]) for i, j in many])
+    assert gone[other].mean() > 0.95 and not gone[x == y].any()
+
+
+def test_lines_are_sent_to_their_keys_as_codes(spark):
+    """Lines of 2,000 characters that share forty keys: their shuffle files hold less than a fifth of what copies of the texts would take."""
+    rng = random.Random(47)
+    lines = ["".join(rng.choice("abcdefghijklmnop") for _ in range(2000)) for _ in range(30)]
+    lines.append(lines[0][:700] + lines[0][900:])
+    ids = fuzzy_lines.line_features(lines)[2].tolist()
+    table = [(k, len(ids), i, len(x), i) for k in range(40) for i, x in zip(ids, lines)]
+    entries = spark.createDataFrame(table, "key long, n long, id long, size int, root long")
+    held = lambda: sum(p.stat().st_size for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+    before = held()
+    found = fuzzy_lines.settled(entries, docs(spark, list(enumerate(lines))), Workspace(spark, "t"), 0.8).collect()
+    assert {frozenset((r.a, r.b)) for r in found} == {frozenset((ids[0], ids[-1]))}
+    assert held() - before < 40 * sum(map(len, lines)) / 5
+
+
 def test_near_dedup_of_distant_fingerprints(spark):
     """Texts of nine words and their first eight, similarity 0.8: those whose fingerprints are far apart are linked too."""
     rng = random.Random(45)
