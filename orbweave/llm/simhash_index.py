@@ -243,13 +243,16 @@ def _shingles(batches: Iterator) -> Iterator:
 def _similar(links: DataFrame, rows: DataFrame, ws: Workspace, similarity: float, tag: str) -> DataFrame:
     """Of ``(a, b)`` pairs of texts, those whose sets of five-word shingles are alike."""
     links = ws.save(links.distinct(), f"{tag}-pairs")
+    ws.release()
     ends = ws.save(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct(), f"{tag}-ends")
     sets = ws.save(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingles, "id long, shingles array<long>"), f"{tag}-sets")
+    ws.release()
     common = F.size(F.array_intersect("x", "y"))
     alike = F.size("x") + F.size("y") - common
     both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     found = ws.save(both.where((common >= similarity * alike) | (F.size("x") + F.size("y") == 0)).select("a", "b"), f"{tag}-verified")
-    ws.drop(f"{tag}-sets", f"{tag}-ends")
+    ws.drop(f"{tag}-sets", f"{tag}-ends", f"{tag}-pairs")
+    ws.release()
     return found
 
 
@@ -273,6 +276,8 @@ def deduplicate(docs: DataFrame, ws: Workspace, *, radius: int = 3, similarity:
     ids = ws.save(docs.select(F.col("doc_id"), F.xxhash64(text).alias("id")).groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("seen")), "ids")
     sketches = ws.save(rows.mapInArrow(_sketch(similarity), "id long, size int, fp long, keys array<long>, first array<long>"), "sketches")
     items = ws.save(sketches.dropDuplicates(["id"]).join(ids.select("id", "seen"), "id"), "items")
+    ws.drop("sketches")
+    ws.release()
 
     one = ws.save(items.groupBy("fp").agg(F.min("id").alias("a")), "one")
     links = ws.save(index_links(*gray_index(one.select("fp"), ws, radius=radius, tag="near"), radius=radius), "near-links")
