@@ -211,23 +211,57 @@ def first_shingles(shingles: np.ndarray, similarity: float) -> np.ndarray:
     return shingles[: len(shingles) - math.ceil(len(shingles) * similarity - 1e-9) + 1]
 
 
+def class_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes are in each of some classes by leading bits: a power of two of them, one or two hashes a class; 255 is that many or more."""
+    classes = 1 << max(4, len(hashes).bit_length() - 1)
+    counts = np.bincount((hashes >> np.uint64(65 - classes.bit_length())).astype(np.int64), minlength=classes)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def most_common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many members two sets have in common at most, by their ``class_counts``."""
+    if len(x) > len(y):
+        x, y = y, x
+    if (x == 255).any() or (y == 255).any():
+        return 1 << 62
+    if len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(axis=1, dtype=np.int32)
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
+def _may_be_alike(similarity: float):
+    """Of rows ``(a, b, size_a, size_b, counts_a, counts_b)`` the pairs that ``most_common`` doesn't tell apart."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            counts = [[np.frombuffer(x.as_py(), np.uint8) for x in batch.column(i)] for i in (4, 5)]
+            common = np.array([most_common(x, y) for x, y in zip(*counts)], np.int64)
+            yield batch.filter(pa.array(common >= similarity * (sizes - common))).select(["a", "b"])
+
+    return run
+
+
 def _sketch(similarity: float):
-    """Per text: number of its distinct five-word shingles, their SimHash, as keys the least of each of LEAST classes of them, and the first of them."""
+    """Per text: number of its distinct five-word shingles, their SimHash and class counts, as keys the least of each of LEAST classes of them, and the first of them."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            sizes, fps, keys, firsts = [], [], [], []
+            sizes, fps, keys, firsts, counts = [], [], [], [], []
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py())
                 sizes.append(len(shingles))
                 fps.append(set_fingerprint(shingles))
+                counts.append(class_counts(shingles).tobytes())
                 first = np.unique(shingles >> np.uint64(3) & np.uint64(LEAST - 1), return_index=True)[1]
                 keys.append(mix(shingles[first] + np.uint64(1)).view(np.int64) if len(shingles) else [0])
                 firsts.append(first_shingles(shingles, similarity).view(np.int64) if len(shingles) else [0])
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, firsts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), *lists], ["id", "size", "fp", "keys", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), *lists, pa.array(counts, pa.binary())], ["id", "size", "fp", "keys", "first", "counts"])
 
     return run
 
@@ -240,9 +274,15 @@ def _shingles(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
 
-def _similar(links: DataFrame, rows: DataFrame, ws: Workspace, similarity: float, tag: str) -> DataFrame:
-    """Of ``(a, b)`` pairs of texts, those whose sets of five-word shingles are alike."""
-    links = ws.save(links.distinct(), f"{tag}-pairs")
+def _similar(links: DataFrame, items: DataFrame, rows: DataFrame, ws: Workspace, similarity: float, tag: str) -> DataFrame:
+    """Of ``(a, b)`` pairs of texts, those whose sets of five-word shingles are alike.
+
+    Pairs meet with the class counts of ``items``, a tenth of their sets, and those that are left with the sets.
+    """
+    told = lambda s: items.select(*[F.col(c).alias(d) for c, d in (("id", s), ("size", f"size_{s}"), ("counts", f"counts_{s}"))])
+    beside = links.distinct().join(told("a"), "a").join(told("b"), "b")
+    open_ = beside.select("a", "b", "size_a", "size_b", "counts_a", "counts_b").mapInArrow(_may_be_alike(similarity), "a long, b long")
+    links = ws.save(open_, f"{tag}-pairs")
     ws.release()
     ends = ws.save(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct(), f"{tag}-ends")
     sets = ws.save(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingles, "id long, shingles array<long>"), f"{tag}-sets")
@@ -268,13 +308,13 @@ def deduplicate(docs: DataFrame, ws: Workspace, *, radius: int = 3, similarity:
     share ``similarity * n`` at least, so they share one of the first
     ``(1 - similarity) * n + 1`` in the order of hashes, and all texts that do and
     are still apart are compared.  All candidates are verified by the exact
-    similarity.  Texts without words are copies of one another.
+    similarity, after a bound that leaves out none which reaches it.  Texts without words are copies of one another.
     """
     key, kept_id = fresh(docs, "text_id"), fresh(docs, "kept_id")
     text = text_or_empty()
     rows = docs.select(F.xxhash64(text).alias("id"), text.alias("text"))
     ids = ws.save(docs.select(F.col("doc_id"), F.xxhash64(text).alias("id")).groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("seen")), "ids")
-    sketches = ws.save(rows.mapInArrow(_sketch(similarity), "id long, size int, fp long, keys array<long>, first array<long>"), "sketches")
+    sketches = ws.save(rows.mapInArrow(_sketch(similarity), "id long, size int, fp long, keys array<long>, first array<long>, counts binary"), "sketches")
     items = ws.save(sketches.dropDuplicates(["id"]).join(ids.select("id", "seen"), "id"), "items")
     ws.drop("sketches")
     ws.release()
@@ -286,10 +326,10 @@ def deduplicate(docs: DataFrame, ws: Workspace, *, radius: int = 3, similarity:
     equal = items.join(one, "fp").where("a <> id").select("a", F.col("id").alias("b"))
     fit = Fit(similarity, WIDE_RADIUS, thorough=True)
     shared = candidates(items.withColumnRenamed("seen", "rank"), fit)
-    good = _similar(close.unionByName(equal).unionByName(shared), rows, ws, similarity, "near")
+    good = _similar(close.unionByName(equal).unionByName(shared), items, rows, ws, similarity, "near")
     roots = connected_components(good, ws, "near-cc")
-    rest = unsettled(items.select("id", "size", F.col("first").alias("keys")), roots, similarity)
-    more = _similar(every_pair(rest, similarity), rows, ws, similarity, "near-rest")
+    rest = unsettled(items.select("id", "size", F.col("first").alias("keys")), roots, similarity, placed=True)
+    more = _similar(every_pair(rest, similarity), items, rows, ws, similarity, "near-rest")
     roots = connected_components(good.unionByName(more), ws, "near-cc-rest") if not more.isEmpty() else roots
     rooted = ws.save(ids.join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id"))

@@ -623,3 +623,31 @@ def test_near_dedup_of_distant_fingerprints(spark):
             texts += pair
     kept = {r.doc_id for r in simhash_index.deduplicate(docs(spark, list(enumerate(texts))), Workspace(spark, "t")).collect()}
     assert kept == set(range(0, 40, 2))
+
+
+def test_bounds_of_near_dedup_leave_out_no_near_pair(spark, tmp_path):
+    """Two sets have no more in common than their class counts say; of pairs under common keys few are unlike, and none alike is missing."""
+    from orbweave.llm.simhash_index import class_counts, first_shingles, most_common
+    from orbweave.llm.stars import every_pair, unsettled
+
+    rng = np.random.default_rng(9)
+    draw = lambda n: rng.integers(0, 2**64, n, np.uint64, endpoint=False)
+    sets = []
+    for n in (0, 1, 5, 40, 700):
+        one = np.unique(draw(n))
+        sets.append(one)
+        for gone in (1, n // 20, n // 9, n // 6, n // 4):
+            sets.append(np.unique(np.concatenate([one[rng.permutation(len(one))[gone:]], draw(gone)])))
+    common = lambda x, y: len(np.intersect1d(x, y))
+    for x in sets:
+        for y in sets:
+            assert common(x, y) <= most_common(class_counts(x), class_counts(y))
+    assert most_common(class_counts(draw(700)), class_counts(draw(900))) < 0.75 * 700
+    assert most_common(np.full(16, 255, np.uint8), np.zeros(16, np.uint8)) > 10**9
+
+    rows = [(i, len(x), first_shingles(x, 0.8).view(np.int64).tolist() if len(x) else [0]) for i, x in enumerate(sets)]
+    items, roots = spark.createDataFrame(rows, "id long, size int, keys array<long>"), spark.createDataFrame([], "id long, root long")
+    got = [frozenset(r) for r in every_pair(unsettled(items, roots, 0.8, placed=True), 0.8).collect()]
+    alike = {frozenset((i, j)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and common(x, y) >= 0.8 * (len(x) + len(y) - common(x, y))}
+    key_met = {frozenset((i, j)) for i, _, x in rows for j, _, y in rows if i < j and set(x) & set(y) and min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j]))}
+    assert alike <= set(got) < key_met
