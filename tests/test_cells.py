@@ -200,3 +200,28 @@ def test_merge_ranges_unsigned(spark):
     rows = spark.createDataFrame([(1, signed(2**63 - 5), signed(2**63 + 5)), (1, signed(2**63 + 6), signed(2**63 + 9)), (1, 3, 4), (2, signed(2**64 - 1), signed(2**64 - 1)), (2, 0, 0)], "g int, lo long, hi long")
     got = {(r.g, r.lo % (1 << 64), r.hi % (1 << 64)) for r in retrieval.merge_ranges(rows, "g").orderBy(sortable("lo")).collect()}
     assert got == {(1, 3, 4), (1, 2**63 - 5, 2**63 + 9), (2, 0, 0), (2, 2**64 - 1, 2**64 - 1)}
+
+
+def test_discs_of_a_large_batch():
+    """The limit of vertices holds for a region, not for all discs of a batch; batches in stretches give what rows alone give."""
+    from orbweave.operators import covers
+
+    rows = [{"kind": "cap", "points": [{"lat": k % 120 - 60.0, "lng": k % 340 - 170.0}], "radius_m": 1000.0 + k} for k in range(covers.MOST_VERTICES + 10)]
+    at, ids, inside = covers.covered(rows, max_level=4, max_cells=4)
+    assert set(at.tolist()) == set(range(len(rows)))
+    for k in (0, covers.TOGETHER - 1, covers.TOGETHER, len(rows) - 1):
+        alone = covers.covered([rows[k]], max_level=4, max_cells=4)
+        assert (ids[at == k] == alone[1]).all() and (inside[at == k] == alone[2]).all()
+
+
+def test_points_on_a_meridian_through_a_dented_ring():
+    """From the dent to the opposite corner all points are inside, also where two triangles would be put together."""
+    from orbweave.functions.cells import unit_vectors
+    from orbweave.operators.covers import Polygons
+
+    ring = [(-8.0, -8.0), (9.0, 0.0), (-8.0, 8.0), (-3.0, 0.0)]
+    for lat, lng in ((0.0, 0.0), (-47.31, 101.17), (33.33, -66.66)):
+        some = Polygons([[(lat + a, lng + b) for a, b in ring]])
+        along = lat + np.arange(-299, 900) / 100
+        p = unit_vectors(along, np.full(len(along), lng))
+        assert some.holds(np.zeros(len(p), np.int64), p).all()
