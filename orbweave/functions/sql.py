@@ -89,6 +89,24 @@ def cell_id(lat, lng, level):
     return _by_parameter(level, lat, lng, run=run)
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def cover_cells_array(lat, lng, radius_m):
+    """Cells that hold a disc around a point; null if any argument is."""
+    import pyarrow as pa
+
+    absent = np.asarray(lat.is_null()) | np.asarray(lng.is_null()) | np.asarray(radius_m.is_null())
+    x, y, radius = (c.fill_null(0).to_numpy(zero_copy_only=False).astype(float) for c in (lat, lng, radius_m))
+    home = cells.raised(cells.leaves(x, y), cells.covering_level(radius))
+    around = np.sort(cells.neighbours(home, [(di, dj) for dj in (-1, 0, 1) for di in (-1, 0, 1)]), axis=1)
+    once = np.concatenate([np.ones((len(around), 1), bool), around[:, 1:] != around[:, :-1]], axis=1) & ~absent[:, None]
+    ends = np.concatenate([[0], np.cumsum(once.sum(axis=1))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(around[once].view(np.int64)), mask=pa.array(absent))
+
+
+#: The cells of ``cover_cells_array`` as rows; Spark puts the body into the query, so a lateral join runs it on whole batches.
+COVER_CELLS = "CREATE OR REPLACE TEMPORARY FUNCTION cover_cells(lat DOUBLE, lng DOUBLE, radius_m DOUBLE) RETURNS TABLE (cell BIGINT) RETURN SELECT * FROM explode(cover_cells_array(lat, lng, radius_m))"
+
+
 @F.udtf(returnType=_row(index=DecimalType(38, 0), point=ArrayType(LongType())))
 class CurveWalk:
     """``count`` points of the curve from index ``start`` on."""
@@ -122,18 +140,6 @@ class ProbeRanges:
             yield f"{low:0{space.digits}x}", f"{high:0{space.digits}x}"
 
 
-@F.udtf(returnType=_row(cell=LongType()))
-class CoverCells:
-    """Cells that hold a disc around a point."""
-
-    def eval(self, lat: float, lng: float, radius_m: float):
-        radius = np.array([float(radius_m)])  # SQL's literals are decimals
-        home = cells.raised(cells.leaves(np.array([float(lat)]), np.array([float(lng)])), cells.covering_level(radius))
-        around = cells.neighbours(home, [(di, dj) for dj in (-1, 0, 1) for di in (-1, 0, 1)])[0]
-        for c in np.unique(around).view(np.int64).tolist():
-            yield (c,)
-
-
 @F.arrow_udtf(returnType=_row(id=LongType(), lo=StringType(), hi=StringType()))
 class ProbeRangesOf:
     """``probe_ranges`` of the rows ``(id, embedding)`` of a table, a batch at a time."""
@@ -173,7 +179,7 @@ class CoverRegionsOf:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the functions known to ``spark.sql``: hilbert_encode2, hilbert_decode2, hk1_marker, hk2_keys, cell_id, curve_walk, probe_ranges, cover_cells.
+    """Make the functions known to ``spark.sql``: hilbert_encode2, hilbert_decode2, hk1_marker, hk2_keys, cell_id, cover_cells_array, curve_walk, probe_ranges, cover_cells.
 
     ``probe_ranges_of(TABLE(t), level, n)`` and ``cover_regions_of(TABLE(t), max_level, max_cells)`` take whole tables, in batches.
     ``curve_walk`` is a data source too, for long walks: ``CREATE TEMPORARY VIEW w USING curve_walk OPTIONS (dims 3, bits 10)``.
@@ -181,7 +187,8 @@ def register(spark: SparkSession) -> None:
     from orbweave.sources.walk import CurveWalkSource
 
     spark.dataSource.register(CurveWalkSource)
-    for f in (hilbert_encode2, hilbert_decode2, hk1_marker, hk2_keys, cell_id):
+    for f in (hilbert_encode2, hilbert_decode2, hk1_marker, hk2_keys, cell_id, cover_cells_array):
         spark.udf.register(f.__name__, f)
-    for name, f in (("curve_walk", CurveWalk), ("probe_ranges", ProbeRanges), ("cover_cells", CoverCells), ("probe_ranges_of", ProbeRangesOf), ("cover_regions_of", CoverRegionsOf)):
+    for name, f in (("curve_walk", CurveWalk), ("probe_ranges", ProbeRanges), ("probe_ranges_of", ProbeRangesOf), ("cover_regions_of", CoverRegionsOf)):
         spark.udtf.register(name, f)
+    spark.sql(COVER_CELLS)

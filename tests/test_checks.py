@@ -60,6 +60,19 @@ def test_sql_names(spark):
     assert cover == set(own)
 
 
+def test_cover_cells_in_a_lateral_join_runs_on_batches(spark):
+    """Cells of discs of all sizes, as ``covering`` gives them; nulls give none; no function is called row by row."""
+    sql.register(spark)
+    rows = [(k, (k * 37 % 180) - 89.5, (k * 91 % 360) - 180.0, k * k * 1500) for k in range(80)] + [(100, None, 1.0, 5), (101, 1.0, 1.0, None)]
+    places = spark.createDataFrame(rows, "id long, lat double, lng double, r long")
+    places.createOrReplaceTempView("discs")
+    found = spark.sql("SELECT id, c.cell FROM discs, LATERAL cover_cells(lat, lng, r) c")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "UDTF" not in plan and "Join" not in plan
+    want = places.where("id < 100").select("id", F.explode(cells.covering("lat", "lng", "r", as_cells=True)).alias("cell"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_wide_walks_and_points(spark):
     """Across the border of the low word, against decoding each index; and points as structs."""
     start = (5 << 64) - 3
