@@ -182,8 +182,8 @@ def hk2_multiprobe(spark, sf_dir):
 
 
 def hk2_topk(spark, sf_dir):
-    data = _embeddings(spark, sf_dir).withColumnRenamed("vec_id", "id")
-    found = retrieval.rerank(hk2_collisions(spark, sf_dir), _asked(spark, sf_dir), data, k=10)
+    asked, data = (df.withColumn("keys", lsh.keys("embedding", TABLES)) for df in (_asked(spark, sf_dir), _embeddings(spark, sf_dir).withColumnRenamed("vec_id", "id")))
+    found = retrieval.bucket_topk(asked, data, k=10)
     return found.select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
 
 

@@ -108,3 +108,32 @@ def test_walk_source_of_a_wide_space(spark):
 
 def test_nothing_to_walk(spark):
     assert curve.curve_walk(spark, 3, 10, 5, 0).collect() == []
+
+
+def test_bucket_pairs_come_once_and_only_keys_are_exchanged(spark, monkeypatch):
+    """Over several blocks, with a hot bucket, repeated ids, nulls and text ids, against plain loops."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(retrieval, "DATA_BLOCK", 70)
+    monkeypatch.setattr(retrieval, "SCORED", 7)
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 9, (200, 3))
+    keys[:60, 1] = 4
+    rows = [(f"d{i % 190}", k) for i, k in enumerate(keys.tolist())] + [("none", None)]
+    asked = [(i % 95, k) for i, k in enumerate(rng.integers(0, 9, (100, 3)).tolist())] + [(999, None)]
+    data, queries = spark.createDataFrame(rows, "id string, keys array<long>"), spark.createDataFrame(asked, "query_id int, keys array<long>")
+    found = retrieval.bucket_candidates(queries, data)
+    want = {(q, i) for q, a in asked for i, k in rows if a and k and any(x == y for x, y in zip(a, k))}
+    got = list(map(tuple, found.collect()))
+    assert len(got) == len(want) and set(got) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    assert retrieval.bucket_candidates(queries.where("false"), data).collect() == [] == retrieval.bucket_candidates(queries, data.where("false")).collect()
+
+    e = rng.normal(size=(200, 5)).round(3)
+    e[3] = 0
+    vectors = spark.createDataFrame([(i, v, k) for i, (v, k) in enumerate(zip(e.tolist(), keys.tolist()))], "id long, embedding array<float>, keys array<long>")
+    some = vectors.where("id % 4 = 0").withColumnRenamed("id", "query_id")
+    pairs = retrieval.bucket_candidates(some.select("query_id", "keys"), vectors.select("id", "keys"))
+    want = retrieval.rerank(pairs, some.select("query_id", "embedding"), vectors.select("id", "embedding"), k=10)
+    cut = lambda df: sorted(tuple(r) for r in df.select("query_id", "rank", "id", F.coalesce(F.round("cosine", 9), F.lit(9.0))).collect())
+    assert cut(retrieval.bucket_topk(some, vectors, k=10)) == cut(want)
